@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tracewell.llm import mixing
+from tracewell.llm import mixing, quality_rules
 
 
 def queries() -> dict:
-    return {"op7_source_mixing": mixing.query}
+    return {"op7_source_mixing": mixing.query, "op10_quality_rules": quality_rules.query}
 
 
 def oracle_sql() -> dict[str, str]:
