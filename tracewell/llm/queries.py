@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from tracewell.llm import decontamination, mixing, quality_rules, token_files
+from tracewell.llm import decontamination, mixing, quality_rules, token_files, warc
 
 
 def queries() -> dict:
-    return {"op7_source_mixing": mixing.query, "op5_token_files": token_files.query, "op9_decontamination": decontamination.query, "op10_quality_rules": quality_rules.query}
+    return {
+        "op1_warc_bundles": warc.query,
+        "op5_token_files": token_files.query,
+        "op7_source_mixing": mixing.query,
+        "op9_decontamination": decontamination.query,
+        "op10_quality_rules": quality_rules.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_source_mixing": mixing.ORACLE, "op9_decontamination": decontamination.ORACLE}
+    return {
+        "op1_warc_bundles": warc.ORACLE,
+        "op7_source_mixing": mixing.ORACLE,
+        "op9_decontamination": decontamination.ORACLE,
+    }
