@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tracewell.llm import decontamination, mixing, quality_rules, token_files, warc
+from tracewell.llm import decontamination, language_id, mixing, quality_classifier, quality_rules, token_files, warc
 
 
 def queries() -> dict:
     return {
         "op1_warc_bundles": warc.query,
+        "op3_language_id": language_id.query,
         "op5_token_files": token_files.query,
         "op7_source_mixing": mixing.query,
+        "op8_quality_classifier": quality_classifier.query,
         "op9_decontamination": decontamination.query,
         "op10_quality_rules": quality_rules.query,
     }
