@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tracewell.llm import decontamination, language_id, mixing, quality_classifier, quality_rules, token_files, warc
+from tracewell.llm import decontamination, language_id, mixing, preference, quality_classifier, quality_rules, surrogates, token_files, warc
 
 
 def queries() -> dict:
     return {
         "op1_warc_bundles": warc.query,
+        "op2_preference_pairs": preference.query,
         "op3_language_id": language_id.query,
         "op5_token_files": token_files.query,
+        "op6_surrogates": surrogates.query,
         "op7_source_mixing": mixing.query,
         "op8_quality_classifier": quality_classifier.query,
         "op9_decontamination": decontamination.query,
@@ -20,6 +22,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc_bundles": warc.ORACLE,
+        "op2_preference_pairs": preference.ORACLE,
         "op7_source_mixing": mixing.ORACLE,
         "op9_decontamination": decontamination.ORACLE,
     }
