@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewell.llm import decontamination, language_id, mixing, preference, quality_classifier, quality_rules, surrogates, token_files, warc
+from tracewell.llm import decontamination, jaccard_join, language_id, mixing, preference, quality_classifier, quality_rules, surrogates, token_files, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_warc_bundles": warc.query,
         "op2_preference_pairs": preference.query,
         "op3_language_id": language_id.query,
+        "op4_jaccard_join": jaccard_join.query,
         "op5_token_files": token_files.query,
         "op6_surrogates": surrogates.query,
         "op7_source_mixing": mixing.query,
@@ -23,6 +24,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc_bundles": warc.ORACLE,
         "op2_preference_pairs": preference.ORACLE,
+        "op4_jaccard_join": jaccard_join.ORACLE,
         "op7_source_mixing": mixing.ORACLE,
         "op9_decontamination": decontamination.ORACLE,
     }
