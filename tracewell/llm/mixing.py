@@ -65,6 +65,11 @@ def cyclic_weights(sources: DataFrame, cycle: tuple[int, ...] = WEIGHT_CYCLE) ->
     return sources.withColumn("weight", F.element_at(F.array(*map(F.lit, cycle)), (place % len(cycle) + 1).cast("int")).cast("long"))
 
 
+def draw_of(doc_id, seed: str = SEED) -> F.Column:
+    """The seeded place of a document in its source."""
+    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+
+
 def mix(sizes: DataFrame, weights: DataFrame | None = None, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """sizes(doc_id, source, size) -> doc_id, source, size, source_size, target, repeats, taken.
 
@@ -80,7 +85,7 @@ def mix(sizes: DataFrame, weights: DataFrame | None = None, max_epochs: int = MA
             "doc_id",
             "source",
             F.greatest(F.coalesce(F.col("size").cast("long"), F.lit(0).cast("long")), F.lit(0).cast("long")).alias("size"),
-            F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")).alias("draw"),
+            draw_of(F.col("doc_id"), seed).alias("draw"),
         ).withColumn("bucket", F.substring("draw", 1, BUCKET_DIGITS)),
         "mix",
     )
@@ -118,6 +123,21 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     return mix(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), **options)
 
 
+def repeat_documents(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
+    """docs with every document as often as the mix takes it; all columns kept.
+
+    The documents taken once more are the first of their source in the seeded order, so one cut a source tells them:
+    texts meet a table of one row a source, not the table of all documents. Rows that repeat an id are taken alike."""
+    mixed = mix_documents(docs, seed=seed, **options).withColumn("draw", draw_of(F.col("doc_id"), seed))
+    cuts = mixed.groupBy("source").agg(
+        F.min("repeats").alias("base"), F.max(F.struct("repeats", "draw")).alias("last")
+    ).select(F.col("source").alias("cut_source"), "base", F.col("last.repeats").alias("top"), F.col("last.draw").alias("cut"))
+    cuts = stage(cuts, "mix-cuts")
+    repeats = F.col("base") + F.when((F.col("top") > F.col("base")) & (draw_of(docs["doc_id"], seed) <= F.col("cut")), F.col("top") - F.col("base")).otherwise(0)
+    joined = docs.join(cuts, docs["source"].eqNullSafe(F.col("cut_source"))).withColumn("copies_", repeats.cast("int"))
+    return joined.filter("copies_ > 0").withColumn("copy_", F.explode(F.array_repeat(F.lit(1), F.col("copies_")))).select(*docs.columns)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mix_documents(docs).select("doc_id", "size", "source_size", "target", "taken")
