@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from tracewell.session import table
+from tracewell.plans import q_graph, q_text
 
-FLAGSHIP = "table_row_count"
-
-
-def table_row_count(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy().count().withColumnRenamed("count", "n_rows")
+FLAGSHIP = "lexical_search"
+_PARTS = (q_text, q_graph)
 
 
 def queries() -> dict:
-    return {"table_row_count": table_row_count}
+    return {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"table_row_count": "SELECT count(*) AS n_rows FROM documents"}
+    return {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
