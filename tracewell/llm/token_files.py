@@ -43,7 +43,7 @@ END_ID = 0
 #: White space of the Unicode property; a pre-token never continues from a non-blank into a blank.
 _BLANK = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _CHUNK = re.compile(f"[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+")
-_CACHE_ENTRIES = 1_000_000
+_CACHE_ENTRIES = 500_000
 _CACHE_CHARS = 64
 _tokenizers: dict[str, TextEncoder] = {}
 
@@ -126,7 +126,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
         for batch in batches:
             texts = batch.column("text").fill_null("")
             lengths = [len(x) if (x := t.as_buffer()) else 0 for t in texts]
-            for a, b in _slices(lengths, 4_000_000):
+            for a, b in _slices(lengths, 2_000_000):
                 ids = [x + end for x in encoder(texts.slice(a, b - a).to_pylist())]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(a, b - a), pa.array(ids, pa.binary()), pa.array([len(x) // encoder.kind.itemsize for x in ids], pa.int64())],
