@@ -25,7 +25,7 @@ from tracewell.llm._shared import fresh_dir, open_filesystem, stage
 from tracewell.llm.graph_components import components
 from tracewell.llm.shingles import fingerprints, shingle_sets
 from tracewell.llm.signature_tree import PERCENT, SignatureTree, bitmap, least_overlap, may_reach
-from tracewell.llm.words import mix64
+from tracewell.llm.words import mix64, slices
 
 #: Sets of a token up to this number are one leaf.
 ONE_LEAF = 32
@@ -46,7 +46,7 @@ def describe(docs: DataFrame) -> DataFrame:
     """doc_id, n, one, two (fingerprints), bits (bitmap) of every row, stored."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for whole in batches for x in slices(whole)):
             rows = [(len(s), *fingerprints(s), bitmap(s).tobytes()) for s in shingle_sets(batch.column("text"))]
             columns = list(zip(*rows, strict=True)) if rows else [()] * 4
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
@@ -62,7 +62,7 @@ def frequent_tokens(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches):
         held: list[np.ndarray] = []
-        for batch in batches:
+        for batch in (x for whole in batches for x in slices(whole)):
             held += [s for s in shingle_sets(batch.column("text")) if len(s)]
         if held:
             tokens, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -94,7 +94,7 @@ def postings(docs: DataFrame, tokens: np.ndarray, rank: np.ndarray) -> DataFrame
 
     def run(batches):
         seen: set[int] = set()
-        for batch in batches:
+        for batch in (x for whole in batches for x in slices(whole)):
             out: list[tuple[int, int, np.ndarray]] = []
             for row in shingle_sets(batch.column("text")):
                 one = fingerprints(row)[0]
@@ -270,7 +270,7 @@ def needed_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     def run(batches):
         filter_ = table()
-        for batch in batches:
+        for batch in (x for whole in batches for x in slices(whole)):
             batch = batch.filter(batch.column("doc_id").is_valid())
             if not batch.num_rows:
                 continue

@@ -10,7 +10,7 @@ import numpy as np
 PERCENT = 75
 LEAF = 16
 FAN_OUT = 8
-MIN_BITS, MAX_BITS = 64, 2048
+MIN_BITS, MAX_BITS = 64, 1 << 20
 
 
 def least_overlap(a, b):

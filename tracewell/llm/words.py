@@ -58,6 +58,17 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
+def slices(batch: pa.RecordBatch, most: int = 4_000_000, text: str = "text"):
+    """Runs of rows whose texts hold at most about `most` bytes (one row at least), which bounds a task's memory."""
+    column = batch.column(text).cast(pa.large_string())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + most, "right")) - 1)
+        yield batch.slice(a, b - a)
+        a = b
+
+
 class WordSplitter:
     """Lower-cases A-Z (unless told not to) and hashes the words of every text of a batch. A word is a maximal run of bytes
     of one kind; bytes of kind 0 part words."""
