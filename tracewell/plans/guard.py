@@ -37,9 +37,13 @@ def check_read_only(spark: SparkSession, sql: str) -> str:
         raise ValueError("the query is empty")
     if not re.match(r"(SELECT|WITH)\b", text, re.I):
         raise ValueError("a query must start with SELECT or WITH")
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
-    if plan.getClass().getSimpleName().startswith(_WRITES):
-        raise ValueError("the query does more than read")
+    left = [spark._jsparkSession.sessionState().sqlParser().parsePlan(text)]
+    while left:
+        plan = left.pop()
+        if plan.getClass().getSimpleName().startswith(_WRITES):
+            raise ValueError("the query does more than read")
+        children = plan.children()
+        left += [children.apply(k) for k in range(children.size())]
     return text
 
 
