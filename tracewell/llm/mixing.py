@@ -131,11 +131,12 @@ def repeat_documents(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
     mixed = mix_documents(docs, seed=seed, **options).withColumn("draw", draw_of(F.col("doc_id"), seed))
     cuts = mixed.groupBy("source").agg(
         F.min("repeats").alias("base"), F.max(F.struct("repeats", "draw")).alias("last")
-    ).select(F.col("source").alias("cut_source"), "base", F.col("last.repeats").alias("top"), F.col("last.draw").alias("cut"))
+    ).select(F.col("source").alias("__source"), F.col("base").alias("__base"), F.col("last.repeats").alias("__top"), F.col("last.draw").alias("__cut"))
     cuts = stage(cuts, "mix-cuts")
-    repeats = F.col("base") + F.when((F.col("top") > F.col("base")) & (draw_of(docs["doc_id"], seed) <= F.col("cut")), F.col("top") - F.col("base")).otherwise(0)
-    joined = docs.join(cuts, docs["source"].eqNullSafe(F.col("cut_source"))).withColumn("copies_", repeats.cast("int"))
-    return joined.filter("copies_ > 0").withColumn("copy_", F.explode(F.array_repeat(F.lit(1), F.col("copies_")))).select(*docs.columns)
+    once_more = (F.col("__top") > F.col("__base")) & (draw_of(F.col("doc_id"), seed) <= F.col("__cut"))
+    repeats = F.col("__base") + F.when(once_more, F.col("__top") - F.col("__base")).otherwise(0)
+    joined = docs.join(cuts, F.col("source").eqNullSafe(F.col("__source"))).withColumn("__copies", repeats.cast("int"))
+    return joined.filter("__copies > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -181,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, vectors, max_docs: int = MAX_FIT_DOC
     there, million = known.count(), 1_000_000
     part = min(million, max(1, max_docs * million // max(1, there)))
     sample = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(million)) < part)  # bounded by max_docs
-    named = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(F.broadcast(sample), "doc_id")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
     rows = _features(_narrow(named, "doc_id", "quality"), vectors).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["x"]))
     x = np.asarray([r["x"] for r in rows]).reshape(len(rows), DIMS + 2)

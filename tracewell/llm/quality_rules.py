@@ -107,7 +107,7 @@ def labelled_statistics(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_
     million = 1_000_000
     part = min(million, max(1, max_rows * million // there))
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(million)) < part).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")  # bounded by max_rows
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")  # bounded by max_rows
     rows = statistics(sample, keep=("doc_id", "quality")).selectExpr("doc_id", "quality", *(f"{e} as {k}" for k, e in FEATURES.items())).collect()
     rows.sort(key=lambda r: tuple(r))
     return [(tuple(float(r[k]) for k in FEATURES), int(r["quality"])) for r in rows]
