@@ -20,22 +20,22 @@ MIN_LANGUAGE_SCORE = 0.5
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a determinable language. The model learns from the documents that are not held out."""
     model = language_id.train_on(docs)
-    judged = language_id.identify(docs, model, keep=tuple(docs.columns))
-    return judged.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    judged = language_id.identify(docs.select(F.struct(*docs.columns).alias("row"), F.col("text")), model, keep=("row",))
+    return judged.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each component, and every one without words."""
     classes = jaccard_join.similarity_components(docs)
-    copies = stage(classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("copy_id")).distinct(), "copies")
-    return docs.join(copies, F.col("doc_id") == F.col("copy_id"), "left_anti").select(*docs.columns)
+    copies = stage(classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("__copy_id")).distinct(), "copies")
+    return docs.join(copies, F.col("doc_id") == F.col("__copy_id"), "left_anti").select(*docs.columns)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
     found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = stage(found.filter("n_hit > 0 and doc_id is not null").select(F.col("doc_id").alias("bad_id")).distinct(), "contaminated")
-    return docs.join(bad, F.col("doc_id") == F.col("bad_id"), "left_anti").select(*docs.columns)
+    bad = stage(found.filter("n_hit > 0 and doc_id is not null").select(F.col("doc_id").alias("__bad_id")).distinct(), "contaminated")
+    return docs.join(bad, F.col("doc_id") == F.col("__bad_id"), "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
