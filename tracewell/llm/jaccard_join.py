@@ -5,10 +5,11 @@
    frequent in a bounded sample last. Linked sets share a posted token, whatever the order, so the sample
    affects only speed.
 3. The sets of a token form a tree. One leaf is paired by sizes and places of the token; larger trees first
-   give a chain of neighbours, and, once those links are known, a dual traversal gives every further pair of
-   different components that node bounds do not rule out. So a group of thousands of near copies costs
-   about its size, and no pair that could add to a component is left out.
-4. Pairs pass the bitmap bound, then are verified on whole sets.
+   give each set a few partners, which pass a bitmap bound and are verified on whole sets.
+4. Trees whose sets then lie in several components get their whole sets; a dual traversal drops node pairs of one
+   component or of too small a possible overlap, and leaves give links by exact overlaps. Only links that join
+   components leave the tree, so a group of thousands of near copies emits about its size, and no link that could
+   add to a component is lost.
 """
 
 from __future__ import annotations
@@ -24,11 +25,13 @@ from pyspark.sql import functions as F
 from tracewell.llm._shared import fresh_dir, open_filesystem, stage
 from tracewell.llm.graph_components import components
 from tracewell.llm.shingles import fingerprints, shingle_sets
-from tracewell.llm.signature_tree import PERCENT, SignatureTree, bitmap, least_overlap, may_reach
+from tracewell.llm.signature_tree import PERCENT, bitmap, least_overlap, may_reach, tree_links
 from tracewell.llm.words import mix64, slices
 
 #: Sets of a token up to this number are one leaf.
 ONE_LEAF = 32
+#: Partners of a set in a larger tree before components are known: so many places on in size order, and the first.
+STRIDES = (1, 2, 4, 8, 16, 32)
 #: Bounds of the sample that orders frequent tokens, and of the list that is broadcast (12 bytes a token).
 SAMPLE_DOCS = 10_000
 FREQUENT = 4
@@ -184,7 +187,8 @@ def neighbours(posts: DataFrame) -> DataFrame:
                 if len(pick) <= ONE_LEAF:
                     i, j = (pick[x] for x in np.triu_indices(len(pick), 1))
                 else:
-                    i, j = np.concatenate((pick[:-1], np.full(len(pick) - 1, pick[0]))), np.concatenate((pick[1:], pick[1:]))
+                    i = np.concatenate([pick[:-w] for w in STRIDES if w < len(pick)] + [np.full(len(pick) - 1, pick[0])])
+                    j = np.concatenate([pick[w:] for w in STRIDES if w < len(pick)] + [pick[1:]])
                     yield pa.RecordBatch.from_arrays([pa.array(token[pick]), pa.array(one[pick]), pa.nulls(len(pick), pa.int64()), pa.array(n[pick].astype(np.int32)), pa.array(place[pick].astype(np.int32))], schema=schema)
                 ok = _fits(n[i], place[i], n[j], place[j])
                 left.append(one[i[ok]])
@@ -196,35 +200,34 @@ def neighbours(posts: DataFrame) -> DataFrame:
     return stage(ordered.mapInArrow(run, "token long, a long, b long, n int, place int"), "neighbours")
 
 
-def further_pairs(wide: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs (a, b) of the larger trees' members in different components. wide(token, a, n, place), known(key, bits, part)."""
-    names = ("token", "a", "n", "place", "part", "bits")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def further_links(docs: DataFrame, wide: DataFrame, known: DataFrame) -> DataFrame:
+    """Links (a, b: doc_ids of classes) that join components within the larger trees, stored. wide(token, a, n, place), known(key, rep, part)."""
 
     def mixed(batches):
-        for columns, begin, end in _runs(batches, ("token", "a", "n", "place", "part")):
-            part = np.asarray(columns[4])
+        for columns, begin, end in _runs(batches, ("token", "rep", "part", "n", "place", "a")):
+            part = np.asarray(columns[2])
             low, high = np.minimum.reduceat(part, begin), np.maximum.reduceat(part, begin)
-            keep = np.repeat(low != high, end - begin)
-            rows = np.flatnonzero(keep) + begin[0]
-            yield pa.RecordBatch.from_arrays([c.take(pa.array(rows)) for c in columns], ["token", "a", "n", "place", "part"])
+            rows = pa.array(np.flatnonzero(np.repeat(low != high, end - begin)))
+            yield pa.RecordBatch.from_arrays([c.take(rows) for c in columns], ["token", "rep", "part", "n", "place", "a"])
 
     def run(batches):
-        for columns, begin, end in _runs(batches, names):
-            a, n, place, part = (np.asarray(c).astype(np.int64) for c in columns[1:5])
+        for columns, begin, end in _runs(batches, ("token", "rep", "part", "n", "place", "tokens")):
+            rep, part, n, place = (np.asarray(c).astype(np.int64) for c in columns[1:5])
             for x, y in zip(begin.tolist(), end.tolist(), strict=True):
-                bits = [np.frombuffer(r, "<u8") for r in columns[5].slice(x, y - x).to_pylist()]
-                tree = SignatureTree(n[x:y], place[x:y], part[x:y], bits)
-                for i, j in tree.pairs():
-                    p, q = a[x + i], a[x + j]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], schema=schema)
-
-    parts = known.select(F.col("key").alias("p_key"), "part")
-    placed = wide.select("token", "a", "n", "place").join(parts, F.col("a") == F.col("p_key")).select("token", "a", "n", "place", "part")
-    left = stage(placed.repartition("token").sortWithinPartitions("token").mapInArrow(mixed, "token long, a long, n int, place int, part long"), "mixed")
-    bits = known.select(F.col("key").alias("b_key"), "bits")
-    dressed = left.join(bits, F.col("a") == F.col("b_key")).select(*names)
-    return dressed.repartition("token").sortWithinPartitions("token").mapInArrow(run, "a long, b long")
+                sets = [np.frombuffer(r, "<u8") for r in columns[5].slice(x, y - x).to_pylist()]
+                links = tree_links(n[x:y], place[x:y], part[x:y], sets) if y - x > 1 else []
+                if links:
+                    a, b = rep[x + np.asarray(links)].T
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    parts = known.select(F.col("key").alias("p_key"), "rep", "part")
+    placed = wide.select("token", "a", "n", "place").join(parts, F.col("a") == F.col("p_key")).select("token", "rep", "part", "n", "place", "a")
+    schema = "token long, rep long, part long, n int, place int, a long"
+    left = stage(placed.repartition("token").sortWithinPartitions("token").mapInArrow(mixed, schema), "mixed")
+    sets = needed_sets(docs, stage(left.select(F.col("rep").alias("doc_id")).distinct(), "mixed-ids"))
+    sets = sets.select(F.col("doc_id").alias("s_id"), F.col("one").alias("s_one"), "tokens")
+    dressed = left.join(sets, (F.col("rep") == F.col("s_id")) & (F.col("a") == F.col("s_one"))).select("token", "rep", "part", "n", "place", "tokens")
+    return stage(dressed.repartition("token").sortWithinPartitions("token").mapInArrow(run, "a long, b long").distinct(), "further")
 
 
 def _id_bits(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -329,18 +332,14 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     )
     members = classes.filter("rep is not null")
     found = neighbours(postings(docs, *frequent_tokens(docs)))
-    first = stage(found.filter("token is null").select("a", "b").distinct(), "pairs")
-    links = verified(docs, first, members)
+    links = verified(docs, found.filter("token is null").select("a", "b").distinct(), members)
     joined = stage(components(links), "components")
     wide = found.filter("token is not null")
     if not wide.isEmpty():
         part = members.join(joined, F.col("rep") == F.col("node"), "left")
-        known = stage(part.select(F.col("one").alias("key"), "bits", F.coalesce("component", "rep").alias("part")).dropDuplicates(["key"]), "known")
-        tried = first.select(F.col("a").alias("t_a"), F.col("b").alias("t_b"))
-        rest = further_pairs(wide, known).distinct().join(tried, (F.col("a") == F.col("t_a")) & (F.col("b") == F.col("t_b")), "left_anti")
-        rest = stage(rest, "further")
-        if not rest.isEmpty():
-            more = verified(docs, rest, members)
+        known = stage(part.select(F.col("one").alias("key"), "rep", F.coalesce("component", "rep").alias("part")).dropDuplicates(["key"]), "known")
+        more = further_links(docs, wide, known)
+        if not more.isEmpty():
             # the components so far stand for the links they came from
             old = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
             joined = stage(components(old.unionByName(more)), "components")

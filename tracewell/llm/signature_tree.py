@@ -36,16 +36,18 @@ def fold(words: np.ndarray, width: int) -> np.ndarray:
 
 
 class SignatureTree:
-    """Bulk-loaded over members (size, position of the shared token, component, bitmap)."""
+    """Bulk-loaded over members (size, position of the shared token, component, bitmap). exact says that bitmaps of equal width
+    have one bit for each token that two members share, so that leaves give links, not candidates."""
 
-    def __init__(self, sizes: np.ndarray, places: np.ndarray, parts: np.ndarray, bitmaps: list[np.ndarray]):
+    def __init__(self, sizes: np.ndarray, places: np.ndarray, parts: np.ndarray, bitmaps: list[np.ndarray], exact: bool = False):
         _, inverse, shared = np.unique(parts, return_inverse=True, return_counts=True)
         single = shared[inverse] == 1
         self.order = np.lexsort((sizes, np.where(single, 0, inverse), single))
         self.sizes, self.places, self.parts = sizes[self.order], places[self.order], parts[self.order]
         width = min(map(len, bitmaps))
         self.bits = np.stack([fold(bitmaps[k], width) for k in self.order])
-        self.slack = self.sizes - np.bitwise_count(self.bits).sum(axis=1, dtype=np.int64)
+        self.exact = exact
+        self.slack = self.sizes * 0 if exact else self.sizes - np.bitwise_count(self.bits).sum(axis=1, dtype=np.int64)
         begin = np.arange(0, len(sizes), LEAF)
         level = [self._node(b, min(len(sizes), b + LEAF), ()) for b in begin.tolist()]
         while len(level) > 1:
@@ -91,12 +93,51 @@ class SignatureTree:
                 i, j, need = i[fit], j[fit], need[fit]
                 if len(i):
                     a, b = self.bits[i], self.bits[j]
-                    most = np.minimum(self.sizes[i] - np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64), self.sizes[j] - np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64))
+                    most = np.bitwise_count(a & b).sum(axis=1, dtype=np.int64) if self.exact else np.minimum(self.sizes[i] - np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64), self.sizes[j] - np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64))
                     ok = most >= need
                     if ok.any():
                         yield self.order[i[ok]], self.order[j[ok]]
 
 
+def shared_bitmaps(sets: list[np.ndarray], most_bytes: int = 1 << 28) -> np.ndarray | None:
+    """One row a set with one bit for each token that two of them share; None if that takes more than most_bytes."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.cumsum(counts > 1) - 1
+    width = max(1, -(-int(place[-1] + 1) // 64))
+    if len(sets) * width * 8 > most_bytes:
+        return None
+    keep = counts[inverse] > 1
+    at, row = place[inverse[keep]], owner[keep]
+    out = np.zeros((len(sets), width), np.uint64)
+    np.bitwise_or.at(out, (row, at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+    return out
+
+
+def tree_links(sizes: np.ndarray, places: np.ndarray, parts: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links (member numbers) that join the given components as all links among these sets of one token would; a link inside what
+    is joined already is left out."""
+    rows = shared_bitmaps(sets)
+    tree = SignatureTree(sizes, places, parts, list(rows) if rows is not None else [bitmap(s) for s in sets], exact=rows is not None)
+    _, label = np.unique(parts, return_inverse=True)
+    out = []
+    for i, j in tree.pairs():
+        while len(i):
+            apart = label[i] != label[j]
+            i, j = i[apart], j[apart]
+            if not len(i):
+                break
+            a, b = int(i[0]), int(j[0])
+            if not tree.exact:
+                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if 100 * both < PERCENT * (len(sets[a]) + len(sets[b]) - both):
+                    i, j = i[1:], j[1:]
+                    continue
+            label[label == label[b]] = label[a]
+            out.append((a, b))
+    return out
+
+
 def may_reach(a: bytes, b: bytes, size_a: int, size_b: int) -> bool:
     """The bound of a leaf for one pair."""
     x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
