@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tracewell.plans import q_graph, q_source, q_sql, q_text
+from tracewell.plans import q_graph, q_model, q_source, q_sql, q_text
 
 FLAGSHIP = "lexical_search"
-_PARTS = (q_text, q_graph, q_sql, q_source)
+_PARTS = (q_text, q_graph, q_sql, q_source, q_model)
 
 
 def queries() -> dict:
