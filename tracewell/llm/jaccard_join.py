@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tracewell.llm._shared import fresh_dir, open_filesystem, stage
 from tracewell.llm.graph_components import components
 from tracewell.llm.shingles import fingerprints, shingle_sets
-from tracewell.llm.signature_tree import PERCENT, bitmap, least_overlap, may_reach, tree_links
+from tracewell.llm.signature_tree import PERCENT, SignatureTree, bitmap, least_overlap, may_reach, tree_links
 from tracewell.llm.words import mix64, slices
 
 #: Sets of a token up to this number are one leaf.
@@ -201,14 +201,30 @@ def neighbours(posts: DataFrame) -> DataFrame:
 
 
 def further_links(docs: DataFrame, wide: DataFrame, known: DataFrame) -> DataFrame:
-    """Links (a, b: doc_ids of classes) that join components within the larger trees, stored. wide(token, a, n, place), known(key, rep, part)."""
+    """Links (a, b: doc_ids of classes) that join components within the larger trees, stored. wide(token, a, n, place), known(key, rep, part, bits).
+
+    Whole sets are fetched only for rows that keep a possible partner under the bitmaps, which cost one to two bits a token."""
+
+    names = ("token", "rep", "part", "n", "place", "a")
 
     def mixed(batches):
-        for columns, begin, end in _runs(batches, ("token", "rep", "part", "n", "place", "a")):
+        for columns, begin, end in _runs(batches, names):
             part = np.asarray(columns[2])
             low, high = np.minimum.reduceat(part, begin), np.maximum.reduceat(part, begin)
             rows = pa.array(np.flatnonzero(np.repeat(low != high, end - begin)))
-            yield pa.RecordBatch.from_arrays([c.take(rows) for c in columns], ["token", "rep", "part", "n", "place", "a"])
+            yield pa.RecordBatch.from_arrays([c.take(rows) for c in columns], list(names))
+
+    def hopeful(batches):
+        for columns, begin, end in _runs(batches, (*names, "bits")):
+            part, n, place = (np.asarray(c).astype(np.int64) for c in columns[2:5])
+            keep = np.zeros(len(part), bool)
+            for x, y in zip(begin.tolist(), end.tolist(), strict=True):
+                if y - x > 1:
+                    bits = [np.frombuffer(r, "<u8") for r in columns[6].slice(x, y - x).to_pylist()]
+                    for i, j in SignatureTree(n[x:y], place[x:y], part[x:y], bits).pairs():
+                        keep[x + i] = keep[x + j] = True
+            rows = pa.array(np.flatnonzero(keep))
+            yield pa.RecordBatch.from_arrays([c.take(rows) for c in columns[:6]], list(names))
 
     def run(batches):
         for columns, begin, end in _runs(batches, ("token", "rep", "part", "n", "place", "tokens")):
@@ -224,6 +240,9 @@ def further_links(docs: DataFrame, wide: DataFrame, known: DataFrame) -> DataFra
     placed = wide.select("token", "a", "n", "place").join(parts, F.col("a") == F.col("p_key")).select("token", "rep", "part", "n", "place", "a")
     schema = "token long, rep long, part long, n int, place int, a long"
     left = stage(placed.repartition("token").sortWithinPartitions("token").mapInArrow(mixed, schema), "mixed")
+    bits = known.select(F.col("key").alias("b_key"), "bits")
+    marked = left.join(bits, F.col("a") == F.col("b_key")).select(*names, "bits").repartition("token").sortWithinPartitions("token")
+    left = stage(marked.mapInArrow(hopeful, schema), "hopeful")
     sets = needed_sets(docs, stage(left.select(F.col("rep").alias("doc_id")).distinct(), "mixed-ids"))
     sets = sets.select(F.col("doc_id").alias("s_id"), F.col("one").alias("s_one"), "tokens")
     dressed = left.join(sets, (F.col("rep") == F.col("s_id")) & (F.col("a") == F.col("s_one"))).select("token", "rep", "part", "n", "place", "tokens")
@@ -337,7 +356,7 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     wide = found.filter("token is not null")
     if not wide.isEmpty():
         part = members.join(joined, F.col("rep") == F.col("node"), "left")
-        known = stage(part.select(F.col("one").alias("key"), "rep", F.coalesce("component", "rep").alias("part")).dropDuplicates(["key"]), "known")
+        known = stage(part.select(F.col("one").alias("key"), "rep", "bits", F.coalesce("component", "rep").alias("part")).dropDuplicates(["key"]), "known")
         more = further_links(docs, wide, known)
         if not more.isEmpty():
             # the components so far stand for the links they came from
