@@ -17,6 +17,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -43,7 +44,8 @@ END_ID = 0
 #: White space of the Unicode property; a pre-token never continues from a non-blank into a blank.
 _BLANK = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _CHUNK = re.compile(f"[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+")
-_CACHE_ENTRIES = 500_000
+#: Entries of each of the two generations of remembered chunks.
+_CACHE_ENTRIES = 400_000
 _CACHE_CHARS = 64
 _tokenizers: dict[str, TextEncoder] = {}
 
@@ -70,22 +72,27 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         pre = model.get("pre_tokenizer") or {}
         plain = all(not (t.get("lstrip") or t.get("rstrip") or re.search(f"[{_BLANK}]", t["content"])) for t in model.get("added_tokens", []))
         self.by_chunk = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not model.get("normalizer") and plain
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_chunk or not texts:
             return self._whole(texts)
         chunks = [_CHUNK.findall(t) for t in texts]
-        cache = self.cache
-        if len(cache) > _CACHE_ENTRIES:
-            cache.clear()
-        new = list(set().union(*chunks).difference(cache))
+        if len(self.cache) > _CACHE_ENTRIES:
+            self.older, self.cache = self.cache, {}
+        cache, older = self.cache, self.older
+        new = set().union(*chunks).difference(cache)
+        known = new.intersection(older)
+        cache.update((c, older[c]) for c in known)
+        new = list(new - known)
         for k in range(0, len(new), 20_000):
             part = new[k : k + 20_000]
             cache.update(zip(part, self._whole(part), strict=True))
