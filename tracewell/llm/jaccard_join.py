@@ -6,10 +6,10 @@
    affects only speed.
 3. The sets of a token form a tree. One leaf is paired by sizes and places of the token; larger trees first
    give each set a few partners, which pass a bitmap bound and are verified on whole sets.
-4. Trees whose sets then lie in several components get their whole sets; a dual traversal drops node pairs of one
-   component or of too small a possible overlap, and leaves give links by exact overlaps. Only links that join
-   components leave the tree, so a group of thousands of near copies emits about its size, and no link that could
-   add to a component is lost.
+4. Trees whose sets then lie in several components are traversed with bitmaps: node pairs of one component or of too
+   small a possible overlap are dropped. Sets that may still meet form clusters; a cluster's tree over whole sets gives
+   exact links. Only links that join components leave a tree, so a group of thousands of near copies emits about
+   its size, and no link that could add to a component is lost.
 """
 
 from __future__ import annotations
@@ -201,10 +201,10 @@ def neighbours(posts: DataFrame) -> DataFrame:
 
 
 def further_links(docs: DataFrame, wide: DataFrame, known: DataFrame) -> DataFrame:
-    """Links (a, b: doc_ids of classes) that join components within the larger trees, stored. wide(token, a, n, place), known(key, rep, part, bits).
-
-    Whole sets are fetched only for rows that keep a possible partner under the bitmaps, which cost one to two bits a token."""
+    """Links (a, b: doc_ids of classes) that join components within the larger trees, stored. wide(token, a, n, place), known(key, rep, part, bits, n_set).
 
+    Bitmaps (one to two bits a token) tell which sets may still meet; sets that may meet, in whatever tree, form a
+    cluster, and each whole set is sent to its cluster once, however many tokens it shares."""
     names = ("token", "rep", "part", "n", "place", "a")
 
     def mixed(batches):
@@ -214,24 +214,32 @@ def further_links(docs: DataFrame, wide: DataFrame, known: DataFrame) -> DataFra
             rows = pa.array(np.flatnonzero(np.repeat(low != high, end - begin)))
             yield pa.RecordBatch.from_arrays([c.take(rows) for c in columns], list(names))
 
-    def hopeful(batches):
+    def meeting(batches):
+        """Links of a spanning forest of the pairs that bitmaps leave possible."""
         for columns, begin, end in _runs(batches, (*names, "bits")):
-            part, n, place = (np.asarray(c).astype(np.int64) for c in columns[2:5])
-            keep = np.zeros(len(part), bool)
+            rep, part, n, place = (np.asarray(c).astype(np.int64) for c in columns[1:5])
             for x, y in zip(begin.tolist(), end.tolist(), strict=True):
-                if y - x > 1:
-                    bits = [np.frombuffer(r, "<u8") for r in columns[6].slice(x, y - x).to_pylist()]
-                    for i, j in SignatureTree(n[x:y], place[x:y], part[x:y], bits).pairs():
-                        keep[x + i] = keep[x + j] = True
-            rows = pa.array(np.flatnonzero(keep))
-            yield pa.RecordBatch.from_arrays([c.take(rows) for c in columns[:6]], list(names))
+                if y - x < 2:
+                    continue
+                bits = [np.frombuffer(r, "<u8") for r in columns[6].slice(x, y - x).to_pylist()]
+                label, out = np.arange(y - x), []
+                for i, j in SignatureTree(n[x:y], place[x:y], part[x:y], bits).pairs():
+                    while len(i):
+                        apart = label[i] != label[j]
+                        i, j = i[apart], j[apart]
+                        if len(i):
+                            out.append((int(i[0]), int(j[0])))
+                            label[label == label[j[0]]] = label[i[0]]
+                if out:
+                    a, b = rep[x + np.asarray(out)].T
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     def run(batches):
-        for columns, begin, end in _runs(batches, ("token", "rep", "part", "n", "place", "tokens")):
-            rep, part, n, place = (np.asarray(c).astype(np.int64) for c in columns[1:5])
+        for columns, begin, end in _runs(batches, ("cluster", "rep", "part", "n_set", "tokens")):
+            rep, part, n = (np.asarray(c).astype(np.int64) for c in columns[1:4])
             for x, y in zip(begin.tolist(), end.tolist(), strict=True):
-                sets = [np.frombuffer(r, "<u8") for r in columns[5].slice(x, y - x).to_pylist()]
-                links = tree_links(n[x:y], place[x:y], part[x:y], sets) if y - x > 1 else []
+                sets = [np.frombuffer(r, "<u8") for r in columns[4].slice(x, y - x).to_pylist()]
+                links = tree_links(n[x:y], np.zeros(y - x, np.int64), part[x:y], sets) if y - x > 1 else []
                 if links:
                     a, b = rep[x + np.asarray(links)].T
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
@@ -241,12 +249,13 @@ def further_links(docs: DataFrame, wide: DataFrame, known: DataFrame) -> DataFra
     schema = "token long, rep long, part long, n int, place int, a long"
     left = stage(placed.repartition("token").sortWithinPartitions("token").mapInArrow(mixed, schema), "mixed")
     bits = known.select(F.col("key").alias("b_key"), "bits")
-    marked = left.join(bits, F.col("a") == F.col("b_key")).select(*names, "bits").repartition("token").sortWithinPartitions("token")
-    left = stage(marked.mapInArrow(hopeful, schema), "hopeful")
-    sets = needed_sets(docs, stage(left.select(F.col("rep").alias("doc_id")).distinct(), "mixed-ids"))
-    sets = sets.select(F.col("doc_id").alias("s_id"), F.col("one").alias("s_one"), "tokens")
-    dressed = left.join(sets, (F.col("rep") == F.col("s_id")) & (F.col("a") == F.col("s_one"))).select("token", "rep", "part", "n", "place", "tokens")
-    return stage(dressed.repartition("token").sortWithinPartitions("token").mapInArrow(run, "a long, b long").distinct(), "further")
+    dressed = left.join(bits, F.col("a") == F.col("b_key")).select(*names, "bits").repartition("token").sortWithinPartitions("token")
+    clusters = components(dressed.mapInArrow(meeting, "a long, b long")).select("node", F.col("component").alias("cluster"))
+    clusters = stage(clusters, "clusters")
+    sets = needed_sets(docs, clusters.select(F.col("node").alias("doc_id"))).select(F.col("doc_id").alias("s_id"), F.col("one").alias("s_one"), "tokens")
+    members = known.join(clusters, F.col("rep") == F.col("node")).join(sets, (F.col("rep") == F.col("s_id")) & (F.col("key") == F.col("s_one")))
+    grouped = members.select("cluster", "rep", "part", "n_set", "tokens").repartition("cluster").sortWithinPartitions("cluster")
+    return stage(grouped.mapInArrow(run, "a long, b long").distinct(), "further")
 
 
 def _id_bits(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -356,7 +365,7 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     wide = found.filter("token is not null")
     if not wide.isEmpty():
         part = members.join(joined, F.col("rep") == F.col("node"), "left")
-        known = stage(part.select(F.col("one").alias("key"), "rep", "bits", F.coalesce("component", "rep").alias("part")).dropDuplicates(["key"]), "known")
+        known = stage(part.select(F.col("one").alias("key"), "rep", "bits", F.col("n").alias("n_set"), F.coalesce("component", "rep").alias("part")).dropDuplicates(["key"]), "known")
         more = further_links(docs, wide, known)
         if not more.isEmpty():
             # the components so far stand for the links they came from
