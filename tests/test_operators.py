@@ -7,7 +7,7 @@ from tracewell.functions import source_lines, sqltext
 from tracewell.functions import text as X
 from tracewell.operators import budget, context, delta, govern, graph, search
 from tracewell.operators.store import SnapshotStore
-from tracewell.plans import guard
+from tracewell.plans import catalogue, guard
 from tracewell.sources import files, sinks
 
 
@@ -144,3 +144,10 @@ def test_streamed_counts_equal_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert values(spark.table("counts")) == values(event_counts(rows))
+
+
+def test_every_event_is_edited(spark, tmp_path):
+    rows = [(k, "view", f'{{"k": {k % 7}}}') for k in (0, 499, 500, 501, 123_456)]
+    spark.createDataFrame(rows, "event_id long, event_type string, props string").write.parquet(f"{tmp_path}/events.parquet")
+    found = catalogue.queries()["json_edit_whole"](spark, str(tmp_path)).select("event_id", "tag", "k", "n_left")
+    assert values(found) == sorted(((k, "view", str(k % 7), 1) for k, _, _ in rows), key=repr)

@@ -16,10 +16,18 @@ def json_predicates(spark, d):
     return e.filter(nested.matches(F.col("props"), {"k.$exists": True, "k.$matches": "^[0-4]"})).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def json_edit(spark, d):
-    e = table(spark, d, "events").filter("event_id < 500")
+def _edited(events):
     edited = nested.with_field(F.col("props"), "tag", F.col("event_type"))
-    return e.select("event_id", nested.value_at(edited, "tag").alias("tag"), nested.value_at(edited, "k").alias("k"), F.size(nested.flattened(nested.without_field(edited, "k"))).cast("long").alias("n_left"))
+    return events.select("event_id", nested.value_at(edited, "tag").alias("tag"), nested.value_at(edited, "k").alias("k"), F.size(nested.flattened(nested.without_field(edited, "k"))).cast("long").alias("n_left"))
+
+
+def json_edit(spark, d):
+    """The first events only, as its SQL; json_edit_whole edits every one."""
+    return _edited(table(spark, d, "events").filter("event_id < 500"))
+
+
+def json_edit_whole(spark, d):
+    return _edited(table(spark, d, "events"))
 
 
 def entity_model(spark, d):
@@ -82,12 +90,13 @@ def known_facts(spark, d):
     return model.valid_facts(facts.crossJoin(latest), F.col("now")).groupBy(F.col("ttl_days").isNull().alias("endless")).agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (json_predicates, json_edit, entity_model, model_summary, strongest_kinds, binding_summary, catalog_relations, co_occurrence, corpus_comparison, diagnostic_pack, adaptive_variant, known_facts)}
+QUERIES = {f.__name__: f for f in (json_predicates, json_edit, json_edit_whole, entity_model, model_summary, strongest_kinds, binding_summary, catalog_relations, co_occurrence, corpus_comparison, diagnostic_pack, adaptive_variant, known_facts)}
 
 _K = "json_extract_string(props, '$.k')"
 ORACLES = {
     "json_predicates": f"SELECT event_type, count(*) AS n FROM events WHERE {_K} IS NOT NULL AND regexp_matches({_K}, '^[0-4]') GROUP BY 1",
     "json_edit": f"SELECT event_id, event_type AS tag, {_K} AS k, 1::BIGINT AS n_left FROM events WHERE event_id < 500",
+    "json_edit_whole": f"SELECT event_id, event_type AS tag, {_K} AS k, 1::BIGINT AS n_left FROM events",
     "entity_model": """WITH f AS (SELECT 'FILE:FILE' || (c_custkey % 7) AS id, c_custkey AS k, 3 AS line FROM customer UNION ALL SELECT 'COPY:QRPGLESRC,CPY' || (c_custkey % 3), c_custkey, 4 FROM customer UNION ALL SELECT 'CALL:PGM' || (c_custkey * 7 % 100), c_custkey, 9 FROM customer)
 SELECT id, count(*) AS n_evidence, count(*) AS files, min('src/P' || k || '.rpgle') AS first_path, min(line)::BIGINT AS first_line FROM f GROUP BY id""",
     "model_summary": "SELECT count(DISTINCT c_custkey % 7) AS file, count(DISTINCT c_custkey * 7 % 100) AS call, count(DISTINCT c_custkey % 3) AS copy, 1::BIGINT AS procedure, count(DISTINCT c_nationkey) AS binding_directory, count(*) AS files FROM customer",
