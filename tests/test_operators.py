@@ -151,3 +151,23 @@ def test_every_event_is_edited(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, event_type string, props string").write.parquet(f"{tmp_path}/events.parquet")
     found = catalogue.queries()["json_edit_whole"](spark, str(tmp_path)).select("event_id", "tag", "k", "n_left")
     assert values(found) == sorted(((k, "view", str(k % 7), 1) for k, _, _ in rows), key=repr)
+
+
+def test_text_scalars_see_whole_texts(spark, tmp_path):
+    head = "x" * 60
+    texts = [f"{head}a", f"{head}b", "  " + "w " * 2000 + " " * 1000, "", None, "é😀 " * 500, "\n" + head * 30 + " "]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def rolling(text):
+        h = 0
+        for c in text:
+            h = (h * 31 + ord(c)) % (1 << 32)
+        return format(abs(h - (1 << 32) if h >= 1 << 31 else h), "x")
+
+    def saved(text):
+        return int((len(text) - len(text.strip(" "))) * 100 / len(text) + 0.5) if text else 0
+
+    rows = {r["doc_id"]: r for r in catalogue.queries()["text_scalars"](spark, str(tmp_path)).collect()}
+    assert len(rows) == len(texts) and rows[0]["rolling"] != rows[1]["rolling"]
+    for k, text in enumerate(texts):
+        assert (rows[k]["rolling"], rows[k]["saved"]) == (None if text is None else rolling(text), saved(text))

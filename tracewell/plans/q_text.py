@@ -40,7 +40,7 @@ def text_scalars(spark, d):
     return table(spark, d, "documents").select(
         "doc_id", X.estimate_tokens(t).alias("tokens"), X.newline_style(t).alias("newlines"), X.content_hash(t).alias("content_hash"),
         F.size(X.analyze_text(t)).cast("long").alias("n_terms"), X.truncated(t, 40).alias("head"),
-        X.reduction_percent(F.length(t), F.length(F.trim(F.substring(t, 1, 1000)))).alias("saved"), X.rolling_hash(F.substring(t, 1, 60)).alias("rolling"),
+        X.reduction_percent(F.length(t), F.length(F.trim(t))).alias("saved"), X.rolling_hash(t).alias("rolling"),
     )
 
 
