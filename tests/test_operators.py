@@ -171,3 +171,17 @@ def test_text_scalars_see_whole_texts(spark, tmp_path):
     assert len(rows) == len(texts) and rows[0]["rolling"] != rows[1]["rolling"]
     for k, text in enumerate(texts):
         assert (rows[k]["rolling"], rows[k]["saved"]) == (None if text is None else rolling(text), saved(text))
+
+
+def test_lookups_take_every_member_and_export(spark, tmp_path):
+    def write(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    write("customer", [(90, 0), (120, 1), (79, 3)], "c_custkey long, c_nationkey int")
+    write("orders", [(1, 0), (2, 19), (3, 35)], "o_orderkey long, o_custkey long")
+    write("part", [(1000, 0)], "p_partkey long, p_size int")
+    write("lineitem", [(7, 13), (7, 25)], "l_suppkey long, l_partkey long")
+    callees = catalogue.queries()["callee_resolution_whole"](spark, str(tmp_path)).select("caller", "status", "path")
+    assert values(callees) == [(1, "ambiguous", None), (2, "resolved", "/src/38"), (3, "unresolved", None)]
+    bound = catalogue.queries()["binding_summary_whole"](spark, str(tmp_path)).select("program", "n_imports", "n_bound", "unresolved")
+    assert values(bound) == [(7, 2, 1, "P25")]

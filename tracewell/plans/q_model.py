@@ -50,6 +50,13 @@ def binding_summary(spark, d):
     return model.binding_summary(modules, exports).withColumn("unresolved", F.array_join("unresolved", ","))
 
 
+def binding_summary_whole(spark, d):
+    """Exports from every part: their 21 names leave nine imports unresolved."""
+    modules = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("program"), F.concat(F.lit("p"), F.col("l_partkey") % 30).alias("import"))
+    exports = table(spark, d, "part").select(F.concat(F.lit("P"), F.col("p_partkey") % 21).alias("procedure"))
+    return model.binding_summary(modules, exports).withColumn("unresolved", F.array_join("unresolved", ","))
+
+
 def catalog_relations(spark, d):
     cust = table(spark, d, "customer")
     used = cust.filter("c_custkey % 2 = 0").select(F.concat(F.lit("T"), F.col("c_custkey") % 50).alias("table"))
@@ -90,7 +97,7 @@ def known_facts(spark, d):
     return model.valid_facts(facts.crossJoin(latest), F.col("now")).groupBy(F.col("ttl_days").isNull().alias("endless")).agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (json_predicates, json_edit, json_edit_whole, entity_model, model_summary, strongest_kinds, binding_summary, catalog_relations, co_occurrence, corpus_comparison, diagnostic_pack, adaptive_variant, known_facts)}
+QUERIES = {f.__name__: f for f in (json_predicates, json_edit, json_edit_whole, entity_model, model_summary, strongest_kinds, binding_summary, binding_summary_whole, catalog_relations, co_occurrence, corpus_comparison, diagnostic_pack, adaptive_variant, known_facts)}
 
 _K = "json_extract_string(props, '$.k')"
 ORACLES = {
@@ -103,6 +110,8 @@ SELECT id, count(*) AS n_evidence, count(*) AS files, min('src/P' || k || '.rpgl
     "strongest_kinds": "SELECT o_custkey, ['FILE', 'DISK', 'PRINTER', 'WORKSTN'][max(o_orderkey % 4)::INT + 1] AS kind FROM orders GROUP BY 1",
     "binding_summary": """SELECT l_suppkey AS program, count(DISTINCT l_partkey % 30) AS n_imports, count(DISTINCT CASE WHEN l_partkey % 30 BETWEEN 0 AND 20 THEN l_partkey % 30 END) AS n_bound,
 coalesce(array_to_string(list_sort(list_distinct(list('P' || (l_partkey % 30)) FILTER (l_partkey % 30 NOT BETWEEN 0 AND 20))), ','), '') AS unresolved FROM lineitem GROUP BY 1""",
+    "binding_summary_whole": """WITH e AS (SELECT DISTINCT p_partkey % 21 AS k FROM part), i AS (SELECT DISTINCT l_suppkey AS program, l_partkey % 30 AS k FROM lineitem)
+SELECT program, count(*) AS n_imports, count(e.k) AS n_bound, coalesce(string_agg(CASE WHEN e.k IS NULL THEN 'P' || i.k END, ',' ORDER BY 'P' || i.k), '') AS unresolved FROM i LEFT JOIN e ON e.k = i.k GROUP BY 1""",
     "catalog_relations": """WITH u AS (SELECT DISTINCT 'T' || (c_custkey % 50) AS t FROM customer WHERE c_custkey % 2 = 0)
 SELECT 'T' || (c_custkey % 50) AS src, 'N' || c_nationkey AS dst, 'REFERENCES_TABLE' AS type FROM customer WHERE 'T' || (c_custkey % 50) IN (SELECT t FROM u)
 UNION SELECT 'T' || (c_custkey % 50), 'TRG', 'HAS_TRIGGER' FROM customer WHERE c_custkey % 10 = 0 AND 'T' || (c_custkey % 50) IN (SELECT t FROM u)
