@@ -24,18 +24,31 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return judged.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("row.*")
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a unique __row, stored, so that rows with null or repeated ids are told apart."""
+    return stage(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each component, and every one without words."""
-    classes = jaccard_join.similarity_components(docs)
-    copies = stage(classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("__copy_id")).distinct(), "copies")
-    return docs.join(copies, F.col("doc_id") == F.col("__copy_id"), "left_anti").select(*docs.columns)
+    """Keeps one row of each component, that with the least id, and every one without words.
+
+    Rows are decided one by one: of repeated rows one stays, and a null id comes after all others of its component."""
+    rows = _numbered(docs)
+    ids = rows.select("__row", "doc_id")
+    classes = jaccard_join.similarity_components(rows.select(F.col("__row").alias("doc_id"), "text"))
+    placed = ids.join(classes.select(F.col("doc_id").alias("__row"), "component_id"), "__row")
+    first = placed.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__row")).alias("first"))
+    kept = stage(first.select("first.__row"), "kept")
+    copies = stage(ids.join(kept, "__row", "left_anti").select("__row"), "copies")
+    return rows.join(copies, "__row", "left_anti").select(*docs.columns)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of a benchmark item."""
-    found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = stage(found.filter("n_hit > 0 and doc_id is not null").select(F.col("doc_id").alias("__bad_id")).distinct(), "contaminated")
-    return docs.join(bad, F.col("doc_id") == F.col("__bad_id"), "left_anti").select(*docs.columns)
+    """Drops every row that holds a window of a benchmark item, those with null or repeated ids too, each by its own text."""
+    rows = _numbered(docs)
+    found = decontamination.decontaminate(rows.select(F.col("__row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    bad = stage(found.filter("n_hit > 0").select(F.col("doc_id").alias("__row")), "contaminated")
+    return rows.join(bad, "__row", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

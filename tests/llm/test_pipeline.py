@@ -36,3 +36,15 @@ def test_empty_input_runs_through(spark):
     for name, function in corpus_pipeline.STAGES:
         docs = corpus_pipeline.stage(function(spark, docs, str(DATA)), f"e-{name}")
     assert docs.count() == 0
+
+
+def test_rows_with_null_and_repeated_ids_are_decided(spark):
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").first()["text"]
+    text = " ".join(f"word{k}" for k in range(40))
+    rows = [(None, text), (5, text), (5, text), (3, text), (3, text), (None, None), (None, "lone words of a row"), (None, "lone words of a row")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s"))
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, str(DATA)).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=repr) == sorted([(3, text), (None, None), (None, "lone words of a row")], key=repr)
+    docs = spark.createDataFrame([(None, item), (1, item), (1, "clean"), (None, "clean too"), (None, None)], "doc_id long, text string")
+    kept = corpus_pipeline.remove_contaminated(spark, docs, str(DATA)).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=repr) == sorted([(1, "clean"), (None, "clean too"), (None, None)], key=repr)
