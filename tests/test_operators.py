@@ -185,3 +185,9 @@ def test_lookups_take_every_member_and_export(spark, tmp_path):
     assert values(callees) == [(1, "ambiguous", None), (2, "resolved", "/src/38"), (3, "unresolved", None)]
     bound = catalogue.queries()["binding_summary_whole"](spark, str(tmp_path)).select("program", "n_imports", "n_bound", "unresolved")
     assert values(bound) == [(7, 2, 1, "P25")]
+
+
+def test_pseudonyms_stay_distinct_beyond_three_digits(spark):
+    rows = spark.range(1, 10_012).select(F.lit("a").alias("category"), F.concat(F.lit("v"), "id").alias("value"), F.col("id").alias("seen"))
+    found = {r["value"]: r["placeholder"] for r in govern.pseudonyms(rows, "category", "value", "seen").collect()}
+    assert found == {f"v{k}": f"A_{k:03d}" for k in range(1, 10_012)}

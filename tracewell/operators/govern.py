@@ -33,10 +33,10 @@ def policy_plan(requests: DataFrame, allowed: Sequence[str], denied: Sequence[st
 
 
 def pseudonyms(values: DataFrame, category: str, value: str, seen: str) -> DataFrame:
-    """category, value, placeholder CATEGORY_001 ... in first-seen order of distinct values."""
+    """category, value, placeholder CATEGORY_001 ... in first-seen order of distinct values; numbers from 1000 on are whole."""
     firsts = values.groupBy(category, value).agg(F.min(seen).alias("first_"))
     number = F.row_number().over(Window.partitionBy(category).orderBy("first_", value))
-    return firsts.select(category, value, F.concat(F.upper(category), F.lit("_"), F.lpad(number.cast("string"), 3, "0")).alias("placeholder"))
+    return firsts.select(category, value, F.concat(F.upper(category), F.lit("_"), F.when(number < 1000, F.lpad(number.cast("string"), 3, "0")).otherwise(number.cast("string"))).alias("placeholder"))
 
 
 def redact_literals(text: Column, placeholder: str = "<LITERAL>") -> Column:
