@@ -306,6 +306,15 @@ def test_surrogates_stay_distinct_when_they_collide(spark, monkeypatch):
     assert len({r["surrogate"] for r in rows}) == 21 and not {r["surrogate"] for r in rows} & {r["norm"] for r in rows}
 
 
+def test_more_titled_names_than_three_syllables_make(spark):
+    names = ["mr " + "".join(chr(97 + k // 26**p % 26) for p in range(4)) for k in range(5200)] + [f"mr анто{a}{b}" for a in "абвгд" for b in "абвгд"]
+    entities = spark.createDataFrame([("NAME", n) for n in names], "kind string, norm string")
+    rows = surrogates.assign_surrogates(entities).collect()
+    made = {r["surrogate"] for r in rows}
+    assert len(rows) == len(made) == len(names) and not made & set(names)
+    assert all(re.fullmatch("mr [a-z]{9,}|mr [а-я]{8,}", m) for m in made)
+
+
 # ---------------------------------------------------------------- 7 mixing
 
 

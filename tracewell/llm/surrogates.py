@@ -101,9 +101,11 @@ def _card(norm: Column, hex_: Column) -> Column:
     return F.concat(body, F.when(valid, last).otherwise(F.pmod(last + 1, F.lit(10))).cast("string"))
 
 
-def _name(norm: Column, hex_: Column) -> Column:
+def _name(norm: Column, hex_: Column, attempt: Column) -> Column:
     """Title kept; a known first name becomes another of its gender and script (an unknown one after a title takes the
-    title's gender); a family name becomes made-up syllables of its script."""
+    title's gender); a family name becomes made-up syllables of its script, three and one more each attempt, so
+    that the names to draw from grow sixteenfold a round."""
+    n = F.lit(3) + attempt
     words = F.split(norm, " ")
     lower = lambda values: [v.lower() for v in values]
     bare = F.regexp_replace(F.get(words, F.lit(0)), "\\.$", "")
@@ -117,7 +119,7 @@ def _name(norm: Column, hex_: Column) -> Column:
         for (gender, script), names in FIRST_NAMES.items():
             of_script = cyrillic if script == "cyrillic" else ~cyrillic
             chain = chain.when(first & (w.isin(lower(names)) | (titles[gender] & of_script)), F.lower(_pick(names, hex_, i)))
-        made = lambda script: F.concat(*(_pick(SYLLABLES[script], hex_, i * 3 + k + 2) for k in range(3)))
+        made = lambda script: F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda k: _pick(SYLLABLES[script], hex_, i * n + k + 2)), "")
         return chain.otherwise(F.when(cyrillic, made("cyrillic")).otherwise(made("latin")))
 
     return F.array_join(F.transform(words, one), " ")
@@ -139,7 +141,7 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str = KEY) -> Co
         .when(kind == "SECRET", hexa)
         .when(kind == "PHONE", phone)
         .when(kind == "IP", octets)
-        .when(kind == "NAME", _name(norm, hex_))
+        .when(kind == "NAME", _name(norm, hex_, attempt))
         .otherwise(_card(norm, hex_))
     )
 
