@@ -2,14 +2,15 @@
 
 1. Texts become sets; equal sets become one class (least doc_id), aggregated before the shuffle.
 2. Every class posts the first quarter of its set in one global order: rare tokens by hash, tokens that are
-   frequent in a bounded sample last. Linked sets share a posted token, whatever the order, so the sample
-   affects only speed.
-3. The sets of a token form a tree. One leaf is paired by sizes and places of the token; larger trees first
-   give each set a few partners, which pass a bitmap bound and are verified on whole sets.
-4. Trees whose sets then lie in several components get their whole sets; a dual traversal drops node pairs of one
-   component or of too small a possible overlap, and leaves give links by exact overlaps. Only links that join
-   components leave the tree, so a group of thousands of near copies emits about its size, and no link that could
-   add to a component is lost.
+   frequent in a bounded sample last. Linked sets share a posted token, whatever the order, so the sample affects only speed.
+3. The sets of a token that are neighbours by size are tested by their bitmaps; what may reach the similarity is put in one
+   cluster. These pairs are hints: they only make the next step smaller.
+4. The sets of a token that lie in several clusters form a signature tree, whose nodes hold OR-combined bitmaps, size ranges and
+   cluster ranges; a dual traversal finds every pair across clusters that may reach the similarity and merges the two. From then
+   on all links lie within clusters.
+5. The text of each class goes once to its cluster (a large one is cut into chunks). A signature tree over whole sets is
+   traversed against itself; only links that join components leave it, so a group of thousands of near copies emits about its
+   size, and no link that could add to a component is lost.
 """
 
 from __future__ import annotations
@@ -17,28 +18,34 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm._shared import fresh_dir, open_filesystem, stage
+from tracewell.llm._shared import discard, fresh_dir, open_filesystem, stage, tidied
 from tracewell.llm.graph_components import components
 from tracewell.llm.shingles import fingerprints, shingle_sets
-from tracewell.llm.signature_tree import PERCENT, SignatureTree, bitmap, least_overlap, may_reach, tree_links
+from tracewell.llm.signature_tree import PERCENT, SignatureTree, bitmap, least_overlap, may_reach, merging_pairs, tree_links
 from tracewell.llm.words import mix64, slices
 
-#: Sets of a token up to this number are one leaf.
-ONE_LEAF = 32
-#: Partners of a set in a larger tree before components are known: so many places on in size order, and the first.
+#: Neighbours of a set among those of one token: so many places on in size order, and the first.
 STRIDES = (1, 2, 4, 8, 16, 32)
+#: Sets of one tree of step 4; a token of more sets is cut into runs by size, and pairs of runs are trees of their own.
+TREE_SETS = 2048
+#: Tokens of one tree of step 5, and the sets of a larger cluster that all of its chunks share.
+CHUNK_TOKENS = 2_000_000
+ANCHORS = 16
 #: Bounds of the sample that orders frequent tokens, and of the list that is broadcast (12 bytes a token).
 SAMPLE_DOCS = 10_000
 FREQUENT = 4
 MAX_FREQUENT = 1_000_000
-#: Bits of the filter over documents whose sets are needed: 16 a document, between these; beyond, more rows pass it, none is lost.
+SEEN_CLASSES = 500_000
+#: Rows of postings that are looked at together.
+STEP = 250_000
+#: Bits of the filter over documents whose texts are needed: 16 a document, between these; beyond, more rows pass it, none is lost.
 FILTER_BITS = (16, 27)
-SEEN_CLASSES = 1_000_000
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
@@ -55,7 +62,7 @@ def describe(docs: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n", "one", "two", "bits"])
 
-    return stage(_narrow(docs).mapInArrow(run, "doc_id long, n long, one long, two long, bits binary"), "sets")
+    return stage(_narrow(docs).mapInArrow(tidied(run), "doc_id long, n long, one long, two long, bits binary"), "sets")
 
 
 def frequent_tokens(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +79,7 @@ def frequent_tokens(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(counts, pa.int64())], ["token", "df"])
 
     sample = _narrow(docs).filter(F.pmod(F.xxhash64("doc_id"), F.lit(million)) < part)
-    counted = sample.mapInArrow(run, "token long, df long").groupBy("token").agg(F.sum("df").alias("df")).filter(F.col("df") >= FREQUENT)
+    counted = sample.mapInArrow(tidied(run), "token long, df long").groupBy("token").agg(F.sum("df").alias("df")).filter(F.col("df") >= FREQUENT)
     table = counted.orderBy(F.desc("df"), "token").limit(MAX_FREQUENT).toArrow()
     tokens = np.asarray(table.column("token")).astype(np.int64).view(np.uint64)[::-1]
     rank = np.arange(len(tokens), dtype=np.int32)
@@ -91,35 +98,44 @@ def posted(row: np.ndarray, tokens: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return row[:length]
 
 
+#: Postings carry 48 bits of a token and of a set's fingerprint. Where two share them, they meet in a tree more than they need to.
+SHORT_BITS = 48
+
+
+def _short(one: F.Column) -> F.Column:
+    return one.bitwiseAND(F.lit((1 << SHORT_BITS) - 1))
+
+
 def postings(docs: DataFrame, tokens: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """token, one, n, place; a task posts equal sets once (as long as it remembers them)."""
+    """token, key, n, place; a task posts equal sets once (as long as it remembers them)."""
     shared = docs.sparkSession.sparkContext.broadcast((tokens, rank))
+    low = (1 << SHORT_BITS) - 1
 
     def run(batches):
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in (x for whole in batches for x in slices(whole)):
             out: list[tuple[int, int, np.ndarray]] = []
             for row in shingle_sets(batch.column("text")):
-                one = fingerprints(row)[0]
-                if len(row) and one not in seen:
+                mark = fingerprints(row)
+                if len(row) and mark not in seen:
                     if len(seen) >= SEEN_CLASSES:
                         seen.clear()
-                    seen.add(one)
-                    out.append((one, len(row), posted(row, *shared.value)))
+                    seen.add(mark)
+                    out.append((mark[0] & low, len(row), posted(row, *shared.value)))
             for k in range(0, len(out), 1000):
                 part = out[k : k + 1000]
                 lengths = [len(p) for _, _, p in part]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate([p for _, _, p in part]).view(np.int64)),
+                        pa.array((np.concatenate([p for _, _, p in part]) & np.uint64(low)).view(np.int64)),
                         pa.array(np.repeat(np.asarray([o for o, _, _ in part], np.int64), lengths)),
                         pa.array(np.repeat(np.asarray([n for _, n, _ in part], np.int32), lengths)),
                         pa.array(np.concatenate([np.arange(m, dtype=np.int32) for m in lengths])),
                     ],
-                    ["token", "one", "n", "place"],
+                    ["token", "key", "n", "place"],
                 )
 
-    return _narrow(docs).mapInArrow(run, "token long, one long, n int, place int")
+    return _narrow(docs).mapInArrow(tidied(run), "token long, key long, n int, place int")
 
 
 def _fits(n_a, place_a, n_b, place_b):
@@ -147,7 +163,7 @@ def _runs(batches: Iterable[pa.RecordBatch], names: tuple[str, ...]) -> Iterator
             continue
         held.append([batch.column(c) for c in names])
         rows += batch.num_rows
-        if rows < 100_000:
+        if rows < STEP:
             continue
         columns = joined()
         begin, end, stop = cut(columns, False)
@@ -164,89 +180,109 @@ def _runs(batches: Iterable[pa.RecordBatch], names: tuple[str, ...]) -> Iterator
 
 
 def neighbours(posts: DataFrame) -> DataFrame:
-    """Stored rows: pairs (token null, a, b) of one-leaf trees and of chains; rows (token, a, n, place) of larger trees."""
-    names = ("token", "one", "n", "place")
+    """Stored rows (token, a, n, place) of every token that two sets post, and pairs (token null, a, b) of neighbours by size."""
+    names = ("token", "key", "n", "place")
     schema = pa.schema([("token", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("place", pa.int32())])
 
-    def pairs(a, b):
-        none = pa.nulls(len(a), pa.int64())
-        return pa.RecordBatch.from_arrays([none, pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.int32())], schema=schema)
-
     def run(batches):
-        for columns, begin, end in _runs(batches, names):
-            token, one, n, place = map(np.asarray, columns)
-            n, place, length = n.astype(np.int64), place.astype(np.int64), end - begin
-            two = begin[length == 2]
-            ok = (one[two] != one[two + 1]) & _fits(n[two], place[two], n[two + 1], place[two + 1])
-            left, right = [one[two[ok]]], [one[two[ok] + 1]]
-            for a, b in zip(begin[length > 2].tolist(), end[length > 2].tolist(), strict=True):
-                _, pick = np.unique(one[a:b], return_index=True)
-                pick = np.sort(pick) + a  # rows come by token, n, one
-                if len(pick) < 2:
-                    continue
-                if len(pick) <= ONE_LEAF:
-                    i, j = (pick[x] for x in np.triu_indices(len(pick), 1))
-                else:
-                    i = np.concatenate([pick[:-w] for w in STRIDES if w < len(pick)] + [np.full(len(pick) - 1, pick[0])])
-                    j = np.concatenate([pick[w:] for w in STRIDES if w < len(pick)] + [pick[1:]])
-                    yield pa.RecordBatch.from_arrays([pa.array(token[pick]), pa.array(one[pick]), pa.nulls(len(pick), pa.int64()), pa.array(n[pick].astype(np.int32)), pa.array(place[pick].astype(np.int32))], schema=schema)
+        for columns, _, _ in _runs(batches, names):
+            token, key, n, place = map(np.asarray, columns)  # rows come by token, n, key
+            keep = np.concatenate(([True], (token[1:] != token[:-1]) | (key[1:] != key[:-1]) | (n[1:] != n[:-1])))
+            token, key, n, place = token[keep], key[keep], n[keep].astype(np.int64), place[keep].astype(np.int64)
+            again = token[1:] == token[:-1]
+            more = np.concatenate((again, [False])) | np.concatenate(([False], again))
+            token, key, n, place = token[more], key[more], n[more], place[more]
+            if not len(token):
+                continue
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(key), pa.nulls(len(token), pa.int64()), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32))], schema=schema)
+            every = np.arange(len(token))
+            first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+            first = np.repeat(first, np.diff(np.append(first, len(token))))
+            found = []
+            for i, j in [(every[:-w], every[w:]) for w in STRIDES] + [(first, every)]:
+                ok = (token[i] == token[j]) & (key[i] != key[j])
+                i, j = i[ok], j[ok]
                 ok = _fits(n[i], place[i], n[j], place[j])
-                left.append(one[i[ok]])
-                right.append(one[j[ok]])
-            if sum(map(len, left)):
-                yield pairs(np.concatenate(left), np.concatenate(right))
+                found.append(np.stack((np.minimum(key[i[ok]], key[j[ok]]), np.maximum(key[i[ok]], key[j[ok]]))))
+            a, b = np.concatenate(found, axis=1)
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            if len(a):
+                new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+                a, b = a[new], b[new]
+                none = pa.nulls(len(a), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b), none, none], schema=schema)
 
-    ordered = posts.repartition("token").sortWithinPartitions("token", "n", "one")
-    return stage(ordered.mapInArrow(run, "token long, a long, b long, n int, place int"), "neighbours")
+    ordered = posts.repartition("token").sortWithinPartitions("token", "n", "key")
+    return stage(ordered.mapInArrow(tidied(run), "token long, a long, b long, n int, place int"), "neighbours")
 
 
-def further_links(docs: DataFrame, wide: DataFrame, known: DataFrame) -> DataFrame:
-    """Links (a, b: doc_ids of classes) that join components within the larger trees, stored. wide(token, a, n, place), known(key, rep, part, bits).
+def hopeful_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of pairs(a, b: keys) whose bitmaps leave the similarity possible, stored."""
+    side = lambda k: classes.select(F.col("key").alias(f"{k}_key"), F.col("n").alias(f"{k}_n"), F.col("bits").alias(f"{k}_bits"))
 
-    Whole sets are fetched only for rows that keep a possible partner under the bitmaps, which cost one to two bits a token."""
+    def bound(batches):
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("a_bits", "b_bits", "a_n", "b_n")), strict=True)
+            yield batch.select(["a", "b"]).filter(pa.array([may_reach(*r) for r in rows], pa.bool_()))
 
-    names = ("token", "rep", "part", "n", "place", "a")
+    near = pairs.join(side("a"), F.col("a") == F.col("a_key")).join(side("b"), F.col("b") == F.col("b_key"))
+    return stage(near.select("a", "b", "a_n", "b_n", "a_bits", "b_bits").mapInArrow(tidied(bound), "a long, b long"), "near")
+
+
+def tree_pairs(wide: DataFrame, classes: DataFrame, clusters: DataFrame, tree_sets: int = TREE_SETS) -> DataFrame:
+    """Pairs (a, b: keys) that merge clusters as every pair of sets of one token that may reach the similarity would, stored.
+
+    wide(token, a, n, place), clusters(node, component). Bitmaps are fetched only for tokens whose sets lie in several clusters."""
+    names = ("token", "part", "n", "place", "a")
 
     def mixed(batches):
         for columns, begin, end in _runs(batches, names):
-            part = np.asarray(columns[2])
-            low, high = np.minimum.reduceat(part, begin), np.maximum.reduceat(part, begin)
-            rows = pa.array(np.flatnonzero(np.repeat(low != high, end - begin)))
-            yield pa.RecordBatch.from_arrays([c.take(rows) for c in columns], list(names))
-
-    def hopeful(batches):
-        for columns, begin, end in _runs(batches, (*names, "bits")):
-            part, n, place = (np.asarray(c).astype(np.int64) for c in columns[2:5])
-            keep = np.zeros(len(part), bool)
-            for x, y in zip(begin.tolist(), end.tolist(), strict=True):
-                if y - x > 1:
-                    bits = [np.frombuffer(r, "<u8") for r in columns[6].slice(x, y - x).to_pylist()]
-                    for i, j in SignatureTree(n[x:y], place[x:y], part[x:y], bits).pairs():
-                        keep[x + i] = keep[x + j] = True
-            rows = pa.array(np.flatnonzero(keep))
-            yield pa.RecordBatch.from_arrays([c.take(rows) for c in columns[:6]], list(names))
+            token, part, n, place, _ = (np.asarray(c) for c in columns)
+            apart = np.minimum.reduceat(part, begin) != np.maximum.reduceat(part, begin)
+            rows, trees = [], []
+            for x, y in zip(begin[apart].tolist(), end[apart].tolist(), strict=True):
+                order = x + np.argsort(n[x:y], kind="stable")
+                cuts = [order[k : k + tree_sets] for k in range(0, len(order), tree_sets)]
+                for i, p in enumerate(cuts):
+                    for j, q in enumerate(cuts[i:], i):
+                        if 100 * n[p[-1]] >= PERCENT * n[q[0]]:
+                            both = p if i == j else np.concatenate((p, q))
+                            rows.append(both)
+                            trees.append(np.full(len(both), (int(token[x]) * 4_000_037 + i * 2003 + j) % (1 << 64), np.uint64))
+            if rows:
+                take = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(mix64(np.concatenate(trees)).view(np.int64)), *(c.take(take) for c in columns[1:])], ["tree", *names[1:]])
 
-    def run(batches):
-        for columns, begin, end in _runs(batches, ("token", "rep", "part", "n", "place", "tokens")):
-            rep, part, n, place = (np.asarray(c).astype(np.int64) for c in columns[1:5])
+    def trees(batches):
+        for columns, begin, end in _runs(batches, ("tree", "part", "n", "place", "a", "bits")):
+            part, n, place, a = (np.asarray(c).astype(np.int64) for c in columns[1:5])
+            out = []
             for x, y in zip(begin.tolist(), end.tolist(), strict=True):
-                sets = [np.frombuffer(r, "<u8") for r in columns[5].slice(x, y - x).to_pylist()]
-                links = tree_links(n[x:y], place[x:y], part[x:y], sets) if y - x > 1 else []
-                if links:
-                    a, b = rep[x + np.asarray(links)].T
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    parts = known.select(F.col("key").alias("p_key"), "rep", "part")
-    placed = wide.select("token", "a", "n", "place").join(parts, F.col("a") == F.col("p_key")).select("token", "rep", "part", "n", "place", "a")
-    schema = "token long, rep long, part long, n int, place int, a long"
-    left = stage(placed.repartition("token").sortWithinPartitions("token").mapInArrow(mixed, schema), "mixed")
-    bits = known.select(F.col("key").alias("b_key"), "bits")
-    marked = left.join(bits, F.col("a") == F.col("b_key")).select(*names, "bits").repartition("token").sortWithinPartitions("token")
-    left = stage(marked.mapInArrow(hopeful, schema), "hopeful")
-    sets = needed_sets(docs, stage(left.select(F.col("rep").alias("doc_id")).distinct(), "mixed-ids"))
-    sets = sets.select(F.col("doc_id").alias("s_id"), F.col("one").alias("s_one"), "tokens")
-    dressed = left.join(sets, (F.col("rep") == F.col("s_id")) & (F.col("a") == F.col("s_one"))).select("token", "rep", "part", "n", "place", "tokens")
-    return stage(dressed.repartition("token").sortWithinPartitions("token").mapInArrow(run, "a long, b long").distinct(), "further")
+                if y - x > 1:
+                    bits = [np.frombuffer(r, "<u8") for r in columns[5].slice(x, y - x).to_pylist()]
+                    out += [(a[x + i], a[x + j]) for i, j in merging_pairs(n[x:y], place[x:y], part[x:y], bits)]
+            if out:
+                found = np.unique(np.asarray(out, np.int64), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    parts = clusters.select("node", "component")
+    placed = wide.join(parts, F.col("a") == F.col("node"), "left").select("token", F.coalesce("component", "a").alias("part"), "n", "place", "a")
+    left = stage(placed.repartition("token").sortWithinPartitions("token").mapInArrow(tidied(mixed), "tree long, part long, n int, place int, a long"), "mixed")
+    bits = classes.select("key", "bits")
+    dressed = left.join(bits, F.col("a") == F.col("key")).select("tree", "part", "n", "place", "a", "bits")
+    found = stage(dressed.repartition("tree").sortWithinPartitions("tree").mapInArrow(tidied(trees), "a long, b long").distinct(), "tree-pairs")
+    discard(left)
+    return found
+
+
+def chunked(members: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+    """members(rep, one, two, n, part) of clusters of two sets or more, with chunks (of about chunk_tokens tokens) and own (the
+    number of a set's chunk); sets and tokens of a cluster are pre-aggregated, so that a hot cluster costs one row there."""
+    totals = members.groupBy("part").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("tokens")).filter("sets > 1")
+    totals = totals.select(F.col("part").alias("t_part"), "sets", F.ceil(F.col("tokens") / chunk_tokens).cast("int").alias("chunks"))
+    own = F.pmod(F.xxhash64("one", "two"), F.col("chunks")).cast("int")
+    return members.join(totals, F.col("part") == F.col("t_part")).select("rep", "one", "two", "n", "part", "sets", "chunks", own.alias("own"))
 
 
 def _id_bits(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -255,11 +291,11 @@ def _id_bits(ids: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([(mix64(x + np.uint64(k)) >> np.uint64(64 - bits)).astype(np.int64) for k in range(3)])
 
 
-def needed_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id, one, tokens (binary) for the documents in ids(doc_id), and perhaps a few others, stored.
+def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs(doc_id, text) whose doc_id is among ids(doc_id), and perhaps a few others.
 
-    A filter of bounded size is built from ids in Spark, read by the tasks from the shared folder and
-    tested before texts are split, so the corpus is scanned but not shuffled."""
+    A filter of bounded size is built from ids in Spark and read by the tasks from the shared folder; only ids cross to
+    Python, so the corpus is scanned but neither converted nor shuffled."""
     spark = docs.sparkSession
     size = FILTER_BITS[0]
     wanted = 16 * ids.count()
@@ -290,86 +326,96 @@ def needed_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             loaded.append(out)
         return loaded[0]
 
-    def run(batches):
+    @F.pandas_udf("boolean")
+    def among(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         filter_ = table()
-        for batch in (x for whole in batches for x in slices(whole)):
-            batch = batch.filter(batch.column("doc_id").is_valid())
-            if not batch.num_rows:
-                continue
-            at = _id_bits(np.asarray(batch.column("doc_id")), bits)
-            hit = ((filter_[at >> 5] >> (at & 31).astype(np.uint32)) & 1).all(axis=0)
-            batch = batch.filter(pa.array(hit))
-            rows = [(fingerprints(s)[0], s.astype("<u8").tobytes()) for s in shingle_sets(batch.column("text"))] if batch.num_rows else []
-            if rows:
-                ones, tokens = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ones, pa.int64()), pa.array(tokens, pa.binary())], ["doc_id", "one", "tokens"])
-
-    return stage(_narrow(docs).mapInArrow(run, "doc_id long, one long, tokens binary"), "needed")
-
-
-def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """pairs(a, b: fingerprints) -> links (a, b: doc_ids of classes) with 100 * intersection >= 75 * union, stored.
-
-    The bitmap bound is tested before any set moves; a fingerprint that two classes share stands for both."""
-    side = lambda k: classes.select(F.col("one").alias(f"{k}_one"), F.col("rep").alias(f"{k}_rep"), F.col("n").alias(f"{k}_n"), F.col("bits").alias(f"{k}_bits"))
-
-    def bound(batches):
-        for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("a_bits", "b_bits", "a_n", "b_n")), strict=True)
-            ok = pa.array([may_reach(*r) for r in rows], pa.bool_())
-            yield batch.select(["a", "b", "a_rep", "b_rep"]).filter(ok)
+        for ids_ in batches:
+            at = _id_bits(ids_.to_numpy(), bits)
+            yield pd.Series(((filter_[at >> 5] >> (at & 31).astype(np.uint32)) & 1).all(axis=0))
 
-    near = pairs.join(side("a"), F.col("a") == F.col("a_one")).join(side("b"), F.col("b") == F.col("b_one"))
-    near = stage(near.select("a", "b", "a_rep", "b_rep", "a_n", "b_n", "a_bits", "b_bits").mapInArrow(bound, "a long, b long, a_rep long, b_rep long"), "near")
-    ids = stage(near.select(F.col("a_rep").alias("doc_id")).unionByName(near.select(F.col("b_rep").alias("doc_id"))).distinct(), "near-ids")
-    sets = needed_sets(docs, ids)
+    return docs.filter(among("doc_id"))
 
-    def test(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("a_tokens"), batch.column("b_tokens"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= PERCENT * (len(p) + len(q) - both))
-            yield batch.select(["a_rep", "b_rep"]).filter(pa.array(keep, pa.bool_()))
 
-    of = lambda k: sets.select(F.col("doc_id").alias(f"{k}_id"), F.col("one").alias(f"{k}_one"), F.col("tokens").alias(f"{k}_tokens"))
-    full = near.join(of("a"), (F.col("a_rep") == F.col("a_id")) & (F.col("a") == F.col("a_one"))).join(of("b"), (F.col("b_rep") == F.col("b_id")) & (F.col("b") == F.col("b_one")))
-    tested = full.select("a_rep", "b_rep", "a_tokens", "b_tokens").mapInArrow(test, "a_rep long, b_rep long")
-    return stage(tested.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).distinct(), "verified")
+def cluster_links(docs: DataFrame, dealt: DataFrame) -> DataFrame:
+    """dealt(rep, one, two, label, tree) -> links (a, b: least doc_ids of classes) that join labels within the trees, stored.
 
+    Each row's text is fetched once; the signature tree of a `tree` is built in one task over whole sets."""
 
-def similarity_components(docs: DataFrame) -> DataFrame:
+    def run(batches):
+        for columns, begin, end in _runs(batches, ("tree", "rep", "one", "two", "label", "text")):
+            rep, one, two, label = (np.asarray(c) for c in columns[1:5])
+            out: list[tuple[int, int]] = []
+            for x, y in zip(begin.tolist(), end.tolist(), strict=True):
+                known: dict[tuple[int, int], tuple[int, np.ndarray]] = {}
+                # rows of one id may hold several texts, of which one is this class
+                for k, s in enumerate(shingle_sets(columns[5].slice(x, y - x)), x):
+                    if (mark := fingerprints(s)) == (int(one[k]), int(two[k])):
+                        known.setdefault(mark, (k, s))
+                if len(known) > 1:
+                    at = np.asarray([k for k, _ in known.values()])
+                    sets = [s for _, s in known.values()]
+                    links = tree_links(np.asarray(list(map(len, sets)), np.int64), label[at], sets, STRIDES)
+                    out += [(rep[at[i]], rep[at[j]]) for i, j in links]
+            if out:
+                a, b = np.asarray(out, np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    narrow = _narrow(docs).filter("doc_id is not null")
+    texts = with_ids(narrow, dealt.select(F.col("rep").alias("doc_id")))
+    full = texts.join(dealt, F.col("doc_id") == F.col("rep")).select("tree", "rep", "one", "two", "label", "text")
+    return stage(full.repartition("tree").sortWithinPartitions("tree").mapInArrow(tidied(run), "a long, b long").distinct(), "cluster-links")
+
+
+def similarity_links(docs: DataFrame, rows: DataFrame, members: DataFrame, chunk_tokens: int = CHUNK_TOKENS, tree_sets: int = TREE_SETS) -> DataFrame:
+    """Links (a, b: least doc_ids of classes) that join components as all links would. rows: describe(docs); members: its classes."""
+    classes = members.select("key", "n", "bits")
+    found = neighbours(postings(docs, *frequent_tokens(docs)))
+    near = hopeful_pairs(found.filter("token is null").select("a", "b").distinct(), classes)
+    clusters = stage(components(near), "clusters")
+    more = tree_pairs(found.filter("token is not null").select("token", "a", "n", "place"), classes, clusters, tree_sets)
+    if not more.isEmpty():
+        # the clusters so far stand for the pairs they came from
+        clusters = stage(components(clusters.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "clusters")
+    discard(found, near, more)
+    placed = members.join(clusters, F.col("key") == F.col("node")).select("rep", "one", "two", "n", F.col("component").alias("part"))
+    dealt = stage(chunked(placed, chunk_tokens), "chunks")
+    # sets of a large cluster that every chunk holds, so that chunks of one component are joined by them
+    anchor = F.pmod(F.xxhash64("two", "one"), F.lit(1_000_000)) < F.lit(1_000_000 * ANCHORS) / F.col("sets")
+    chunk = F.when(anchor, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("own"))
+    first = dealt.select("rep", "one", "two", F.xxhash64("one", "two").alias("label"), F.explode(chunk).alias("chunk"), "part")
+    links = cluster_links(docs, stage(first.select("rep", "one", "two", "label", F.xxhash64("part", "chunk").alias("tree")), "first"))
+    large = dealt.filter("chunks > 1")
+    if large.isEmpty():
+        return links
+    label = components(links)
+    large = stage(large.join(label, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rep")), "large")
+    several = large.groupBy("part").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("part")
+    ways = F.sequence(F.lit(0), F.col("chunks") - 1)
+    rest = large.join(several, "part").select("rep", "one", "two", "label", "part", "own", F.explode(ways).alias("other")).filter("own <> other")
+    tree = F.xxhash64("part", F.least("own", "other"), F.greatest("own", "other"))
+    return links.unionByName(cluster_links(docs, stage(rest.select("rep", "one", "two", "label", tree.alias("tree")), "rest")))
+
+
+def similarity_components(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, tree_sets: int = TREE_SETS) -> DataFrame:
     """documents(doc_id, text) -> doc_id, n_shingles, component_id for every row.
 
-    Empty sets (null, empty or blank texts) are linked with nothing and are their own component. Rows with a null id
-    share the component of equal sets and link nothing else. Rows that repeat an id count as one document for
-    reachability. Copies share one class, so groups of any size cost one row in every join but the last."""
+    Empty sets (null, empty or blank texts) are linked with nothing. Rows with a null id share the component of equal sets and link
+    nothing else. Rows that repeat an id are one document: what any of its texts links with is in its component. Copies
+    share one class, so groups of any size cost one row in every join but the last."""
     rows = describe(docs)
     classes = stage(
-        rows.filter("n > 0").groupBy("one", "two", "n").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits")), "classes"
+        rows.filter("n > 0").groupBy("one", "two", "n").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits")).withColumn("key", _short(F.col("one"))), "classes"
     )
     members = classes.filter("rep is not null")
-    found = neighbours(postings(docs, *frequent_tokens(docs)))
-    links = verified(docs, found.filter("token is null").select("a", "b").distinct(), members)
-    joined = stage(components(links), "components")
-    wide = found.filter("token is not null")
-    if not wide.isEmpty():
-        part = members.join(joined, F.col("rep") == F.col("node"), "left")
-        known = stage(part.select(F.col("one").alias("key"), "rep", "bits", F.coalesce("component", "rep").alias("part")).dropDuplicates(["key"]), "known")
-        more = further_links(docs, wide, known)
-        if not more.isEmpty():
-            # the components so far stand for the links they came from
-            old = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            joined = stage(components(old.unionByName(more)), "components")
-    label = members.join(joined, F.col("rep") == F.col("node"), "left")
-    label = stage(
-        label.select(F.col("one").alias("l_one"), F.col("two").alias("l_two"), F.col("n").alias("l_n"), F.coalesce("component", "rep").alias("label")), "labels"
-    )
+    links = similarity_links(docs, rows, members, chunk_tokens, tree_sets)
+    mark = F.struct("one", "two", "n")
+    several = rows.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).filter("lo <> hi").select("doc_id")
+    texts = rows.select("doc_id", "one", "two", "n").join(several, "doc_id").join(members.select("one", "two", "n", "rep"), ["one", "two", "n"])
+    joined = stage(components(links.unionByName(texts.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))), "components")
+    own = members.select(F.col("one").alias("l_one"), F.col("two").alias("l_two"), F.col("n").alias("l_n"), "rep")
     same = (F.col("one") == F.col("l_one")) & (F.col("two") == F.col("l_two")) & (F.col("n") == F.col("l_n"))
-    return rows.select("doc_id", "n", "one", "two").join(label, same, "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id")
-    )
+    placed = rows.select("doc_id", "n", "one", "two").join(own, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("home"))
+    return placed.join(joined, F.col("home") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "home").alias("component_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,7 +99,7 @@ class SignatureTree:
                         yield self.order[i[ok]], self.order[j[ok]]
 
 
-def shared_bitmaps(sets: list[np.ndarray], most_bytes: int = 1 << 28) -> np.ndarray | None:
+def shared_bitmaps(sets: list[np.ndarray], most_bytes: int = 1 << 26) -> np.ndarray | None:
     """One row a set with one bit for each token that two of them share; None if that takes more than most_bytes."""
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -114,27 +114,61 @@ def shared_bitmaps(sets: list[np.ndarray], most_bytes: int = 1 << 28) -> np.ndar
     return out
 
 
-def tree_links(sizes: np.ndarray, places: np.ndarray, parts: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links (member numbers) that join the given components as all links among these sets of one token would; a link inside what
-    is joined already is left out."""
-    rows = shared_bitmaps(sets)
-    tree = SignatureTree(sizes, places, parts, list(rows) if rows is not None else [bitmap(s) for s in sets], exact=rows is not None)
-    _, label = np.unique(parts, return_inverse=True)
-    out = []
-    for i, j in tree.pairs():
-        while len(i):
+class Merged:
+    """Labels of members that are merged by pairs; a pair of one label already is left out."""
+
+    def __init__(self, parts: np.ndarray):
+        self.names, self.label = np.unique(parts, return_inverse=True)
+
+    def feed(self, i: np.ndarray, j: np.ndarray, linked=None) -> Iterator[tuple[int, int]]:
+        """The pairs that merge two labels, one after the other; linked(a, b) says whether a pair is a link at all."""
+        label = self.label
+        while True:
             apart = label[i] != label[j]
             i, j = i[apart], j[apart]
             if not len(i):
-                break
+                return
             a, b = int(i[0]), int(j[0])
-            if not tree.exact:
-                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                if 100 * both < PERCENT * (len(sets[a]) + len(sets[b]) - both):
-                    i, j = i[1:], j[1:]
-                    continue
-            label[label == label[b]] = label[a]
-            out.append((a, b))
+            i, j = i[1:], j[1:]
+            if linked is None or linked(a, b):
+                label[label == label[b]] = label[a]
+                yield a, b
+
+
+def merging_pairs(sizes: np.ndarray, places: np.ndarray, parts: np.ndarray, bitmaps: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs of members that may reach the similarity, one for each merger of parts."""
+    merged, out = Merged(parts), []
+    for i, j in SignatureTree(sizes, places, merged.label.copy(), bitmaps).pairs():
+        out += merged.feed(i, j)
+    return out
+
+
+def tree_links(sizes: np.ndarray, parts: np.ndarray, sets: list[np.ndarray], strides: tuple[int, ...]) -> list[tuple[int, int]]:
+    """Links (member numbers) that join the given parts as all links among these sets would; a link inside what is joined
+    already is left out. Neighbours by size are tried first, so that the nodes of a group of near copies hold one part."""
+    rows = shared_bitmaps(sets)
+    merged, out = Merged(parts), []
+
+    def linked(a, b):
+        both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+        return 100 * both >= PERCENT * (len(sets[a]) + len(sets[b]) - both)
+
+    test = None if rows is not None else linked
+    order = np.argsort(sizes, kind="stable")
+    for w in strides:
+        i, j = order[:-w], order[w:]
+        fit = least_overlap(sizes[i], sizes[j]) <= np.minimum(sizes[i], sizes[j])
+        i, j = i[fit], j[fit]
+        for k in range(0, len(i), 1024):
+            x, y = i[k : k + 1024], j[k : k + 1024]
+            if rows is not None:
+                enough = np.bitwise_count(rows[x] & rows[y]).sum(axis=1, dtype=np.int64) >= least_overlap(sizes[x], sizes[y])
+                x, y = x[enough], y[enough]
+            out += merged.feed(x, y, test)
+    if len(np.unique(merged.label)) > 1:
+        bitmaps = list(rows) if rows is not None else [bitmap(s) for s in sets]
+        for i, j in SignatureTree(sizes, sizes * 0, merged.label.copy(), bitmaps, exact=rows is not None).pairs():
+            out += merged.feed(i, j, test)
     return out
 
 
