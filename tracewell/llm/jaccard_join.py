@@ -230,6 +230,19 @@ def hopeful_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return stage(near.select("a", "b", "a_n", "b_n", "a_bits", "b_bits").mapInArrow(tidied(bound), "a long, b long"), "near")
 
 
+def partnered(begin, end, part, n, place, tree_sets: int) -> np.ndarray:
+    """Rows that some row of the same run and of another part fits by sizes and places; all rows of runs beyond tree_sets."""
+    stop = np.repeat(end, end - begin)
+    able = stop - np.repeat(begin, end - begin) > tree_sets
+    i, w = np.flatnonzero(~able), 1
+    while len(i := i[i + w < stop[i]]):
+        j = i + w
+        ok = (part[i] != part[j]) & _fits(n[i], place[i], n[j], place[j])
+        able[i[ok]] = able[j[ok]] = True
+        w += 1
+    return able
+
+
 def tree_pairs(wide: DataFrame, classes: DataFrame, clusters: DataFrame, tree_sets: int = TREE_SETS) -> DataFrame:
     """Pairs (a, b: keys) that merge clusters as every pair of sets of one token that may reach the similarity would, stored.
 
@@ -239,10 +252,11 @@ def tree_pairs(wide: DataFrame, classes: DataFrame, clusters: DataFrame, tree_se
     def mixed(batches):
         for columns, begin, end in _runs(batches, names):
             token, part, n, place, _ = (np.asarray(c) for c in columns)
-            apart = np.minimum.reduceat(part, begin) != np.maximum.reduceat(part, begin)
+            able = partnered(begin, end, part, n.astype(np.int64), place.astype(np.int64), tree_sets)
             rows, trees = [], []
+            apart = np.add.reduceat(able, begin) > 1
             for x, y in zip(begin[apart].tolist(), end[apart].tolist(), strict=True):
-                order = x + np.argsort(n[x:y], kind="stable")
+                order = x + np.flatnonzero(able[x:y])  # rows come by token, n
                 cuts = [order[k : k + tree_sets] for k in range(0, len(order), tree_sets)]
                 for i, p in enumerate(cuts):
                     for j, q in enumerate(cuts[i:], i):
@@ -268,7 +282,7 @@ def tree_pairs(wide: DataFrame, classes: DataFrame, clusters: DataFrame, tree_se
 
     parts = clusters.select("node", "component")
     placed = wide.join(parts, F.col("a") == F.col("node"), "left").select("token", F.coalesce("component", "a").alias("part"), "n", "place", "a")
-    left = stage(placed.repartition("token").sortWithinPartitions("token").mapInArrow(tidied(mixed), "tree long, part long, n int, place int, a long"), "mixed")
+    left = stage(placed.repartition("token").sortWithinPartitions("token", "n").mapInArrow(tidied(mixed), "tree long, part long, n int, place int, a long"), "mixed")
     bits = classes.select("key", "bits")
     dressed = left.join(bits, F.col("a") == F.col("key")).select("tree", "part", "n", "place", "a", "bits")
     found = stage(dressed.repartition("tree").sortWithinPartitions("tree").mapInArrow(tidied(trees), "a long, b long").distinct(), "tree-pairs")

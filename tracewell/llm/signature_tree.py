@@ -19,9 +19,9 @@ def least_overlap(a, b):
 
 
 def bitmap(row: np.ndarray) -> np.ndarray:
-    """One bit a token, at about one to two bits a token."""
+    """One bit a token, at about two to four bits a token."""
     bits = MIN_BITS
-    while bits < len(row) and bits < MAX_BITS:
+    while bits < 2 * len(row) and bits < MAX_BITS:
         bits *= 2
     out = np.zeros(bits, np.uint8)
     out[(row & np.uint64(bits - 1)).astype(np.int64)] = 1
@@ -138,8 +138,16 @@ class Merged:
 def merging_pairs(sizes: np.ndarray, places: np.ndarray, parts: np.ndarray, bitmaps: list[np.ndarray]) -> list[tuple[int, int]]:
     """Pairs of members that may reach the similarity, one for each merger of parts."""
     merged, out = Merged(parts), []
-    for i, j in SignatureTree(sizes, places, merged.label.copy(), bitmaps).pairs():
-        out += merged.feed(i, j)
+    widths = np.asarray(list(map(len, bitmaps)))
+    for width in np.unique(widths).tolist():
+        # sets that may be linked have bitmaps of one width, or one of twice the other; folding further would fill them
+        at = np.flatnonzero((widths == width) | (widths == 2 * width))
+        label = merged.label[at]
+        if len(at) > 1 and label.min() != label.max():
+            for i, j in SignatureTree(sizes[at], places[at], label, [bitmaps[k] for k in at]).pairs():
+                i, j = at[i], at[j]
+                here = (widths[i] == width) | (widths[j] == width)
+                out += merged.feed(i[here], j[here])
     return out
 
 
