@@ -1,8 +1,8 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Counts are gathered per task as dense (language, bucket) vectors and summed in Spark; the log-probability
-matrix (BUCKETS x languages, at most MAX_LANGUAGES of them) is broadcast and whole texts are scored in numpy as
-sparse rows: every n-gram adds its bucket's row of the matrix.
+Counts of (language, bucket) are gathered per task and summed in Spark; the log-probability matrix (BUCKETS x languages,
+in blocks of languages) is broadcast and whole texts are scored in numpy as sparse rows: every n-gram adds its bucket's
+row of the matrix.
 """
 
 from __future__ import annotations
@@ -11,18 +11,25 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.llm._shared import tidied
+from tracewell.llm.words import slice_bounds
+
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
 ORDERS = (1, 2, 3)
-MAX_LANGUAGES = 256
+#: Bytes of the matrix of one block of languages.
+MATRIX_BYTES = 64 << 20
 #: Bound of the fit: about so many labelled documents, chosen by a hash of the id, are counted.
 MAX_FIT_DOCS = 20_000
 SMOOTHING = 0.1
 UNDETERMINED = "und"
 _CHUNK = 400_000
+#: Texts of about so many bytes are scored together.
+SLICE_BYTES = 4_000_000
 
 _letters: list[np.ndarray] = []
 
@@ -70,96 +77,116 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return bucket[order], owner[order]
 
 
-def _pieces(texts: list[str], most: int = _CHUNK) -> Iterator[tuple[int, int]]:
-    begin = total = 0
-    for k, t in enumerate(texts):
-        if k > begin and total + len(t) > most:
-            yield begin, k
-            begin, total = k, 0
-        total += len(t)
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
 class LanguageModel:
     """languages in order, log-probabilities (BUCKETS x languages, float32), log priors."""
 
     def __init__(self, languages: list[str], log_prob: np.ndarray, log_prior: np.ndarray):
         self.languages, self.log_prob, self.log_prior = languages, log_prob, log_prior
 
+    def blocks(self) -> list[LanguageModel]:
+        """The model as blocks of languages whose matrices hold at most MATRIX_BYTES; one block for few languages."""
+        step = max(1, MATRIX_BYTES // (4 * BUCKETS))
+        cuts = range(0, max(1, len(self.languages)), step)
+        return [LanguageModel(self.languages[k : k + step], np.ascontiguousarray(self.log_prob[:, k : k + step]), self.log_prior[k : k + step]) for k in cuts]
+
+    def totals(self, bucket: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
+        """Log-likelihood plus log prior of each text and language."""
+        total = np.tile(self.log_prior, (texts, 1))
+        step = max(1000, min(_CHUNK, 16_000_000 // max(1, len(self.languages))))
+        for c in range(0, len(bucket) if self.languages else 0, step):
+            part = owner[c : c + step]
+            heads = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+            total[part[heads]] += np.add.reduceat(self.log_prob[bucket[c : c + step]], heads, axis=0, dtype=np.float64)
+        return total
+
     def score(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """(language, posterior probability) of whole texts; und and 0 without a letter or without a model."""
-        names, scores = [], np.zeros(len(texts))
-        for a, b in _pieces(texts):
-            bucket, owner = ngrams(texts[a:b])
-            total = np.tile(self.log_prior, (b - a, 1))
-            starts = np.searchsorted(owner, np.arange(b - a))
-            some = np.diff(np.concatenate((starts, [len(owner)]))) > 0
-            if self.languages and len(bucket):
-                for c in range(0, len(bucket), _CHUNK):
-                    part = owner[c : c + _CHUNK]
-                    heads = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-                    total[part[heads]] += np.add.reduceat(self.log_prob[bucket[c : c + _CHUNK]], heads, axis=0, dtype=np.float64)
-            best = total.argmax(axis=1) if self.languages else np.zeros(b - a, int)
-            known = some & bool(self.languages)
-            if self.languages:
-                scores[a:b] = np.where(known, 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1), 0.0)
-            names += [self.languages[j] if ok else UNDETERMINED for j, ok in zip(best.tolist(), known.tolist(), strict=True)]
-        return names, scores
+        return score_blocks([self], texts)
+
+
+def score_blocks(blocks: list[LanguageModel], texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """score() by all blocks of a model; of languages that tie, the first in order is taken."""
+    languages = [x for block in blocks for x in block.languages]
+    names, scores = [], np.zeros(len(texts))
+    for a, b in slice_bounds([len(t) for t in texts], _CHUNK):
+        bucket, owner = ngrams(texts[a:b])
+        known = np.bincount(owner, minlength=b - a) > 0
+        if not languages:
+            known[:] = False
+            names += [UNDETERMINED] * (b - a)
+            continue
+        total = np.concatenate([block.totals(bucket, owner, b - a) for block in blocks], axis=1)
+        best = total.argmax(axis=1)
+        scores[a:b] = np.where(known, 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1), 0.0)
+        names += [languages[j] if ok else UNDETERMINED for j, ok in zip(best.tolist(), known.tolist(), strict=True)]
+    return names, scores
 
 
 def fit(labelled: DataFrame, max_docs: int = MAX_FIT_DOCS) -> LanguageModel:
-    """labelled(doc_id, text, lang) -> model, from about max_docs rows with text and lang, chosen by a hash of the id.
+    """labelled(doc_id, text, lang) -> model, from rows with text and lang: about max_docs / languages of each language, chosen by
+    a hash of the id (all of a rarer one), so that none is without documents; priors are the shares of all rows.
 
-    One row a (language, bucket) reaches the driver, at most MAX_LANGUAGES * BUCKETS. No such row: an empty model."""
+    At most languages * BUCKETS counts reach the driver, as Arrow; a language costs 4 * BUCKETS bytes there. No such row: an
+    empty model."""
     known = labelled.filter("text is not null and lang is not null").select("doc_id", "text", "lang")
-    rows = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(rows) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    there, million = sum(rows.values()), 1_000_000
-    if not there:
+    rows = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not rows:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
-    part = min(million, max(1, max_docs * million // there))
-    languages = sorted(rows)
+    languages, million = sorted(rows), 1_000_000
+    number = {x: k for k, x in enumerate(languages)}
+    # what rarer languages leave of their shares goes to the others
+    left, share = max_docs, {}
+    for k, x in enumerate(sorted(languages, key=lambda x: rows[x])):
+        fair = left / (len(languages) - k)
+        share[x] = min(million, max(1, int(million * fair / rows[x])))
+        left -= min(fair, rows[x])
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages), BUCKETS), np.int64)
         for batch in batches:
-            texts, place = batch.column("text").to_pylist(), [languages.index(x) for x in batch.column("lang").to_pylist()]
-            for a, b in _pieces(texts):
+            texts, place = batch.column("text").to_pylist(), [number[x] for x in batch.column("lang").to_pylist()]
+            for a, b in slice_bounds([len(t) for t in texts], _CHUNK):
                 bucket, owner = ngrams(texts[a:b])
-                total += np.bincount(np.asarray(place[a:b])[owner] * BUCKETS + bucket, minlength=total.size).reshape(total.shape)
-        which, bucket = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(bucket, pa.int32()), pa.array(total[which, bucket], pa.int64())], ["k", "bucket", "n"])
-
-    sample = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(million)) < part).repartition(12)  # bounded by max_docs
-    counts = np.full((BUCKETS, len(languages)), SMOOTHING)
-    for r in sample.mapInArrow(count, "k int, bucket int, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts[r["bucket"], r["k"]] += r["n"]
+                key, n = np.unique(np.asarray(place[a:b])[owner] * BUCKETS + bucket, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64())], ["key", "n"])
+
+    shares = labelled.sparkSession.createDataFrame(list(share.items()), "s_lang string, part int")
+    sample = known.join(F.broadcast(shares), F.col("lang") == F.col("s_lang")).filter(F.pmod(F.xxhash64("doc_id"), F.lit(million)) < F.col("part"))
+    counted = sample.select("text", "lang").repartition(12).mapInArrow(tidied(count), "key long, n long")  # bounded by max_docs
+    table = counted.groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.full(len(languages) * BUCKETS, SMOOTHING)
+    counts[np.asarray(table.column("key"))] += np.asarray(table.column("n"))
+    counts = counts.reshape(len(languages), BUCKETS)
+    there = sum(rows.values())
     prior = np.log([(rows[x] + 1) / (there + len(languages)) for x in languages])
-    return LanguageModel(languages, np.log(counts / counts.sum(axis=0)).astype(np.float32), prior)
+    return LanguageModel(languages, np.ascontiguousarray(np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32).T), prior)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, lang_pred, score of every row (repeated rows included); null, empty and letterless texts are und with score 0.
+    A text_col that is a field of a kept struct ("row.text") crosses to Python with it, once.
 
-    The broadcast is BUCKETS x languages x 4 bytes, at most 64 MB."""
+    The broadcast is BUCKETS x languages x 4 bytes, at most MATRIX_BYTES a block of languages."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = [spark.sparkContext.broadcast(block) for block in model.blocks()]
     names = list(keep)
+    outer, _, inner = text_col.rpartition(".")
+    within = names.index(outer) if outer in names else None
 
     def run(batches):
+        parts = [b.value for b in shared]
         for batch in batches:
-            texts = [t or "" for t in batch.column("__text").to_pylist()]
-            langs, scores = shared.value.score(texts)
-            columns = [batch.column(f"__{k}") for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
+            column = batch.column("__text") if within is None else pc.struct_field(batch.column(f"__{within}"), inner)
+            lengths = pc.fill_null(pc.binary_length(column.cast(pa.large_string())), 0).to_pylist()
+            for a, b in slice_bounds(lengths, SLICE_BYTES):
+                langs, scores = score_blocks(parts, [t or "" for t in column.slice(a, b - a).to_pylist()])
+                columns = [batch.column(f"__{k}").slice(a, b - a) for k in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
 
     from pyspark.sql import types as T
 
     schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    renamed = docs.select(*(F.col(c).alias(f"__{k}") for k, c in enumerate(names)), F.col(text_col).cast("string").alias("__text"))
-    return renamed.mapInArrow(run, schema)
+    text = [] if within is not None else [F.col(text_col).cast("string").alias("__text")]
+    return docs.select(*(F.col(c).alias(f"__{k}") for k, c in enumerate(names)), *text).mapInArrow(tidied(run), schema)
 
 
 def held_out() -> F.Column:

@@ -69,6 +69,18 @@ def slices(batch: pa.RecordBatch, most: int = 4_000_000, text: str = "text"):
         a = b
 
 
+def slice_bounds(sizes: list[int], most: int):
+    """Runs of at least one item whose sizes sum to at most `most`."""
+    begin = total = 0
+    for k, n in enumerate(sizes):
+        if k > begin and total + n > most:
+            yield begin, k
+            begin, total = k, 0
+        total += n
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
 class WordSplitter:
     """Lower-cases A-Z (unless told not to) and hashes the words of every text of a batch. A word is a maximal run of bytes
     of one kind; bytes of kind 0 part words."""
