@@ -19,12 +19,14 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm._shared import fresh_dir, open_filesystem, stage
-from tracewell.llm.words import WordSplitter, alnum_words
+from tracewell.llm._shared import fresh_dir, open_filesystem, stage, tidied
+from tracewell.llm.words import WordSplitter, alnum_words, slices
 
 WINDOW = 10
 SHARD_TOKENS = 250_000
 WINDOW_BLOCK = 50_000
+#: Blocks of windows (about 5 MB each) that a task keeps.
+HELD_BLOCKS = 16
 
 _SPLIT = WordSplitter(alnum_words())
 
@@ -34,7 +36,7 @@ def build_index(docs: DataFrame) -> DataFrame:
     positions (all binary). Every row of docs is indexed, null and empty texts as documents without postings."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for whole in batches for x in slices(whole)):
             hashes, bounds = _SPLIT(batch.column("text"))
             ids = batch.column("doc_id")
             a, n = 0, batch.num_rows
@@ -58,7 +60,7 @@ def build_index(docs: DataFrame) -> DataFrame:
                 a = b
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return stage(narrow.mapInArrow(run, "doc_ids binary, doc_null binary, bounds binary, terms binary, counts binary, positions binary"), "index")
+    return stage(narrow.mapInArrow(tidied(run), "doc_ids binary, doc_null binary, bounds binary, terms binary, counts binary, positions binary"), "index")
 
 
 def store_windows(items: DataFrame, window: int = WINDOW) -> str:
@@ -66,7 +68,7 @@ def store_windows(items: DataFrame, window: int = WINDOW) -> str:
     An item of fewer words than the window is one window; without words, or with a null id, it has none."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (x for whole in batches for x in slices(whole)):
             hashes, bounds = _SPLIT(batch.column("text"))
             out = {"item": [], "terms": []}
             for k, item in enumerate(batch.column("item").to_pylist()):
@@ -82,24 +84,45 @@ def store_windows(items: DataFrame, window: int = WINDOW) -> str:
     return path
 
 
-def window_blocks(path: str, block: int = WINDOW_BLOCK) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
-    """(items, terms in rows padded with 0, lengths) of the stored windows, at most `block` at a time."""
+class WindowBlock:
+    """Windows with their items, terms (rows padded with 0) and lengths, ordered by their leads: the term of each that the
+    fewest windows of the block have. A shard without a window's lead can't hold the window."""
+
+    def __init__(self, items: list[str], raw: list[bytes]):
+        lengths = np.asarray([len(r) // 8 for r in raw], np.int64)
+        terms = np.zeros((len(raw), int(lengths.max())), np.uint64)
+        for k, r in enumerate(raw):
+            terms[k, : lengths[k]] = np.frombuffer(r, "<u8")
+        _, inverse, counts = np.unique(terms, return_inverse=True, return_counts=True)
+        often = np.where(np.arange(terms.shape[1]) < lengths[:, None], counts[inverse.reshape(terms.shape)], len(raw) * terms.shape[1] + 1)
+        lead = terms[np.arange(len(raw)), often.argmin(axis=1)]
+        order = np.argsort(lead, kind="stable")
+        self.items, self.terms, self.lengths = [items[k] for k in order], terms[order], lengths[order]
+        self.leads, self.begin = np.unique(lead[order], return_index=True)
+        self.end = np.append(self.begin[1:], len(raw))
+
+    def possible(self, terms: np.ndarray) -> np.ndarray:
+        """Numbers of the windows whose lead is among the sorted terms of a shard; the smaller side is looked up in the larger."""
+        few, many = (self.leads, terms) if len(self.leads) < len(terms) else (terms, self.leads)
+        at = np.searchsorted(many, few)
+        here = at < len(many)
+        here[here] = many[at[here]] == few[here]
+        which = np.flatnonzero(here) if few is self.leads else at[here]
+        size = self.end[which] - self.begin[which]
+        return np.repeat(self.begin[which] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
+def window_blocks(path: str, block: int = WINDOW_BLOCK) -> Iterator[WindowBlock]:
+    """The stored windows, at most `block` at a time."""
     fs, local = open_filesystem(path)
     import pyarrow.fs as pafs
 
     for info in sorted(fs.get_file_info(pafs.FileSelector(local)), key=lambda i: i.path):
-        if not info.path.endswith(".parquet"):
-            continue
-        with fs.open_input_file(info.path) as source:
-            for batch in pq.ParquetFile(source).iter_batches(block):
-                raw = batch.column("terms").to_pylist()
-                lengths = np.asarray([len(r) // 8 for r in raw], np.int64)
-                if not len(raw):
-                    continue
-                terms = np.zeros((len(raw), int(lengths.max())), np.uint64)
-                for k, r in enumerate(raw):
-                    terms[k, : lengths[k]] = np.frombuffer(r, "<u8")
-                yield batch.column("item").to_pylist(), terms, lengths
+        if info.path.endswith(".parquet"):
+            with fs.open_input_file(info.path) as source:
+                for batch in pq.ParquetFile(source).iter_batches(block):
+                    if batch.num_rows:
+                        yield WindowBlock(batch.column("item").to_pylist(), batch.column("terms").to_pylist())
 
 
 def _match(postings, ranks: np.ndarray, counts: np.ndarray, slop: int) -> np.ndarray:
@@ -118,6 +141,55 @@ def _match(postings, ranks: np.ndarray, counts: np.ndarray, slop: int) -> np.nda
     return starts
 
 
+class Shard:
+    """One row of the index and what has been found in it."""
+
+    def __init__(self, row: dict[str, bytes]):
+        read = lambda c, kind: np.frombuffer(row[c], kind)
+        self.terms, self.counts, self.positions, self.bounds = read("terms", "<u8"), read("counts", "<u4").astype(np.int64), read("positions", "<u4"), read("bounds", "<i8")
+        self.ids, self.null = read("doc_ids", "<i8"), read("doc_null", "u1").astype(bool)
+        self.ends = np.cumsum(self.counts)
+        self.depth = np.zeros(int(self.bounds[-1]) + 1, np.int32)
+        self.found: dict[int, set[str]] = {}
+
+    def postings(self, term: int) -> np.ndarray:
+        return self.positions[self.ends[term] - self.counts[term] : self.ends[term]]
+
+    def search(self, block: WindowBlock, slop: int) -> None:
+        if not len(self.terms):
+            return
+        possible, bounds = block.possible(self.terms), self.bounds
+        wanted, lengths = block.terms[possible], block.lengths[possible]
+        rank = np.minimum(np.searchsorted(self.terms, wanted), len(self.terms) - 1)
+        pad = np.arange(wanted.shape[1])[None, :] >= lengths[:, None]
+        for w in np.flatnonzero(((self.terms[rank] == wanted) | pad).all(axis=1)):
+            n = int(lengths[w])
+            starts = _match(self.postings, rank[w, :n], self.counts[rank[w, :n]], slop)
+            if not len(starts):
+                continue
+            lo, hi = np.maximum(starts, 0), np.minimum(starts + n, bounds[-1])
+            doc = np.searchsorted(bounds, lo, "right") - 1
+            inside = (starts + n <= bounds[doc + 1]) & (starts >= bounds[doc]) if not slop else lo < hi
+            if slop:
+                hi = np.minimum(hi, bounds[doc + 1])
+            np.add.at(self.depth, lo[inside], 1)
+            np.add.at(self.depth, hi[inside], -1)
+            for d in np.unique(doc[inside]).tolist():
+                self.found.setdefault(d, set()).add(block.items[possible[w]])
+
+    def result(self) -> pa.RecordBatch:
+        hit, bounds = np.concatenate(([0], np.cumsum(np.cumsum(self.depth[:-1]) > 0))), self.bounds
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(self.ids, pa.int64(), mask=self.null),
+                pa.array(np.diff(bounds), pa.int64()),
+                pa.array(hit[bounds[1:]] - hit[bounds[:-1]], pa.int64()),
+                pa.array([sorted(self.found.get(d, ())) for d in range(len(bounds) - 1)], pa.list_(pa.string())),
+            ],
+            ["doc_id", "n_words", "n_hit", "items"],
+        )
+
+
 def search_index(index: DataFrame, windows: str, slop: int = 0) -> DataFrame:
     """Every document of the index with its matches: doc_id, n_words, n_hit, items (sorted, distinct strings).
 
@@ -126,45 +198,19 @@ def search_index(index: DataFrame, windows: str, slop: int = 0) -> DataFrame:
     match inside one document only."""
 
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                read = lambda c, kind: np.frombuffer(row[c], kind)  # noqa: B023, E731
-                terms, counts, positions, bounds = read("terms", "<u8"), read("counts", "<u4").astype(np.int64), read("positions", "<u4"), read("bounds", "<i8")
-                ends = np.cumsum(counts)
-                postings = lambda t: positions[ends[t] - counts[t] : ends[t]]  # noqa: B023, E731
-                docs = len(bounds) - 1
-                depth = np.zeros(int(bounds[-1]) + 1, np.int32)
-                found: dict[int, set[str]] = {}
-                for items, wanted, lengths in window_blocks(windows) if len(terms) else ():
-                    rank = np.minimum(np.searchsorted(terms, wanted), len(terms) - 1)
-                    pad = np.arange(wanted.shape[1])[None, :] >= lengths[:, None]
-                    for w in np.flatnonzero(((terms[rank] == wanted) | pad).all(axis=1)):
-                        n = int(lengths[w])
-                        starts = _match(postings, rank[w, :n], counts[rank[w, :n]], slop)
-                        if not len(starts):
-                            continue
-                        lo, hi = np.maximum(starts, 0), np.minimum(starts + n, bounds[-1])
-                        doc = np.searchsorted(bounds, lo, "right") - 1
-                        inside = (starts + n <= bounds[doc + 1]) & (starts >= bounds[doc]) if not slop else lo < hi
-                        if slop:
-                            hi = np.minimum(hi, bounds[doc + 1])
-                        np.add.at(depth, lo[inside], 1)
-                        np.add.at(depth, hi[inside], -1)
-                        for d in np.unique(doc[inside]).tolist():
-                            found.setdefault(d, set()).add(items[w])
-                hit = np.concatenate(([0], np.cumsum(np.cumsum(depth[:-1]) > 0)))
-                null = read("doc_null", "u1").astype(bool)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(read("doc_ids", "<i8"), pa.int64(), mask=null),
-                        pa.array(np.diff(bounds), pa.int64()),
-                        pa.array(hit[bounds[1:]] - hit[bounds[:-1]], pa.int64()),
-                        pa.array([sorted(found.get(d, ())) for d in range(docs)], pa.list_(pa.string())),
-                    ],
-                    ["doc_id", "n_words", "n_hit", "items"],
-                )
-
-    return index.mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<string>")
+        held: list[WindowBlock] | None = []
+        for k, batch in enumerate(batches):
+            shards = [Shard(row) for row in batch.to_pylist()]
+            for block in held if k and held is not None else window_blocks(windows):
+                if not k and held is not None:
+                    # few windows stay in the task; more are read again for each batch of shards
+                    held.append(block)
+                    held = held if len(held) <= HELD_BLOCKS else None
+                for shard in shards:
+                    shard.search(block, slop)
+            yield from (shard.result() for shard in shards)
+
+    return index.mapInArrow(tidied(run), "doc_id long, n_words long, n_hit long, items array<string>")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0) -> DataFrame:
