@@ -26,7 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm._shared import fresh_dir, make_dirs, open_filesystem, stage
+from tracewell.llm._shared import discard, fresh_dir, make_dirs, open_filesystem, stage, tidied
+from tracewell.llm.words import slice_bounds
 
 MAGIC = b"TWRANS1\n"
 TAIL = struct.Struct("<QQI")
@@ -43,9 +44,12 @@ END_ID = 0
 
 #: White space of the Unicode property; a pre-token never continues from a non-blank into a blank.
 _BLANK = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-_CHUNK = re.compile(f"[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+")
+#: Letters, and ASCII marks but the apostrophe: a pre-token never continues from the first into the second.
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+_MARK = r"!-&(-/:-@\[-`{-~"
+_CHUNK = re.compile(f"[{_BLANK}]*(?:[{_LETTER}]++(?=[{_MARK}{_BLANK}]|$)|[^{_BLANK}]+)|[{_BLANK}]+")
 #: Entries of each of the two generations of remembered chunks.
-_CACHE_ENTRIES = 400_000
+_CACHE_ENTRIES = 500_000
 _CACHE_CHARS = 64
 _tokenizers: dict[str, TextEncoder] = {}
 
@@ -57,7 +61,7 @@ def default_tokenizer_path() -> str:
 
 
 class TextEncoder:
-    """Texts -> little-endian id bytes. Where pre-tokens cannot span a blank, blank-led chunks are encoded once
+    """Texts -> little-endian id bytes. Where pre-tokens cannot span a blank nor a letter and a mark, chunks between these are encoded once
     by the tokenizers library and remembered, which spares it the repeats of a corpus; the first text of each
     batch is also encoded whole and compared."""
 
@@ -101,7 +105,7 @@ class TextEncoder:
         for long in (c for c in new if len(c) > _CACHE_CHARS):
             del cache[long]
         if out[0] != self._whole(texts[:1])[0]:
-            raise ValueError("this tokenizer's pre-tokens span blanks: encode whole texts instead")
+            raise ValueError("this tokenizer's pre-tokens span chunks: encode whole texts instead")
         return out
 
 
@@ -111,18 +115,6 @@ def text_encoder(path: str) -> TextEncoder:
     return _tokenizers[path]
 
 
-def _slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
-    """Runs of at least one item whose sizes sum to at most `most`."""
-    begin = total = 0
-    for k, n in enumerate(sizes):
-        if k > begin and total + n > most:
-            yield begin, k
-            begin, total = k, 0
-        total += n
-    if begin < len(sizes):
-        yield begin, len(sizes)
-
-
 def tokenize(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     """doc_id, text -> doc_id, ids (binary, end id appended), n_tokens; whole texts, null as empty."""
     where = tokenizer_path
@@ -133,14 +125,14 @@ def tokenize(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
         for batch in batches:
             texts = batch.column("text").fill_null("")
             lengths = [len(x) if (x := t.as_buffer()) else 0 for t in texts]
-            for a, b in _slices(lengths, 2_000_000):
+            for a, b in slice_bounds(lengths, 2_000_000):
                 ids = [x + end for x in encoder(texts.slice(a, b - a).to_pylist())]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(a, b - a), pa.array(ids, pa.binary()), pa.array([len(x) // encoder.kind.itemsize for x in ids], pa.int64())],
                     ["doc_id", "ids", "n_tokens"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary, n_tokens long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, ids binary, n_tokens long")
 
 
 # ---------------------------------------------------------------- frequency table and coder
@@ -338,7 +330,7 @@ def count_ids(tokens: DataFrame, wide: bool) -> np.ndarray:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
-    rows = tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = tokens.select("ids").mapInArrow(tidied(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max([END_ID, *(r["id"] for r in rows)]) + 1, np.int64)
     for r in rows:
         counts[r["id"]] = r["n"]
@@ -385,7 +377,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str | None = N
             yield pa.RecordBatch.from_pydict({"file": [number], "path": [f"{path}/{name}"], "bytes": [size], "n_docs": [docs_], "n_tokens": [symbols]}, schema=pa.schema([("file", pa.int64()), ("path", pa.string()), ("bytes", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
     ordered = tokens.repartitionByRange(files, F.col("doc_id").asc()).sortWithinPartitions("doc_id", "n_tokens", F.crc32("ids"))
-    written = stage(ordered.select("doc_id", "ids").mapInArrow(run, "file long, path string, bytes long, n_docs long, n_tokens long"), "token-manifest")
+    written = stage(ordered.select("doc_id", "ids").mapInArrow(tidied(run), "file long, path string, bytes long, n_docs long, n_tokens long"), "token-manifest")
+    discard(tokens)
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     return written.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("long")))
 
@@ -436,7 +429,7 @@ def read_token_files(manifest: DataFrame, tokens_per_unit: int = TOKENS_PER_UNIT
     ways = max(1, spark.sparkContext.defaultParallelism)
     units = manifest.select("path", "bytes", "start").repartition(ways).mapInArrow(plan, split)
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
-    return units.repartition(4 * ways).mapInArrow(decode, schema)
+    return units.repartition(4 * ways).mapInArrow(tidied(decode), schema)
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str | None = None, tokens_per_file: int = TOKENS_PER_FILE) -> DataFrame:
