@@ -152,6 +152,42 @@ def test_language_id_held_out_and_odd(spark, odd, empty):
     assert language_id.identify(empty, model).count() == 0
 
 
+def test_language_id_posterior_by_plain_python(spark):
+    docs = spark.createDataFrame(corpus(60), DOCS)
+    texts = {"aa": [r[1] for r in corpus(60) if r[2] == "aa"], "zz": [r[1] for r in corpus(60) if r[2] == "zz"]}
+    model = language_id.fit(docs, 10**6)
+
+    def grams(text):
+        chars = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+        return [chars[k : k + n] for n in (1, 2, 3) for k in range(len(chars) - n + 1) if chars[k : k + n].strip() and not (n > 1 and chars[k : k + 2] == "  ")]
+
+    def bucket(gram):
+        key = len(gram)
+        for c in gram:
+            key = (key * 0x100000001B3 + ord(c)) % 2**64
+        key = key * 0x9E3779B97F4A7C15 % 2**64
+        return ((key ^ (key >> 29)) * 0xBF58476D1CE4E5B9 % 2**64) >> (64 - language_id.BUCKET_BITS)
+
+    counts = {x: Counter(bucket(g) for t in texts[x] for g in grams(t)) for x in texts}
+    totals = {x: sum(counts[x].values()) + language_id.SMOOTHING * language_id.BUCKETS for x in texts}
+    for text in ("bazu kaoxy", "bavi zuka 12", "Laran"):
+        logs = {x: np.log((len(texts[x]) + 1) / 62) + sum(np.log((counts[x][bucket(g)] + language_id.SMOOTHING) / totals[x]) for g in grams(text)) for x in texts}
+        best = max(sorted(logs), key=logs.get)
+        names, scores = model.score([text])
+        assert names == [best] and abs(scores[0] - 1 / sum(np.exp(v - logs[best]) for v in logs.values())) < 1e-3
+
+
+def test_many_and_rare_languages(spark, monkeypatch):
+    rows = [(k, chr(0x4E00 + k) * 5 + f" {chr(0x6E00 + k)}", f"l{k:03d}") for k in range(900)] + [(1000 + k, "common words of a large language", "big") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs, 1200)
+    assert len(model.languages) == 901 and len(model.blocks()) > 1
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, model).collect()}
+    assert all(got[d] == x for d, _, x in rows)
+    few = language_id.fit(docs.filter("doc_id in (0, 1) or doc_id >= 1000"), 9)  # the large language doesn't take the rare ones' share
+    assert few.languages == ["big", "l000", "l001"] and few.score([rows[1][1]])[0] == ["l001"]
+
+
 # ---------------------------------------------------------------- 4 Jaccard join
 
 
@@ -187,13 +223,23 @@ def test_jaccard_components_agree_with_brute_force(spark, monkeypatch):
     rows = corpus(300) + near + [(5000, "a b", None, None, 0), (5001, "A  B", None, None, 0), (5002, None, None, None, 0), (5003, "", None, None, 0)]
     docs = spark.createDataFrame(rows, DOCS).repartition(5)
     wanted = brute_components([(r[0], r[1]) for r in rows])
-    for leaf, often in ((32, 4), (3, 10**9)):  # with the second, every shared token makes a tree
-        monkeypatch.setattr(jaccard_join, "ONE_LEAF", leaf)
+    # then without hints, so that all comes from trees of tokens; with small trees and chunks; in any token order
+    for strides, chunk, tree, often in ((jaccard_join.STRIDES, 2_000_000, 2048, 4), ((10**6,), 400, 8, 10**9)):
+        monkeypatch.setattr(jaccard_join, "STRIDES", strides)
         monkeypatch.setattr(jaccard_join, "FREQUENT", often)
-        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.similarity_components(docs).collect()}
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.similarity_components(docs, chunk, tree).collect()}
         assert got == wanted
 
 
+def test_jaccard_rows_of_one_id_are_one_document(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (6, b), (5, None), (None, a), (None, c), (8, c), (9, c + " more")]
+    got = jaccard_join.similarity_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=repr) == sorted(
+        [(3, 26, 3), (5, 26, 3), (5, 26, 3), (6, 26, 3), (5, 0, 3), (None, 26, 3), (None, 26, 8), (8, 26, 8), (9, 27, 8)], key=repr
+    )
+
+
 def test_jaccard_odd_and_empty(spark, odd, empty):
     rows = jaccard_join.similarity_components(odd).collect()
     assert Counter((r["doc_id"], r["component_id"]) for r in rows)[(4, 4)] == 2 and len(rows) == len(ODD)
@@ -427,6 +473,17 @@ def test_decontamination_agrees_with_brute_force(spark, odd, empty, monkeypatch)
     assert decontamination.decontaminate(docs, tests.limit(0)).filter("n_hit > 0").count() == 0
 
 
+def test_a_shard_looks_only_at_windows_whose_lead_it_has():
+    rng = np.random.default_rng(2)
+    windows = rng.integers(1, 2000, (500, 10)).astype("<u8")
+    block = decontamination.WindowBlock([str(k) for k in range(500)], [w.tobytes() for w in windows])
+    for shard in (np.arange(1, 400, dtype=np.uint64), np.arange(1, 4000, dtype=np.uint64), np.asarray([10**9], np.uint64)):
+        possible = set(block.possible(shard).tolist())
+        assert {k for k in range(500) if np.isin(block.terms[k], shard).all()} <= possible
+        assert len(possible) < 300 or len(shard) > 2000
+    assert sorted(map(tuple, block.terms.tolist())) == sorted(map(tuple, windows.tolist()))
+
+
 def test_proximity_matches(spark):
     docs = spark.createDataFrame([(1, "the quick very brown fox"), (2, "fox brown the quick")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "the quick brown fox")], "item_id long, text string")
