@@ -20,7 +20,7 @@ MIN_LANGUAGE_SCORE = 0.5
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a determinable language. The model learns from the documents that are not held out."""
     model = language_id.train_on(docs)
-    judged = language_id.identify(docs.select(F.struct(*docs.columns).alias("row"), F.col("text")), model, keep=("row",))
+    judged = language_id.identify(docs.select(F.struct(*docs.columns).alias("row")), model, "row.text", keep=("row",))
     return judged.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("row.*")
 
 
