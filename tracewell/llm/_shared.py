@@ -15,6 +15,9 @@ _OWN: dict[str, str] = {}
 #: Removes the shuffle files of a statement when it ends, so that those of a long operator don't add up.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Bytes that a task gathers before it writes a row group of a staged table.
+ROW_GROUP = 16 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
@@ -50,6 +53,15 @@ def make_dirs(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(target)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
+    """Texts cross to Python in batches of at most so many rows and bytes (the session's own limits, where they are smaller), so
+    that executors hold little besides one batch a task."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) not in range(1, rows):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(rows))
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts lineage, survives lost executors. What the statement
     shuffled is removed when the table is written."""
@@ -59,7 +71,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     if before is not None:
         spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     finally:
         if before is not None:
             spark.conf.set(_CLEANUP, before)

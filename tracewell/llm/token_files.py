@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import io
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -22,12 +21,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm._shared import discard, fresh_dir, make_dirs, open_filesystem, stage, tidied
-from tracewell.llm.words import slice_bounds
+from tracewell.llm._shared import discard, fresh_dir, make_dirs, open_filesystem, small_batches, stage, tidied
+from tracewell.llm.words import BYTE_CODES, mix64, slice_bounds, text_bytes
 
 MAGIC = b"TWRANS1\n"
 TAIL = struct.Struct("<QQI")
@@ -42,15 +42,15 @@ END_ID = 0
 
 # ---------------------------------------------------------------- tokenizing
 
-#: White space of the Unicode property; a pre-token never continues from a non-blank into a blank.
-_BLANK = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-#: Letters, and ASCII marks but the apostrophe: a pre-token never continues from the first into the second.
-_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
-_MARK = r"!-&(-/:-@\[-`{-~"
-_CHUNK = re.compile(f"[{_BLANK}]*(?:[{_LETTER}]++(?=[{_MARK}{_BLANK}]|$)|[^{_BLANK}]+)|[{_BLANK}]+")
-#: Entries of each of the two generations of remembered chunks.
-_CACHE_ENTRIES = 500_000
-_CACHE_CHARS = 64
+#: White space beyond ASCII of the Unicode property.
+_FAR_BLANKS = tuple(chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+#: Classes of bytes: 1 blanks, 2 letters, 3 marks (but the apostrophe, which starts contractions), 0 all else.
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[[0x20, *range(0x09, 0x0E)]] = 1
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 2
+_CLASS[[*range(0x21, 0x27), *range(0x28, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = 3
+#: Texts of about so many bytes are encoded together; a longer one goes to the library whole.
+_SLICE_BYTES, _LONG_BYTES = 2_000_000, 8_000_000
 _tokenizers: dict[str, TextEncoder] = {}
 
 
@@ -60,10 +60,100 @@ def default_tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def chunk_starts(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Places where a chunk begins: text starts, blanks after anything else, ASCII marks after Latin letters."""
+    kind = _CLASS[data]
+    before = kind[:-1]
+    blank, mark = (kind[1:] == 1) & (before != 1), kind[1:] == 3
+    start = np.zeros(len(data) + 1, bool)
+    start[1 : len(data)] = blank | (mark & (before == 2))
+    high = np.flatnonzero((blank | mark) & (data[:-1] >= 0x80)) + 1
+    if len(high):
+        start[high[mark[high - 1]]] = False
+        two = high[(high >= 2) & mark[high - 1]]
+        lead, last = data[two - 2], data[two - 1]
+        start[two[(lead == 0xC3) & (last != 0x97) & (last != 0xB7)]] = True
+        one = high[blank[high - 1]]
+        for far in _FAR_BLANKS:
+            same = one >= len(far)
+            for k, byte in enumerate(reversed(far), 1):
+                same[same] = data[one[same] - k] == byte
+            start[one[same]] = False
+    start[rows] = True
+    return np.flatnonzero(start[: len(data)])
+
+
+class ChunkTable:
+    """Open-addressed table from 64-bit hashes of chunks to their ids, all in arrays, which costs about 40 bytes a chunk. Chunks are
+    told apart by these hashes alone."""
+
+    SLOTS = 1 << 22
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self, kind: np.dtype):
+        self.kind = kind
+        self.powers = self.inverse = np.ones(1, np.uint64)
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.entry = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.int32)
+        self.start, self.length, self.entries = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), 0
+        self.flat, self.used = np.zeros(1 << 18, self.kind), 0
+
+    def full(self) -> bool:
+        return self.entries > self.SLOTS // 2 or self.used > 8 * self.SLOTS
+
+    def hashes(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if len(self.powers) <= len(data):
+            base, back = np.full(len(data) + 1, self.BASE, np.uint64), np.full(len(data) + 1, pow(self.BASE, -1, 1 << 64), np.uint64)
+            base[0] = back[0] = 1
+            self.powers, self.inverse = np.cumprod(base, dtype=np.uint64), np.cumprod(back, dtype=np.uint64)
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(BYTE_CODES[data] * self.powers[: len(data)], out=total[1:])
+        key = mix64((total[end] - total[begin]) * self.inverse[begin] + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        return np.where(key == 0, np.uint64(1), key)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Entry of each key, -1 where there is none."""
+        out = np.full(len(keys), -1, np.int64)
+        left = np.arange(len(keys))
+        slot = (keys & np.uint64(self.SLOTS - 1)).astype(np.int64)
+        while len(left):
+            there = self.keys[slot]
+            hit = there == keys[left]
+            out[left[hit]] = self.entry[slot[hit]]
+            on = ~hit & (there != 0)
+            left, slot = left[on], (slot[on] + 1) % self.SLOTS
+        return out
+
+    def add(self, keys: np.ndarray, ids: list[bytes]) -> None:
+        """Distinct new keys with their ids."""
+        raw = np.frombuffer(b"".join(ids), self.kind)
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
+        more = self.entries + len(keys)
+        while more > len(self.start):
+            self.start, self.length = np.concatenate((self.start, self.start)), np.concatenate((self.length, self.length))
+        while self.used + len(raw) > len(self.flat):
+            self.flat = np.concatenate((self.flat, self.flat))
+        self.flat[self.used : self.used + len(raw)] = raw
+        self.start[self.entries : more], self.length[self.entries : more] = self.used + np.cumsum(lengths) - lengths, lengths
+        left, slot = np.arange(len(keys)), (keys & np.uint64(self.SLOTS - 1)).astype(np.int64)
+        while len(left):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            _, first = np.unique(slot[free], return_index=True)
+            take = free[first]
+            self.keys[slot[take]], self.entry[slot[take]] = keys[left[take]], self.entries + left[take]
+            on = np.ones(len(left), bool)
+            on[take] = False
+            left, slot = left[on], slot[on]
+            slot = np.where(self.keys[slot] != 0, (slot + 1) % self.SLOTS, slot)
+        self.entries, self.used = more, self.used + len(raw)
+
+
 class TextEncoder:
-    """Texts -> little-endian id bytes. Where pre-tokens cannot span a blank nor a letter and a mark, chunks between these are encoded once
-    by the tokenizers library and remembered, which spares it the repeats of a corpus; the first text of each
-    batch is also encoded whole and compared."""
+    """Texts -> little-endian id bytes, each with the end id appended. Where pre-tokens cannot span what parts chunks, chunks are
+    encoded once by the tokenizers library and remembered, which spares it the repeats of a corpus; the first text of
+    each slice is also encoded whole and compared."""
 
     def __init__(self, path: str):
         import json
@@ -77,34 +167,53 @@ class TextEncoder:
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
+        self.end = np.asarray([END_ID], self.kind).tobytes()
         pre = model.get("pre_tokenizer") or {}
-        plain = all(not (t.get("lstrip") or t.get("rstrip") or re.search(f"[{_BLANK}]", t["content"])) for t in model.get("added_tokens", []))
+        added = model.get("added_tokens", [])
+        self.added = [t["content"] for t in added]
+        plain = not any(t.get("lstrip") or t.get("rstrip") for t in added)
         self.by_chunk = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not model.get("normalizer") and plain
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.table = ChunkTable(self.kind) if self.by_chunk else None
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if not self.by_chunk or not texts:
-            return self._whole(texts)
-        chunks = [_CHUNK.findall(t) for t in texts]
-        if len(self.cache) > _CACHE_ENTRIES:
-            self.older, self.cache = self.cache, {}
-        cache, older = self.cache, self.older
-        new = set().union(*chunks).difference(cache)
-        known = new.intersection(older)
-        cache.update((c, older[c]) for c in known)
-        new = list(new - known)
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            cache.update(zip(part, self._whole(part), strict=True))
-        get = cache.__getitem__
-        out = [b"".join(map(get, c)) for c in chunks]
-        for long in (c for c in new if len(c) > _CACHE_CHARS):
-            del cache[long]
-        if out[0] != self._whole(texts[:1])[0]:
+    def encode(self, column: pa.Array) -> Iterator[tuple[int, int, pa.Array]]:
+        """(begin, end, ids as binary) for slices of a string column without nulls."""
+        lengths = pc.binary_length(column.cast(pa.large_string())).to_pylist()
+        for a, b in slice_bounds(lengths, _SLICE_BYTES):
+            part = column.slice(a, b - a)
+            # an added token's content is one token wherever it stands
+            apart = self.by_chunk and max(lengths[a:b]) <= _LONG_BYTES and not any(pc.any(pc.match_substring(part, t)).as_py() for t in self.added)
+            yield a, b, self._chunked(part) if apart else pa.array([x + self.end for x in self._whole(part.to_pylist())], pa.binary())
+
+    def _chunked(self, column: pa.Array) -> pa.Array:
+        data, rows = text_bytes(column)
+        table = self.table
+        if table.full() or not table.entries:
+            table.clear()
+            table.add(np.asarray([2], np.uint64), [self.end])  # entry 0
+        some = rows[:-1][np.diff(rows) > 0]
+        begin = chunk_starts(data, some) if len(data) else np.empty(0, np.int64)
+        end = np.append(begin[1:], len(data)) if len(begin) else begin
+        keys = table.hashes(data, begin, end)
+        entry = table.find(keys)
+        missing = np.flatnonzero(entry < 0)
+        if len(missing):
+            new, first = np.unique(keys[missing], return_index=True)
+            raw = data.tobytes()
+            at = missing[first]
+            words = [raw[x:y].decode() for x, y in zip(begin[at].tolist(), end[at].tolist(), strict=True)]
+            table.add(new, [x for k in range(0, len(words), 20_000) for x in self._whole(words[k : k + 20_000])])
+            entry[missing] = table.find(keys[missing])
+        entry = np.insert(entry, np.searchsorted(begin, rows[1:], "left"), 0)
+        lengths = table.length[entry].astype(np.int64)
+        stops = np.cumsum(lengths)
+        ids = table.flat[np.repeat(table.start[entry] - stops + lengths, lengths) + np.arange(int(stops[-1]) if len(stops) else 0)]
+        last = np.searchsorted(begin, rows[1:], "left") + np.arange(len(column))
+        bounds = np.concatenate(([0], stops[last] * self.kind.itemsize)).astype(np.int32)
+        out = pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(bounds), pa.py_buffer(ids)])
+        if len(column) and out[0].as_py() != self._whole([column[0].as_py()])[0] + self.end:
             raise ValueError("this tokenizer's pre-tokens span chunks: encode whole texts instead")
         return out
 
@@ -118,19 +227,14 @@ def text_encoder(path: str) -> TextEncoder:
 def tokenize(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     """doc_id, text -> doc_id, ids (binary, end id appended), n_tokens; whole texts, null as empty."""
     where = tokenizer_path
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = text_encoder(where or default_tokenizer_path())
-        end = np.asarray([END_ID], encoder.kind).tobytes()
         for batch in batches:
-            texts = batch.column("text").fill_null("")
-            lengths = [len(x) if (x := t.as_buffer()) else 0 for t in texts]
-            for a, b in slice_bounds(lengths, 2_000_000):
-                ids = [x + end for x in encoder(texts.slice(a, b - a).to_pylist())]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array(ids, pa.binary()), pa.array([len(x) // encoder.kind.itemsize for x in ids], pa.int64())],
-                    ["doc_id", "ids", "n_tokens"],
-                )
+            for a, b, ids in encoder.encode(batch.column("text").fill_null("")):
+                lengths = pc.binary_length(ids).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), ids, pc.divide(lengths, encoder.kind.itemsize)], ["doc_id", "ids", "n_tokens"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, ids binary, n_tokens long")
 

@@ -21,7 +21,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+BYTE_CODES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 
 
 def alnum_words() -> np.ndarray:
@@ -87,7 +87,7 @@ class WordSplitter:
 
     def __init__(self, kinds: np.ndarray, lower: bool = True):
         self.kinds = kinds.astype(np.uint8)
-        codes = _BYTES.copy()
+        codes = BYTE_CODES.copy()
         if lower:
             codes[0x41:0x5B] = codes[0x61:0x7B]
         self.codes = codes
