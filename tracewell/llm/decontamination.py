@@ -19,11 +19,11 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm._shared import fresh_dir, open_filesystem, stage, tidied
+from tracewell.llm._shared import fresh_dir, open_filesystem, small_batches, stage, tidied
 from tracewell.llm.words import WordSplitter, alnum_words, slices
 
 WINDOW = 10
-SHARD_TOKENS = 250_000
+SHARD_TOKENS = 60_000
 WINDOW_BLOCK = 50_000
 #: Blocks of windows (about 5 MB each) that a task keeps.
 HELD_BLOCKS = 16
@@ -59,6 +59,7 @@ def build_index(docs: DataFrame) -> DataFrame:
                 )
                 a = b
 
+    small_batches(docs.sparkSession)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return stage(narrow.mapInArrow(tidied(run), "doc_ids binary, doc_null binary, bounds binary, terms binary, counts binary, positions binary"), "index")
 
