@@ -18,14 +18,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm._shared import discard, fresh_dir, open_filesystem, stage, tidied
+from tracewell.llm._shared import discard, small_batches, stage, tidied
 from tracewell.llm.graph_components import components
+from tracewell.llm.id_filter import id_filter
 from tracewell.llm.shingles import fingerprints, shingle_sets
 from tracewell.llm.signature_tree import PERCENT, SignatureTree, bitmap, least_overlap, may_reach, merging_pairs, tree_links
 from tracewell.llm.words import mix64, slices
@@ -44,8 +43,6 @@ MAX_FREQUENT = 1_000_000
 SEEN_CLASSES = 500_000
 #: Rows of postings that are looked at together.
 STEP = 250_000
-#: Bits of the filter over documents whose texts are needed: 16 a document, between these; beyond, more rows pass it, none is lost.
-FILTER_BITS = (16, 27)
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
@@ -54,6 +51,7 @@ def _narrow(docs: DataFrame) -> DataFrame:
 
 def describe(docs: DataFrame) -> DataFrame:
     """doc_id, n, one, two (fingerprints), bits (bitmap) of every row, stored."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for whole in batches for x in slices(whole)):
@@ -299,57 +297,6 @@ def chunked(members: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     return members.join(totals, F.col("part") == F.col("t_part")).select("rep", "one", "two", "n", "part", "sets", "chunks", own.alias("own"))
 
 
-def _id_bits(ids: np.ndarray, bits: int) -> np.ndarray:
-    """Three places of each id in a filter of 2**bits bits."""
-    x = mix64(ids.astype(np.int64).view(np.uint64) + np.uint64(0x51ED270B))
-    return np.stack([(mix64(x + np.uint64(k)) >> np.uint64(64 - bits)).astype(np.int64) for k in range(3)])
-
-
-def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs(doc_id, text) whose doc_id is among ids(doc_id), and perhaps a few others.
-
-    A filter of bounded size is built from ids in Spark and read by the tasks from the shared folder; only ids cross to
-    Python, so the corpus is scanned but neither converted nor shuffled."""
-    spark = docs.sparkSession
-    size = FILTER_BITS[0]
-    wanted = 16 * ids.count()
-    while (1 << size) < wanted and size < FILTER_BITS[1]:
-        size += 1
-    bits = size
-
-    def places(batches):
-        for batch in batches:
-            where = np.unique(_id_bits(np.asarray(batch.column("doc_id")), bits))
-            yield pa.RecordBatch.from_arrays([pa.array(where >> 5), pa.array(np.int64(1) << (where & 31))], ["word", "bit"])
-
-    path = fresh_dir(spark, "id-filter")
-    ids.select("doc_id").mapInArrow(places, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).write.parquet(path)
-    loaded: list[np.ndarray] = []
-
-    def table() -> np.ndarray:
-        if not loaded:
-            import pyarrow.fs as pafs
-
-            fs, local = open_filesystem(path)
-            out = np.zeros(1 << (bits - 5), np.uint32)
-            for info in fs.get_file_info(pafs.FileSelector(local)):
-                if info.path.endswith(".parquet"):
-                    with fs.open_input_file(info.path) as source:
-                        rows = pq.read_table(source)
-                    out[np.asarray(rows.column("word"))] = np.asarray(rows.column("bits")).astype(np.uint32)
-            loaded.append(out)
-        return loaded[0]
-
-    @F.pandas_udf("boolean")
-    def among(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        filter_ = table()
-        for ids_ in batches:
-            at = _id_bits(ids_.to_numpy(), bits)
-            yield pd.Series(((filter_[at >> 5] >> (at & 31).astype(np.uint32)) & 1).all(axis=0))
-
-    return docs.filter(among("doc_id"))
-
-
 def cluster_links(docs: DataFrame, dealt: DataFrame) -> DataFrame:
     """dealt(rep, one, two, label, tree) -> links (a, b: least doc_ids of classes) that join labels within the trees, stored.
 
@@ -375,7 +322,7 @@ def cluster_links(docs: DataFrame, dealt: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     narrow = _narrow(docs).filter("doc_id is not null")
-    texts = with_ids(narrow, dealt.select(F.col("rep").alias("doc_id")))
+    texts = narrow.filter(id_filter(dealt.select(F.col("rep").alias("id")))("doc_id"))
     full = texts.join(dealt, F.col("doc_id") == F.col("rep")).select("tree", "rep", "one", "two", "label", "text")
     return stage(full.repartition("tree").sortWithinPartitions("tree").mapInArrow(tidied(run), "a long, b long").distinct(), "cluster-links")
 

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm._shared import tidied
+from tracewell.llm._shared import small_batches, tidied
 from tracewell.llm.words import slice_bounds
 
 BUCKET_BITS = 16
@@ -168,6 +168,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep
     The broadcast is BUCKETS x languages x 4 bytes, at most MATRIX_BYTES a block of languages."""
     spark = docs.sparkSession
     shared = [spark.sparkContext.broadcast(block) for block in model.blocks()]
+    small_batches(spark)
     names = list(keep)
     outer, _, inner = text_col.rpartition(".")
     within = names.index(outer) if outer in names else None
