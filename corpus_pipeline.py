@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import decontamination, jaccard_join, language_id, mixing, token_files
-from tracewell.llm._shared import stage
+from tracewell.llm._shared import discard, stage
+from tracewell.llm.id_filter import without
 
 #: A text is rejected where no language can be told (no letter), or none of the learned ones is likelier than this.
 MIN_LANGUAGE_SCORE = 0.5
@@ -39,16 +40,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     placed = ids.join(classes.select(F.col("doc_id").alias("__row"), "component_id"), "__row")
     first = placed.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__row")).alias("first"))
     kept = stage(first.select("first.__row"), "kept")
-    copies = stage(ids.join(kept, "__row", "left_anti").select("__row"), "copies")
-    return rows.join(copies, "__row", "left_anti").select(*docs.columns)
+    copies = stage(ids.join(kept, "__row", "left_anti").select(F.col("__row").alias("id")), "copies")
+    return without(rows, copies, "__row").select(*docs.columns)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops every row that holds a window of a benchmark item, those with null or repeated ids too, each by its own text."""
     rows = _numbered(docs)
     found = decontamination.decontaminate(rows.select(F.col("__row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = stage(found.filter("n_hit > 0").select(F.col("doc_id").alias("__row")), "contaminated")
-    return rows.join(bad, "__row", "left_anti").select(*docs.columns)
+    bad = stage(found.filter("n_hit > 0").select(F.col("doc_id").alias("id")), "contaminated")
+    return without(rows, bad, "__row").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,6 +76,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, function in STAGES:
         docs = stage(function(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
