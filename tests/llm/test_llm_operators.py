@@ -315,7 +315,16 @@ def test_token_files_round_trip(spark, odd, empty):
 def test_chunked_encoding_equals_whole_texts():
     encoder = token_files.text_encoder(token_files.default_tokenizer_path())
     texts = ["a  b\n\n c", " x", "tab\t\tend  ", "nb\xa0sp em", "\x1c a\x1cb", "<|endoftext|> in <|endoftext|>", "don't  I'll", "x" * 500, "é" * 40 + " 12 34", ""]
-    assert encoder.by_chunk and encoder(texts) == encoder._whole(texts)
+    rng = np.random.default_rng(4)
+    parts = ["ab", " ", "é", "\n", "'t", "'", ".", "!!", "\xa0", "\u2003", "\u3000", "÷", "12", "²", "中", "\x85", "\x1f", "Ω", "\u0301", "A", "-"]
+    texts += ["".join(rng.choice(parts, rng.integers(1, 12))) for _ in range(4000)]
+    assert encoder.by_chunk
+    for _ in range(2):  # the second time from the table
+        got = [x.as_py() for _, _, ids in encoder.encode(pa.array(texts)) for x in ids]
+        assert got == [x + encoder.end for x in encoder._whole(texts)]
+    encoder.table.entries = encoder.table.SLOTS
+    assert [x.as_py() for _, _, ids in encoder.encode(pa.array(["a b", "", "c."])) for x in ids] == [x + encoder.end for x in encoder._whole(["a b", "", "c."])]
+    assert list(encoder.encode(pa.array([], pa.string()))) == []
 
 
 # ---------------------------------------------------------------- 6 surrogates
