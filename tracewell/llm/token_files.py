@@ -50,7 +50,7 @@ _CLASS[[0x20, *range(0x09, 0x0E)]] = 1
 _CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 2
 _CLASS[[*range(0x21, 0x27), *range(0x28, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = 3
 #: Texts of about so many bytes are encoded together; a longer one goes to the library whole.
-_SLICE_BYTES, _LONG_BYTES = 2_000_000, 8_000_000
+_SLICE_BYTES, _LONG_BYTES = 1_000_000, 4_000_000
 _tokenizers: dict[str, TextEncoder] = {}
 
 
@@ -87,7 +87,7 @@ class ChunkTable:
     """Open-addressed table from 64-bit hashes of chunks to their ids, all in arrays, which costs about 40 bytes a chunk. Chunks are
     told apart by these hashes alone."""
 
-    SLOTS = 1 << 22
+    SLOTS = 1 << 21
     BASE = 0x9E3779B97F4A7C15
 
     def __init__(self, kind: np.dtype):
@@ -204,7 +204,7 @@ class TextEncoder:
             raw = data.tobytes()
             at = missing[first]
             words = [raw[x:y].decode() for x, y in zip(begin[at].tolist(), end[at].tolist(), strict=True)]
-            table.add(new, [x for k in range(0, len(words), 20_000) for x in self._whole(words[k : k + 20_000])])
+            table.add(new, [x for k in range(0, len(words), 4000) for x in self._whole(words[k : k + 4000])])
             entry[missing] = table.find(keys[missing])
         entry = np.insert(entry, np.searchsorted(begin, rows[1:], "left"), 0)
         lengths = table.length[entry].astype(np.int64)
