@@ -71,7 +71,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     if before is not None:
         spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP).option("compression", "zstd").parquet(path)
     finally:
         if before is not None:
             spark.conf.set(_CLEANUP, before)

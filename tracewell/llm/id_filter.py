@@ -72,4 +72,5 @@ def id_filter(ids: DataFrame) -> Callable[[str], Column]:
 def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """rows whose key (a long, not null) isn't among gone(id). Only rows that the filter takes for gone ones are shuffled."""
     maybe = id_filter(gone)(key)
-    return rows.filter(~maybe).unionByName(rows.filter(maybe).join(gone, F.col(key) == F.col("id"), "left_anti"))
+    renamed = gone.select(F.col("id").alias("__gone"))
+    return rows.filter(~maybe).unionByName(rows.filter(maybe).join(renamed, F.col(key) == F.col("__gone"), "left_anti"))
