@@ -16,6 +16,8 @@ from tracewell.llm.id_filter import without
 
 #: A text is rejected where no language can be told (no letter), or none of the learned ones is likelier than this.
 MIN_LANGUAGE_SCORE = 0.5
+#: Files whose names are broadcast to number rows (about 100 bytes each).
+MAX_FILES = 100_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +28,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with a unique __row, stored, so that rows with null or repeated ids are told apart."""
+    """docs with a __row that is unique and the same whenever it is read, so that rows with null or repeated ids are told apart.
+
+    Rows read from Parquet are numbered by their file and their place in it. Any other frame is stored with numbers."""
+    if docs._jdf.queryExecution().analyzed().nodeName().startswith(("LogicalRelation", "Relation")):
+        hidden = docs.metadataColumn("_metadata")
+        placed = docs.select("*", hidden.getField("file_path").alias("__path"), hidden.getField("row_index").alias("__index"))
+        files = stage(placed.select(F.col("__path").alias("__file")).distinct().repartition(1).withColumn("__number", F.monotonically_increasing_id()), "files")
+        if files.count() <= MAX_FILES:  # the driver lists the files of a scan in any case
+            numbered = placed.join(F.broadcast(files), F.col("__path") == F.col("__file"))
+            return numbered.withColumn("__row", F.shiftleft("__number", 36) + F.col("__index")).drop("__path", "__index", "__file", "__number")
     return stage(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
 
 
@@ -47,8 +58,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops every row that holds a window of a benchmark item, those with null or repeated ids too, each by its own text."""
     rows = _numbered(docs)
-    found = decontamination.decontaminate(rows.select(F.col("__row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    index = decontamination.build_index(rows.select(F.col("__row").alias("doc_id"), "text"))
+    found = decontamination.search_index(index, decontamination.store_windows(spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
     bad = stage(found.filter("n_hit > 0").select(F.col("doc_id").alias("id")), "contaminated")
+    discard(index)
     return without(rows, bad, "__row").select(*docs.columns)
 
 
