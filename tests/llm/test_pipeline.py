@@ -48,3 +48,32 @@ def test_rows_with_null_and_repeated_ids_are_decided(spark):
     docs = spark.createDataFrame([(None, item), (1, item), (1, "clean"), (None, "clean too"), (None, None)], "doc_id long, text string")
     kept = corpus_pipeline.remove_contaminated(spark, docs, str(DATA)).collect()
     assert sorted(((r["doc_id"], r["text"]) for r in kept), key=repr) == sorted([(1, "clean"), (None, "clean too"), (None, None)], key=repr)
+
+
+def test_rows_of_files_are_numbered_in_place(spark, tmp_path):
+    spark.range(1000).withColumn("text", F.lit("a b c")).repartition(7).write.parquet(f"{tmp_path}/t")
+    docs = spark.read.parquet(f"{tmp_path}/t")
+    rows = corpus_pipeline._numbered(docs)
+    assert rows.columns == [*docs.columns, "__row"] and "tracewell" not in "".join(rows.inputFiles())[: len(str(tmp_path))]
+    got = {r["__row"]: r["id"] for r in rows.collect()}
+    assert len(got) == 1000 and got == {r["__row"]: r["id"] for r in rows.select("__row", "id").repartition(3).collect()}
+    stored = corpus_pipeline._numbered(docs.withColumn("more", F.lit(1)))
+    assert stored.select("__row").distinct().count() == 1000
+
+
+def test_odd_rows_run_through(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and columns with names that operators use themselves."""
+    long = " ".join(f"w{k % 9973}" for k in range(50_000))
+    words = " ".join(f"plain{k}" for k in range(30))
+    rows = [(1, words, "s"), (1, words, "s"), (2, words, None), (None, words + " and more", "t"), (3, None, "s"), (4, "", "s"), (5, long, "s"), (6, "12 34", "s")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit("x") for c in ("lang", "score", "n", "one", "key", "part", "tree", "id", "row", "size", "bits", "maybe", "lang_pred")})
+    frame.write.parquet(f"{tmp_path}/odd")
+    docs = spark.read.parquet(f"{tmp_path}/odd")
+    columns = docs.columns
+    wanted = [{(1, 1), (2, 1), (None, 1), (5, 1)}, {(1, 1), (5, 1)}, {(1, 1), (5, 1)}]
+    for (name, function), expected in zip(corpus_pipeline.STAGES, wanted, strict=False):
+        docs = corpus_pipeline.stage(function(spark, docs, str(DATA)), f"odd-{name}")
+        assert docs.columns == columns and {(r["doc_id"], 1) for r in docs.collect()} == expected, name
+    mixed = corpus_pipeline.stage(corpus_pipeline.mix_sources(spark, docs, str(DATA)), "odd-mix")
+    assert mixed.columns == columns
+    assert corpus_pipeline.write_tokens(spark, mixed, str(DATA)).count() == mixed.count()
