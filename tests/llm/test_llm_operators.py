@@ -322,7 +322,7 @@ def test_chunked_encoding_equals_whole_texts():
     for _ in range(2):  # the second time from the table
         got = [x.as_py() for _, _, ids in encoder.encode(pa.array(texts)) for x in ids]
         assert got == [x + encoder.end for x in encoder._whole(texts)]
-    encoder.table.entries = encoder.table.SLOTS
+    encoder.table.entries = encoder.table.slots
     assert [x.as_py() for _, _, ids in encoder.encode(pa.array(["a b", "", "c."])) for x in ids] == [x + encoder.end for x in encoder._whole(["a b", "", "c."])]
     assert list(encoder.encode(pa.array([], pa.string()))) == []
 

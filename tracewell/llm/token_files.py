@@ -51,6 +51,8 @@ _CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 2
 _CLASS[[*range(0x21, 0x27), *range(0x28, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = 3
 #: Texts of about so many bytes are encoded together; a longer one goes to the library whole.
 _SLICE_BYTES, _LONG_BYTES = 1_000_000, 4_000_000
+#: Slots of the table of remembered chunks.
+_SLOTS = 1 << 21
 _tokenizers: dict[str, TextEncoder] = {}
 
 
@@ -87,21 +89,20 @@ class ChunkTable:
     """Open-addressed table from 64-bit hashes of chunks to their ids, all in arrays, which costs about 40 bytes a chunk. Chunks are
     told apart by these hashes alone."""
 
-    SLOTS = 1 << 21
     BASE = 0x9E3779B97F4A7C15
 
-    def __init__(self, kind: np.dtype):
-        self.kind = kind
-        self.powers = self.inverse = np.ones(1, np.uint64)
+    def __init__(self, kind: np.dtype, slots: int):
+        self.kind, self.slots = kind, slots
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.entry = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.int32)
+        self.powers = self.inverse = np.ones(1, np.uint64)
+        self.keys, self.entry = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int32)
         self.start, self.length, self.entries = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), 0
         self.flat, self.used = np.zeros(1 << 18, self.kind), 0
 
     def full(self) -> bool:
-        return self.entries > self.SLOTS // 2 or self.used > 8 * self.SLOTS
+        return self.entries > self.slots // 2 or self.used > 8 * self.slots
 
     def hashes(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         if len(self.powers) <= len(data):
@@ -117,13 +118,13 @@ class ChunkTable:
         """Entry of each key, -1 where there is none."""
         out = np.full(len(keys), -1, np.int64)
         left = np.arange(len(keys))
-        slot = (keys & np.uint64(self.SLOTS - 1)).astype(np.int64)
+        slot = (keys & np.uint64(self.slots - 1)).astype(np.int64)
         while len(left):
             there = self.keys[slot]
             hit = there == keys[left]
             out[left[hit]] = self.entry[slot[hit]]
             on = ~hit & (there != 0)
-            left, slot = left[on], (slot[on] + 1) % self.SLOTS
+            left, slot = left[on], (slot[on] + 1) % self.slots
         return out
 
     def add(self, keys: np.ndarray, ids: list[bytes]) -> None:
@@ -137,7 +138,7 @@ class ChunkTable:
             self.flat = np.concatenate((self.flat, self.flat))
         self.flat[self.used : self.used + len(raw)] = raw
         self.start[self.entries : more], self.length[self.entries : more] = self.used + np.cumsum(lengths) - lengths, lengths
-        left, slot = np.arange(len(keys)), (keys & np.uint64(self.SLOTS - 1)).astype(np.int64)
+        left, slot = np.arange(len(keys)), (keys & np.uint64(self.slots - 1)).astype(np.int64)
         while len(left):
             free = np.flatnonzero(self.keys[slot] == 0)
             _, first = np.unique(slot[free], return_index=True)
@@ -146,7 +147,7 @@ class ChunkTable:
             on = np.ones(len(left), bool)
             on[take] = False
             left, slot = left[on], slot[on]
-            slot = np.where(self.keys[slot] != 0, (slot + 1) % self.SLOTS, slot)
+            slot = np.where(self.keys[slot] != 0, (slot + 1) % self.slots, slot)
         self.entries, self.used = more, self.used + len(raw)
 
 
@@ -173,7 +174,7 @@ class TextEncoder:
         self.added = [t["content"] for t in added]
         plain = not any(t.get("lstrip") or t.get("rstrip") for t in added)
         self.by_chunk = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not model.get("normalizer") and plain
-        self.table = ChunkTable(self.kind) if self.by_chunk else None
+        self.table = ChunkTable(self.kind, _SLOTS) if self.by_chunk else None
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -187,8 +188,15 @@ class TextEncoder:
             apart = self.by_chunk and max(lengths[a:b]) <= _LONG_BYTES and not any(pc.any(pc.match_substring(part, t)).as_py() for t in self.added)
             yield a, b, self._chunked(part) if apart else pa.array([x + self.end for x in self._whole(part.to_pylist())], pa.binary())
 
+    def release(self) -> None:
+        """Forgets all chunks, so that an idle worker holds little; a task's vocabulary is mostly its own."""
+        if self.table is not None:
+            self.table = ChunkTable(self.kind, 1 << 10)
+
     def _chunked(self, column: pa.Array) -> pa.Array:
         data, rows = text_bytes(column)
+        if self.table.slots < _SLOTS:
+            self.table = ChunkTable(self.kind, _SLOTS)
         table = self.table
         if table.full() or not table.entries:
             table.clear()
@@ -231,10 +239,13 @@ def tokenize(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = text_encoder(where or default_tokenizer_path())
-        for batch in batches:
-            for a, b, ids in encoder.encode(batch.column("text").fill_null("")):
-                lengths = pc.binary_length(ids).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), ids, pc.divide(lengths, encoder.kind.itemsize)], ["doc_id", "ids", "n_tokens"])
+        try:
+            for batch in batches:
+                for a, b, ids in encoder.encode(batch.column("text").fill_null("")):
+                    lengths = pc.binary_length(ids).cast(pa.int64())
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), ids, pc.divide(lengths, encoder.kind.itemsize)], ["doc_id", "ids", "n_tokens"])
+        finally:
+            encoder.release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, ids binary, n_tokens long")
 
