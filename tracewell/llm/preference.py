@@ -16,8 +16,11 @@ def gather_turns(turns: DataFrame, key: str) -> DataFrame:
     One conversation is one record. Rows that repeat exactly count once; different rows with one turn number are
     ordered by role and text, nulls first; a null role reads as 'unknown' and a null text as empty. Rows with a null
     key belong to no conversation and are left out."""
-    row = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return turns.filter(F.col(key).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_set(row)).alias("turns"))
+    return turns.filter(F.col(key).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_set(_turn())).alias("turns"))
+
+
+def _turn() -> Column:
+    return F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def common_prefix(chosen: Column, rejected: Column) -> Column:
@@ -72,8 +75,10 @@ def spans_text(spans: Column) -> Column:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation is the chosen side of one pair; its rejected side ends with the last turn of its neighbour (conv_id
     xor 1) instead of its own, or lacks a last turn where there is no neighbour. The table has no preferences of its own."""
-    gathered = gather_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "conv_id")
-    last = gathered.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("of_conv"), F.element_at("turns", -1).alias("other"))
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    gathered = gather_turns(turns, "conv_id")
+    # the neighbour's last turn alone, so that whole conversations are shuffled once
+    last = turns.filter("conv_id is not null").groupBy(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("of_conv")).agg(F.max(_turn()).alias("other"))
     head = F.slice("turns", F.lit(1), F.size("turns") - 1)
     pairs = gathered.join(last, F.col("conv_id") == F.col("of_conv"), "left").select(
         "conv_id", F.col("turns").alias("chosen"), F.when(F.col("other").isNotNull(), F.concat(head, F.array("other"))).otherwise(head).alias("rejected")
