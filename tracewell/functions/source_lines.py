@@ -36,11 +36,16 @@ def source_family(kind: Column) -> Column:
 
 
 def is_comment(raw: Column) -> Column:
-    """Empty lines, a star in column 7, // and /*, and lone stars; not *IN.., *ON and *OFF."""
+    """Empty lines, those with a star in column 7, those that open with //, /* or a star. A star that opens an indicator (*IN and a
+    digit, a letter or a bracket) or a switch (*ON, *OFF) opens code, and so does a copy directive."""
     text = F.trim(raw)
-    star = text.startswith("*") & ~text.rlike(r"(?i)^\*(IN(\d{1,2}|[A-Z]{1,3}|\s*\()|(ON|OFF)\b)")
-    copy = text.rlike(r"(?i)^/(COPY|INCLUDE)\b")
-    return ((raw == "") | (F.substring(raw, 7, 1) == "*") | text.startswith("//") | (text.startswith("/*")) | star) & ~copy
+    upper = F.upper(text)
+    after_in = F.substring(upper, 4, 1 << 20)
+    indicator = upper.startswith("*IN") & (after_in.rlike("^[A-Z0-9]") | F.ltrim(after_in).startswith("("))
+    switch = F.get(F.split(F.substring(upper, 2, 5), "[^A-Z0-9_]"), 0).isin("ON", "OFF")
+    copy = F.get(F.split(upper, "[^A-Z0-9_/]"), 0).isin("/COPY", "/INCLUDE")
+    opens = text.startswith("//") | text.startswith("/*") | (text.startswith("*") & ~indicator & ~switch)
+    return ((raw == "") | (F.substring(raw, 7, 1) == "*") | opens) & ~copy
 
 
 def _one(fact: str, raw: Column, pattern: str, group: int = 1, detail: Column | None = None) -> Column:
@@ -77,8 +82,9 @@ def _listed(fact: str, values: Column) -> Column:
 def rpg_facts(raw: Column) -> Column:
     """Facts of one RPG line."""
     usage = F.upper(F.regexp_extract(raw, r"(?i)\busage\(([^)]*)\)", 1))
-    free = rf"(?i)^\s*(CHAIN|SETLL|SETGT|READE|READPE|READP|READ|WRITE|UPDATE|DELETE|EXFMT)(?:\([A-Z]+\))?\s+(?:.*\s)?({NAME})\s*;"
-    fixed = rf"(?i)^\s{{0,5}}C.{{0,30}}\b(CHAIN|SETLL|SETGT|READE|READPE|READP|READ|WRITE|UPDATE|DELETE|EXFMT)\s+({NAME})"
+    codes = "|".join(sorted(OPCODES, key=len, reverse=True))
+    free = rf"(?i)^\s*({codes})(?:\([A-Z]+\))?\s+(?:.*\s)?({NAME})\s*;"  # the last operand names the file
+    fixed = rf"(?i)^\s{{0,5}}C.{{0,30}}\b({codes})\s+({NAME})"
     opcode = lambda p: F.upper(F.regexp_extract(raw, p, 1))
     groups = [
         _one("FILE", raw, rf"(?i)^\s*dcl-f\s+({NAME})", detail=usage), _one("FILE", raw, rf"(?i)^\s{{0,5}}F({NAME})\s+[IOUC]", detail=F.substring(F.trim(F.regexp_extract(raw, rf"(?i)^\s{{0,5}}F{NAME}\s+([IOUC])", 1)), 1, 1)),

@@ -79,6 +79,12 @@ PRIVACY_SIGNALS = {
     "SOURCE_FRAGMENT": r"(?i)(\*\*FREE\b|\bDCL-(F|S|DS|PR|PI)\b|\bEXFMT\b|\bCHAIN\b|\bREADC\b|\bSFL(CLR|RRN|PAG|SIZ)\b|\bPGM\b|\bENDPGM\b|\bMONMSG\b|\bEXEC\s+SQL\b|\bSELECT\b.+\bFROM\b)",
 }
 LONG_LABEL = 60
+#: What a value with the signal must hold: tests without lookarounds that most lines fail before the full pattern is tried.
+PRIVACY_HINTS = {
+    "SUSPICIOUS_IDENTIFIER": "[A-Z][A-Z0-9_]{5}", "LIBRARY_MEMBER_PATTERN": "[A-Z0-9_]/[A-Z0-9_]", "FILE_PATH": r"/|:\\",
+    "URL_OR_HOST": r"://|[A-Za-z0-9]\.[A-Za-z]{2}", "IP_ADDRESS": r"\d\.\d", "EMAIL": "@", "TOKEN_OR_SECRET": "(?i)key|token|secret|passw|authorization",
+    "SQL_OBJECT_NAME": r"[A-Z0-9_]\.[A-Z]", "SOURCE_FRAGMENT": r"(?i)\*\*free|dcl-|exfmt|chain|readc|sfl|pgm|monmsg|exec|select",
+}
 #: Word boundary over ASCII letters, digits and underscores, whatever the regex engine's own one takes in.
 _EDGE = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 SAMPLE = 80
@@ -100,7 +106,7 @@ def path_family(path: Column) -> Column:
 def privacy_codes(value: Column) -> Column:
     """Codes of the signals that a value shows, in the order above; a dotted catalogue key of four known heads is no host."""
     known_key = F.lower(F.trim(value)).rlike(r"^(ui|program|data|workflow)\.[a-z0-9-]+$")
-    tests = [F.when(value.rlike(p.replace(r"\b", _EDGE)) & (~known_key if code == "URL_OR_HOST" else F.lit(True)), code) for code, p in PRIVACY_SIGNALS.items()]
+    tests = [F.when(value.rlike(PRIVACY_HINTS[code]) & value.rlike(p.replace(r"\b", _EDGE)) & (~known_key if code == "URL_OR_HOST" else F.lit(True)), code) for code, p in PRIVACY_SIGNALS.items()]
     trimmed = F.trim(value)
     tests.append(F.when((F.length(trimmed) >= LONG_LABEL) & trimmed.rlike(r"\s"), "LONG_BUSINESS_LABEL"))
     return F.array_compact(F.array(*tests))
