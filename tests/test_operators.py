@@ -113,6 +113,54 @@ def test_incremental_store_equals_full(spark, tmp_path):
     assert values(grown.facts(2)) == values(fresh.facts(1)) and grown.verify(2).isEmpty()
 
 
+def test_two_roots_and_canonical_hashes(spark, tmp_path):
+    def units(rows):
+        df = spark.createDataFrame(rows, "root string, path string, content string")
+        return df.select("root", "path", X.content_hash(F.col("content")).alias("hash"), "content")
+
+    one = [("r", "a.rpgle", "dcl-f A disk;"), ("s", "a.rpgle", "dcl-f B disk;\r\n")]
+    two = [("r", "a.rpgle", "dcl-f A disk;"), ("s", "a.rpgle", "dcl-f C disk;\r\n")]
+    store = SnapshotStore(spark, str(tmp_path / "two"))
+    store.full(units(one), source_lines.source_facts)
+    assert store.incremental(units(two), source_lines.source_facts) == 2
+    assert sorted((r["root"], r["path"], r["name"]) for r in store.facts(2).collect()) == [("r", "a.rpgle", "A"), ("s", "a.rpgle", "C")]
+    assert store.verify(2).isEmpty()
+    claims = units(two).select("path", "hash").filter(F.col("path") == "a.rpgle").limit(1)
+    assert {r["status"] for r in context.verified_sources(units(two).filter("root = 'r'"), claims).collect()} == {"OK"}
+
+
+def test_snapshot_diff_by_two_keys_and_repeated_keys(spark):
+    kinds = "a string, b string, v string"
+    before = spark.createDataFrame([("a|b", "c", "1"), ("x", "y", "1"), ("x", "y", "2")], kinds)
+    after = spark.createDataFrame([("a", "b|c", "1"), ("x", "y", "1"), ("x", "y", "3")], kinds)
+    diff = delta.snapshot_diff(before, after, ["a", "b"])
+    got = {(tuple(r["keys"]), r["change"], r["statement"]) for r in diff.join(delta.rollback_statements(diff, "T", "a", "b"), ["key_text", "change"]).collect()}
+    assert got == {
+        (("a", "b|c"), "INSERTED", "DELETE FROM T WHERE a = 'a' AND b = 'b|c';"),
+        (("a|b", "c"), "DELETED", "INSERT INTO T (a, b, v) VALUES ('a|b', 'c', 1);"),
+        (("x", "y"), "UPDATED", "UPDATE T SET v = 2 WHERE a = 'x' AND b = 'y';"),
+    }
+
+
+def test_packing_keeps_string_ids(spark):
+    items = spark.createDataFrame([("k", "x1", 5), ("k", "x2", 9), ("k", "x3", 4)], "bucket string, id string, cost long")
+    assert sorted(r["id"] for r in budget.greedy_pack(items, "bucket", [F.col("id")], 9).collect()) == ["x1", "x3"]
+
+
+def test_guard_refuses_code_and_paths(spark, tmp_path):
+    spark.range(3).createOrReplaceTempView("guarded")
+    spark.range(3).write.parquet(f"{tmp_path}/t")
+    good = "WITH c AS (SELECT id FROM guarded) SELECT id, (SELECT max(id) FROM c) AS m FROM c WHERE id IN (SELECT id FROM guarded)"
+    assert guard.read_only(spark, good).count() == 3
+    for bad in (
+        "SELECT reflect('java.lang.System', 'currentTimeMillis')", "SELECT id FROM guarded WHERE id < (SELECT java_method('java.lang.Math', 'abs', -1))",
+        f"SELECT * FROM parquet.`{tmp_path}/t`", f"SELECT id FROM guarded WHERE id IN (SELECT id FROM parquet.`{tmp_path}/t`)",
+        f"WITH c AS (SELECT * FROM parquet.`{tmp_path}/t`) SELECT * FROM c", "WITH c AS (SELECT try_reflect('java.lang.Math', 'abs', -1)) SELECT * FROM c",
+    ):
+        with pytest.raises(ValueError):
+            guard.read_only(spark, bad)
+
+
 def test_files_sinks_and_policies(spark, tmp_path):
     (tmp_path / "src/sub").mkdir(parents=True)
     (tmp_path / "src/a.rpgle").write_text("x\r\ny")

@@ -34,11 +34,12 @@ def greedy_pack(items: DataFrame, bucket: str, order: list[Column], budget: int)
     able = costed.filter((F.col("cost") > 0) & (F.col("cost") <= budget)).withColumn("place_", place).filter(F.col("place_") * F.col("cost") <= budget)
     entry = F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)), F.col("id"), F.col("cost"))
     listed = able.groupBy(bucket).agg(F.array_sort(F.collect_list(entry)).alias("listed"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<id:bigint,cost:bigint>>").alias("out"))
+    kind = items.schema["id"].dataType.simpleString()
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<struct<id:{kind},cost:bigint>>").alias("out"))
 
     def take(acc: Column, x: Column) -> Column:
         fits = acc["used"] + x["cost"] <= budget
-        row = F.array(F.struct(x["id"].cast("long").alias("id"), x["cost"].alias("cost")))
+        row = F.array(F.struct(x["id"].alias("id"), x["cost"].alias("cost")))
         return F.when(fits, F.struct((acc["used"] + x["cost"]).alias("used"), F.concat(acc["out"], row).alias("out"))).otherwise(acc)
 
     packed = listed.select(bucket, F.explode(F.aggregate("listed", start, take, lambda acc: acc["out"])).alias("x"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.functions.text import content_hash
+
 from tracewell.functions.text import estimate_tokens
 from tracewell.operators import budget, graph, search
 
@@ -41,7 +43,7 @@ def context_package(docs: DataFrame, edges: DataFrame, query: str, total: int =
 
 def verified_sources(units: DataFrame, claims: DataFrame) -> DataFrame:
     """claims(path, hash) against units(path, content): path, status (OK, MISSING, STALE), body cut at BODY_CHARS where OK."""
-    have = units.select("path", F.sha2("content", 256).alias("now"), "content")
+    have = units.select("path", content_hash(F.col("content")).alias("now"), "content")
     both = claims.join(have, "path", "left")
     status = F.when(F.col("now").isNull(), "MISSING").when(F.col("now") != F.col("hash"), "STALE").otherwise("OK")
     return both.select("path", status.alias("status"), F.when(status == "OK", F.substring("content", 1, BODY_CHARS)).alias("body"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,17 +11,21 @@ def _key_text(c: Column) -> Column:
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
-    """Full outer join on trimmed keys: key_text, change (INSERTED, UPDATED, DELETED), diffs map<column, struct<before, after>>.
+    """Full outer join on trimmed keys: key_text (values between bars, for reading), keys (array, which tells them apart), change
+    (INSERTED, UPDATED, DELETED), diffs map<column, struct<before, after>>, before, after.
 
-    A null value equals an empty one. Where keys repeat, the least row of each side stands for the key."""
+    A null value equals an empty one. Rows that repeat a key are paired in the order of their values; what one side has more of
+    is inserted or deleted."""
     columns = [c for c in after.columns if c not in keys]
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        text = F.concat_ws("|", *(_key_text(F.col(k)) for k in keys))
         shown = F.struct(*(F.col(c).cast("string").alias(c) for c in columns))
-        return df.groupBy(text.alias(f"{name}_key")).agg(F.min(shown).alias(name))
+        rows = df.select(F.array(*(_key_text(F.col(k)) for k in keys)).alias(f"{name}_key"), shown.alias(name))
+        place = F.row_number().over(Window.partitionBy(f"{name}_key").orderBy(name))
+        return rows.withColumn(f"{name}_place", place)
 
-    both = side(before, "before").join(side(after, "after"), F.col("before_key") == F.col("after_key"), "full_outer")
+    same = (F.col("before_key") == F.col("after_key")) & (F.col("before_place") == F.col("after_place"))
+    both = side(before, "before").join(side(after, "after"), same, "full_outer").withColumn("keys", F.coalesce("after_key", "before_key"))
     empty = F.lit("")
     entries = F.array_compact(
         F.array(*(
@@ -35,7 +39,7 @@ def snapshot_diff(before: DataFrame, after: DataFrame, keys: list[str]) -> DataF
         both.withColumn("entries", F.when(F.col("before_key").isNotNull() & F.col("after_key").isNotNull(), entries).otherwise(F.expr("filter(array(named_struct('column', '', 'values', named_struct('before', '', 'after', ''))), x -> false)")))
         .withColumn("change", change)
         .filter("change is not null")
-        .select(F.coalesce("after_key", "before_key").alias("key_text"), "change", F.map_from_entries("entries").alias("diffs"), "before", "after")
+        .select(F.array_join("keys", "|").alias("key_text"), "keys", "change", F.map_from_entries("entries").alias("diffs"), "before", "after")
     )
 
 
@@ -43,17 +47,18 @@ def _literal(value: Column) -> Column:
     return F.when(value.isNull(), "NULL").when(value.rlike(r"^\s*\d+\s*$"), F.trim(value)).otherwise(F.concat(F.lit("'"), F.replace(value, F.lit("'"), F.lit("''")), F.lit("'")))
 
 
-def rollback_statements(diff: DataFrame, table: str, key: str) -> DataFrame:
-    """key_text, statement that undoes each change of a one-key snapshot_diff()."""
-    where = F.concat(F.lit(f" WHERE {key} = "), _literal(F.col("key_text")))
+def rollback_statements(diff: DataFrame, table: str, *key: str) -> DataFrame:
+    """key_text, change, statement that undoes each change of a snapshot_diff() by these keys."""
+    values = [_literal(F.get("keys", k)) for k in range(len(key))]
+    where = F.concat(F.lit(" WHERE "), F.concat_ws(" AND ", *(F.concat(F.lit(f"{c} = "), v) for c, v in zip(key, values, strict=True))))
     sets = F.array_join(F.transform(F.map_entries("diffs"), lambda e: F.concat(e["key"], F.lit(" = "), _literal(e["value"]["before"]))), ", ")
     names = [f.name for f in diff.schema["before"].dataType.fields]
     given = F.array_compact(F.array(*(F.when(F.col("before")[c].isNotNull(), F.struct(F.lit(c).alias("n"), _literal(F.col("before")[c]).alias("v"))) for c in names)))
-    listed = lambda f: F.array_join(F.transform(given, lambda e: e[f]), ", ")
+    listed_or_null = lambda f: F.when(F.size(given) > 0, F.array_join(F.transform(given, lambda e: e[f]), ", "))
     statement = (
         F.when(F.col("change") == "INSERTED", F.concat(F.lit(f"DELETE FROM {table}"), where, F.lit(";")))
         .when(F.col("change") == "UPDATED", F.concat(F.lit(f"UPDATE {table} SET "), sets, where, F.lit(";")))
-        .otherwise(F.concat(F.lit(f"INSERT INTO {table} ({key}, "), listed("n"), F.lit(") VALUES ("), _literal(F.col("key_text")), F.lit(", "), listed("v"), F.lit(");")))
+        .otherwise(F.concat(F.lit(f"INSERT INTO {table} ("), F.concat_ws(", ", F.lit(", ".join(key)), listed_or_null("n")), F.lit(") VALUES ("), F.concat_ws(", ", *values, listed_or_null("v")), F.lit(");")))
     )
     return diff.select("key_text", "change", statement.alias("statement"))
 

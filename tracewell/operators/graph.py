@@ -38,7 +38,8 @@ def closure(edges: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH, a: s
     """node, depth (least number of edges from a seed) of all nodes reached along a -> b; seeds(node) have depth 0."""
     visited = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     frontier = visited
-    steps = edges.select(F.col(a).alias("from_"), F.col(b).alias("node"))
+    # the edges are computed once, not at each hop
+    steps = cut(edges.select(F.col(a).alias("from_"), F.col(b).alias("node")).distinct())
     for depth in range(1, max_depth + 1):
         reached = frontier.select(F.col("node").alias("at")).join(steps, F.col("at") == F.col("from_")).select("node").distinct()
         frontier = cut(reached.join(visited, "node", "left_anti").withColumn("depth", F.lit(depth)))

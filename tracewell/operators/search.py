@@ -54,10 +54,11 @@ def lexical_search(docs: DataFrame, query: str, limit: int = DEFAULT_LIMIT, offs
         raise ValueError("the query has no term")
     weights = F.create_map(*(F.lit(x) for t in terms for x in (t, asked.count(t))))
     posts = postings(docs, terms)
+    found = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row a query term
     total = docs.agg(F.count(F.lit(1)).alias("n_docs"))
     titles = docs.select(F.col("doc_id").alias("t_id"), F.filter("title_tokens", lambda t: t.isin(terms)).alias("in_title")).filter(F.size("in_title") > 0)
     scored = (
-        posts.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("term")))
+        posts.join(F.broadcast(found), "term")
         .crossJoin(F.broadcast(total))  # one row
         .join(titles, F.col("doc_id") == F.col("t_id"), "left")
         .withColumn("part", (1 + F.log("tf")) * F.log(1 + F.col("n_docs") / F.col("df")) * F.element_at(weights, F.col("term")))

@@ -12,6 +12,8 @@ DEFAULT_ROWS, MAX_ROWS = 50, 200
 IDENTIFIER = re.compile(r"[A-Z][A-Z0-9_#$@]*\Z")
 #: Logical plans that only read; commands are refused by what they parse to, without running them.
 _WRITES = ("Insert", "Delete", "Update", "Merge", "Create", "Drop", "Alter", "Truncate", "Replace", "Command", "SetNamespace", "Load", "Repair", "Cache", "Uncache", "Refresh", "AddPartitions", "Rename")
+#: Functions that run code of the driver's or executors' classes.
+_RUNS_CODE = ("reflect", "try_reflect", "java_method")
 
 
 def without_comments(sql: str) -> str:
@@ -39,14 +41,47 @@ def check_read_only(spark: SparkSession, sql: str) -> str:
         raise ValueError("a query must start with SELECT or WITH")
     left = [spark._jsparkSession.sessionState().sqlParser().parsePlan(text)]
     while left:
-        plan = left.pop()
-        if plan.getClass().getSimpleName().startswith(_WRITES):
+        node = left.pop()
+        kind = node.getClass().getSimpleName()
+        if kind.startswith(_WRITES):
             raise ValueError("the query does more than read")
-        children = plan.children()
-        left += [children.apply(k) for k in range(children.size())]
+        names = [x.lower() for x in _seq(node.nameParts())] if kind == "UnresolvedFunction" else [x.lower() for x in _seq(node.name())] if kind == "UnresolvedTableValuedFunction" else []
+        if names and names[-1] in _RUNS_CODE:
+            raise ValueError(f"{names[-1]} runs code")
+        if kind == "UnresolvedRelation" and any("/" in x or ":" in x for x in _seq(node.multipartIdentifier())):
+            raise ValueError("a query reads tables, not paths")
+        left += _seq(node.children())
+        if hasattr(node, "expressions") and _is_plan(spark, node):
+            left += [*_seq(node.expressions()), *(x for x in _seq(node.innerChildren()) if _is_node(spark, x))]
+            if kind == "UnresolvedWith":
+                left += [pair._2() for pair in _seq(node.cteRelations())]
+        elif _is_subquery(spark, node):
+            left.append(node.plan())
     return text
 
 
+def _seq(found) -> list:
+    return [found.apply(k) for k in range(found.size())]
+
+
+def _is(spark: SparkSession, node, name: str) -> bool:
+    from py4j.java_gateway import is_instance_of
+
+    return is_instance_of(spark.sparkContext._gateway, node, f"org.apache.spark.sql.catalyst.{name}")
+
+
+def _is_node(spark, node) -> bool:
+    return _is(spark, node, "trees.TreeNode")
+
+
+def _is_plan(spark, node) -> bool:
+    return _is(spark, node, "plans.logical.LogicalPlan")
+
+
+def _is_subquery(spark, node) -> bool:
+    return _is(spark, node, "expressions.SubqueryExpression")
+
+
 def read_only(spark: SparkSession, sql: str, max_rows: int | None = DEFAULT_ROWS, args: dict | None = None) -> DataFrame:
     """Rows of one guarded statement; named parameters instead of spliced literals."""
     df = spark.sql(check_read_only(spark, sql), args=args or {})
