@@ -361,13 +361,32 @@ def test_surrogates_stay_distinct_when_they_collide(spark, monkeypatch):
     assert len({r["surrogate"] for r in rows}) == 21 and not {r["surrogate"] for r in rows} & {r["norm"] for r in rows}
 
 
-def test_more_titled_names_than_three_syllables_make(spark):
-    names = ["mr " + "".join(chr(97 + k // 26**p % 26) for p in range(4)) for k in range(5200)] + [f"mr анто{a}{b}" for a in "абвгд" for b in "абвгд"]
-    entities = spark.createDataFrame([("NAME", n) for n in names], "kind string, norm string")
+def test_more_names_than_three_syllables_or_the_lists_make(spark):
+    names = ["".join(chr(97 + k // 26**p % 26) for p in range(4)) for k in range(5200)] + [f"анто{a}{b}" for a in "абвгд" for b in "абвгд"] + ["γιάννης", "արամ"]
+    entities = spark.createDataFrame([(kind, n) for n in names for kind in ("FAMILY", "FIRST_female")], "kind string, norm string")
     rows = surrogates.assign_surrogates(entities).collect()
-    made = {r["surrogate"] for r in rows}
-    assert len(rows) == len(made) == len(names) and not made & set(names)
-    assert all(re.fullmatch("mr [a-z]{9,}|mr [а-я]{8,}", m) for m in made)
+    made = {r["surrogate"] for r in rows if r["kind"] == "FAMILY"}
+    assert len(made) == len(names) and not made & set(names)
+    script = {"a": "[a-z]{9,}", "а": "[а-я]{8,}", "γ": "[α-ω]{9,}", "ա": "[ա-և]{9,}"}
+    assert all(re.fullmatch(next(v for k, v in list(script.items())[::-1] if r["norm"][0] >= k or k == "a"), r["surrogate"]) for r in rows if r["kind"] == "FAMILY" and r["norm"][0] in "abcγա")
+    first = {r["surrogate"] for r in rows if r["kind"] == "FIRST_female"}
+    listed = {n.lower() for (g, _), ns in surrogates.FIRST_NAMES.items() if g == "female" for n in ns}
+    assert len(first) == len(names) and all(set(f.split("-")) <= listed for f in first)
+
+
+def test_mentions_of_one_person_share_their_names(spark):
+    key = "sk-" + "aB3" * 9
+    texts = ["Mrs Ann Smith met Mr Bo Smith.", "Mrs Smith and Alice Smith wrote MRS SMITH", "Mr Jones; Alice Jones", f"{key} and {key.swapcase()[3:]} and eyJhbGciOiJI.eyJzdWIiOjE.c2lnbmF0dXJl", "ab" * 100, "clean Words only"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in surrogates.pseudonymize(docs).collect()}
+    ann, family, bo = re.fullmatch(r"Mrs (\S+) (\S+) met Mr (\S+) \2\.", got[0]).groups()
+    alice = re.fullmatch(rf"Mrs {family} and (\S+) {family} wrote MRS {family.upper()}", got[1])[1]
+    other = re.fullmatch(rf"Mr (\S+); {alice} \1", got[2])[1]
+    assert len({ann.lower(), alice.lower(), bo.lower()}) == 3 and other != family and not {family, other} & {"Smith", "Jones"}
+    token, _, jwt = got[3].split(" and ")
+    assert re.fullmatch(r"sk-([a-z][A-Z][0-9]){9}", token) and token != key and re.fullmatch(r"eyJ[\w-]{9}\.[\w-]{11}\.[\w-]{12}", jwt) and jwt not in texts[3]
+    assert re.fullmatch("[0-9a-f]{200}", got[4]) and got[4] != texts[4] and got[5] == texts[5]
+    assert got == {r["doc_id"]: r["text"] for r in surrogates.pseudonymize(docs.repartition(3)).collect()}
 
 
 # ---------------------------------------------------------------- 7 mixing
