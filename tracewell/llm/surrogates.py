@@ -46,7 +46,7 @@ _KEY_HEADS = "sk-|pk_|sk_|rk_|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|AKIA
 #: Type -> pattern, in the order in which they are tried at a place. Repetitions are bounded, so long texts stay linear.
 PATTERNS = {
     "EMAIL": r"(?<![A-Za-z0-9._+-])[A-Za-z0-9._+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
-    "SECRET": r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])",
+    "SECRET": r"(?<![0-9A-Za-z])(?=[A-Fa-f]{0,31}[0-9])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])",
     "TOKEN": rf"(?<![0-9A-Za-z])(?:(?:{_KEY_HEADS})[0-9A-Za-z_-]{{12,}}+|eyJ[0-9A-Za-z_-]{{8,}}+\.[0-9A-Za-z_-]{{8,}}+\.[0-9A-Za-z_-]{{8,}}+)",
     "PHONE": r"\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,4}){2,5}(?!\d)",
     "IP": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)",
