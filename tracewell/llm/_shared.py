@@ -86,10 +86,17 @@ def discard(*staged: DataFrame) -> None:
         _remove(df.sparkSession, df._staged_at)
 
 
-def tidied(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, after which a worker that is used again gives its free memory back to the system."""
+#: What workers remember between tasks of one operator: name -> function that forgets it.
+HELD: dict[str, Callable[[], None]] = {}
+
+
+def tidied(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], holds: str | None = None) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, before which a worker forgets what other operators (but `holds`) remember, and after which it gives free memory back."""
 
     def with_release(batches):
+        for name, forget in HELD.items():
+            if name != holds:
+                forget()
         try:
             yield from run(batches)
         finally:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm._shared import discard, fresh_dir, make_dirs, open_filesystem, small_batches, stage, tidied
+from tracewell.llm._shared import HELD, discard, fresh_dir, make_dirs, open_filesystem, small_batches, stage, tidied
 from tracewell.llm.words import BYTE_CODES, mix64, slice_bounds, text_bytes
 
 MAGIC = b"TWRANS1\n"
@@ -189,7 +189,7 @@ class TextEncoder:
             yield a, b, self._chunked(part) if apart else pa.array([x + self.end for x in self._whole(part.to_pylist())], pa.binary())
 
     def release(self) -> None:
-        """Forgets all chunks, so that an idle worker holds little; a task's vocabulary is mostly its own."""
+        """Forgets all chunks."""
         if self.table is not None:
             self.table = ChunkTable(self.kind, 1 << 10)
 
@@ -232,6 +232,14 @@ def text_encoder(path: str) -> TextEncoder:
     return _tokenizers[path]
 
 
+def _forget_chunks() -> None:
+    for encoder in _tokenizers.values():
+        encoder.release()
+
+
+HELD["chunks"] = _forget_chunks
+
+
 def tokenize(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     """doc_id, text -> doc_id, ids (binary, end id appended), n_tokens; whole texts, null as empty."""
     where = tokenizer_path
@@ -239,15 +247,12 @@ def tokenize(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = text_encoder(where or default_tokenizer_path())
-        try:
-            for batch in batches:
-                for a, b, ids in encoder.encode(batch.column("text").fill_null("")):
-                    lengths = pc.binary_length(ids).cast(pa.int64())
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), ids, pc.divide(lengths, encoder.kind.itemsize)], ["doc_id", "ids", "n_tokens"])
-        finally:
-            encoder.release()
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, ids binary, n_tokens long")
+        for batch in batches:
+            for a, b, ids in encoder.encode(batch.column("text").fill_null("")):
+                lengths = pc.binary_length(ids).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), ids, pc.divide(lengths, encoder.kind.itemsize)], ["doc_id", "ids", "n_tokens"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run, "chunks"), "doc_id long, ids binary, n_tokens long")
 
 
 # ---------------------------------------------------------------- frequency table and coder
