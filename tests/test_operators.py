@@ -197,7 +197,7 @@ def test_streamed_counts_equal_batch(spark, tmp_path):
 def test_every_event_is_edited(spark, tmp_path):
     rows = [(k, "view", f'{{"k": {k % 7}}}') for k in (0, 499, 500, 501, 123_456)]
     spark.createDataFrame(rows, "event_id long, event_type string, props string").write.parquet(f"{tmp_path}/events.parquet")
-    found = catalogue.queries()["json_edit_whole"](spark, str(tmp_path)).select("event_id", "tag", "k", "n_left")
+    found = catalogue.queries()["json_edit"](spark, str(tmp_path)).select("event_id", "tag", "k", "n_left")
     assert values(found) == sorted(((k, "view", str(k % 7), 1) for k, _, _ in rows), key=repr)
 
 
@@ -229,9 +229,9 @@ def test_lookups_take_every_member_and_export(spark, tmp_path):
     write("orders", [(1, 0), (2, 19), (3, 35)], "o_orderkey long, o_custkey long")
     write("part", [(1000, 0)], "p_partkey long, p_size int")
     write("lineitem", [(7, 13), (7, 25)], "l_suppkey long, l_partkey long")
-    callees = catalogue.queries()["callee_resolution_whole"](spark, str(tmp_path)).select("caller", "status", "path")
+    callees = catalogue.queries()["callee_resolution"](spark, str(tmp_path)).select("caller", "status", "path")
     assert values(callees) == [(1, "ambiguous", None), (2, "resolved", "/src/38"), (3, "unresolved", None)]
-    bound = catalogue.queries()["binding_summary_whole"](spark, str(tmp_path)).select("program", "n_imports", "n_bound", "unresolved")
+    bound = catalogue.queries()["binding_summary"](spark, str(tmp_path)).select("program", "n_imports", "n_bound", "unresolved")
     assert values(bound) == [(7, 2, 1, "P25")]
 
 

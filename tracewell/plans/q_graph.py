@@ -81,12 +81,6 @@ def typed_paths(spark, d):
 
 
 def callee_resolution(spark, d):
-    calls = table(spark, d, "orders").select(F.col("o_orderkey").alias("caller"), F.concat(F.lit("prog"), F.col("o_custkey") % 40).alias("callee"))
-    members = table(spark, d, "customer").filter("c_custkey <= 45").select(F.concat(F.lit("PROG"), F.col("c_custkey") % 30).alias("name"), F.concat(F.lit("/src/"), F.col("c_custkey") % 30 * 2 + F.col("c_nationkey") % 2).alias("path"))
-    return graph.resolve_callees(calls, members)
-
-
-def callee_resolution_whole(spark, d):
     """Members from every customer: names of ten remainders have two paths, those of the other twenty one, and ten callees none."""
     k = F.col("c_custkey") % 30
     calls = table(spark, d, "orders").select(F.col("o_orderkey").alias("caller"), F.concat(F.lit("prog"), F.col("o_custkey") % 40).alias("callee"))
@@ -151,7 +145,7 @@ def group_fingerprint(spark, d):
     return delta.fingerprint(table(spark, d, "nation").withColumn("n_nationkey", F.col("n_nationkey").cast("string")), ["n_nationkey", "n_name"], "n_regionkey")
 
 
-QUERIES = {f.__name__: f for f in (relation_summary, impact_nation, call_impact_cyclic, call_closure, bounded_closure, khop_supplier, khop_edges, degree_view, typed_paths, callee_resolution, callee_resolution_whole, lineage_trace, graph_text, snapshot_diff, rollback_sql, inventory_diff, invalidation, set_difference, line_diff, group_fingerprint)}
+QUERIES = {f.__name__: f for f in (relation_summary, impact_nation, call_impact_cyclic, call_closure, bounded_closure, khop_supplier, khop_edges, degree_view, typed_paths, callee_resolution, lineage_trace, graph_text, snapshot_diff, rollback_sql, inventory_diff, invalidation, set_difference, line_diff, group_fingerprint)}
 
 _BOTH = "both_ AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges)"
 _LEVELS = "WITH RECURSIVE {with_}, r(node, depth) AS ({seed} UNION SELECT e.{b}, r.depth + 1 FROM r JOIN {edges} e ON e.{a} = r.node WHERE r.depth < {most}) SELECT node, min(depth)::BIGINT AS {name} FROM r GROUP BY node"
@@ -172,10 +166,7 @@ SELECT node, coalesce(incoming, 0) AS incoming, coalesce(outgoing, 0) AS outgoin
     "typed_paths": f"""WITH {_EDGES}, k AS (SELECT * FROM edges WHERE type IN ('IN_REGION', 'SUPPLIER_OF'))
 SELECT 'REGION:1' AS node, 'REGION:1' AS path UNION ALL SELECT src, 'REGION:1>IN_REGION>' || src FROM k WHERE dst = 'REGION:1'
 UNION ALL SELECT s.src, min('REGION:1>IN_REGION>' || n.src || '>SUPPLIER_OF>' || s.src) FROM k n JOIN k s ON s.dst = n.src AND s.type = 'SUPPLIER_OF' WHERE n.dst = 'REGION:1' GROUP BY s.src""",
-    "callee_resolution": """WITH m AS (SELECT 'PROG' || (c_custkey % 30) AS name, count(DISTINCT '/src/' || (c_custkey % 30 * 2 + c_nationkey % 2)) AS n, min('/src/' || (c_custkey % 30 * 2 + c_nationkey % 2)) AS path FROM customer WHERE c_custkey <= 45 GROUP BY 1)
-SELECT o_orderkey AS caller, 'prog' || (o_custkey % 40) AS callee, CASE WHEN n IS NULL THEN 'unresolved' WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 THEN path END AS path
-FROM orders LEFT JOIN m ON m.name = upper('prog' || (o_custkey % 40))""",
-    "callee_resolution_whole": """WITH p AS (SELECT c_custkey % 30 AS k, c_custkey % 30 * 2 + CASE WHEN c_custkey % 30 < 10 THEN c_nationkey % 2 ELSE 0 END AS place FROM customer),
+    "callee_resolution": """WITH p AS (SELECT c_custkey % 30 AS k, c_custkey % 30 * 2 + CASE WHEN c_custkey % 30 < 10 THEN c_nationkey % 2 ELSE 0 END AS place FROM customer),
 m AS (SELECT 'PROG' || k AS name, count(DISTINCT place) AS n, '/src/' || min(place) AS path FROM p GROUP BY 1)
 SELECT o_orderkey AS caller, 'prog' || (o_custkey % 40) AS callee, CASE WHEN n IS NULL THEN 'unresolved' WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 THEN path END AS path
 FROM orders LEFT JOIN m ON m.name = upper('prog' || (o_custkey % 40))""",
