@@ -208,8 +208,9 @@ def test_text_scalars_see_whole_texts(spark, tmp_path):
 
     def rolling(text):
         h = 0
-        for c in text:
-            h = (h * 31 + ord(c)) % (1 << 32)
+        units = text.encode("utf-16-be")
+        for k in range(0, len(units), 2):
+            h = (h * 31 + units[k] * 256 + units[k + 1]) % (1 << 32)
         return format(abs(h - (1 << 32) if h >= 1 << 31 else h), "x")
 
     def saved(text):

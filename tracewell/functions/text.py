@@ -52,10 +52,10 @@ def truncated(text: Column, width: int) -> Column:
 
 
 def rolling_hash(text: Column) -> Column:
-    """Hex of the absolute 32-bit h = 31 * h + code over code points."""
+    """Hex of the absolute 32-bit h = 31 * h + unit over UTF-16 units."""
     two32, two31 = F.lit(1 << 32), F.lit(1 << 31)
-    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
-    folded = F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: F.pmod(h * 31 + c, two32))
+    units = F.transform(F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("...."), F.lit(0)), lambda u: F.conv(u, 16, 10).cast("long"))
+    folded = F.aggregate(units, F.lit(0).cast("long"), lambda h, c: F.pmod(h * 31 + c, two32))
     return F.lower(F.hex(F.abs(F.when(folded >= two31, folded - two32).otherwise(folded))))
 
 
@@ -86,7 +86,7 @@ PRIVACY_HINTS = {
     "SQL_OBJECT_NAME": r"[A-Z0-9_]\.[A-Z]", "SOURCE_FRAGMENT": r"(?i)\*\*free|dcl-|exfmt|chain|readc|sfl|pgm|monmsg|exec|select",
 }
 #: Word boundary over ASCII letters, digits and underscores, whatever the regex engine's own one takes in.
-_EDGE = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+ASCII_EDGE = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 SAMPLE = 80
 
 
@@ -106,7 +106,7 @@ def path_family(path: Column) -> Column:
 def privacy_codes(value: Column) -> Column:
     """Codes of the signals that a value shows, in the order above; a dotted catalogue key of four known heads is no host."""
     known_key = F.lower(F.trim(value)).rlike(r"^(ui|program|data|workflow)\.[a-z0-9-]+$")
-    tests = [F.when(value.rlike(PRIVACY_HINTS[code]) & value.rlike(p.replace(r"\b", _EDGE)) & (~known_key if code == "URL_OR_HOST" else F.lit(True)), code) for code, p in PRIVACY_SIGNALS.items()]
+    tests = [F.when(value.rlike(PRIVACY_HINTS[code]) & value.rlike(p.replace(r"\b", ASCII_EDGE)) & (~known_key if code == "URL_OR_HOST" else F.lit(True)), code) for code, p in PRIVACY_SIGNALS.items()]
     trimmed = F.trim(value)
     tests.append(F.when((F.length(trimmed) >= LONG_LABEL) & trimmed.rlike(r"\s"), "LONG_BUSINESS_LABEL"))
     return F.array_compact(F.array(*tests))
@@ -126,7 +126,7 @@ def cosine(a: Column, b: Column) -> Column:
 def byte_embedding(text: Column, dims: int = 8) -> Column:
     """Sums of UTF-8 bytes by place modulo dims, scaled to length 1 (12 places); zeros for an empty text."""
     hexed = F.hex(F.encode(text, "UTF-8"))
-    values = F.transform(F.sequence(F.lit(0), F.expr('0') + (F.length(hexed) / 2).cast('int') - 1), lambda i: F.conv(F.substring(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("long"))
+    values = F.transform(F.regexp_extract_all(hexed, F.lit(".."), F.lit(0)), lambda b: F.conv(b, 16, 10).cast("long"))
     slot = lambda k: F.filter(values, lambda v, i: i % dims == k)
     sums = F.array(*(F.aggregate(slot(k), F.lit(0).cast("long"), lambda s, v: s + v) for k in range(dims)))
     norm = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda s, v: s + v.cast("double") * v))

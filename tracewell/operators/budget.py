@@ -22,23 +22,24 @@ def budget_slices(spark, total: int, weights: Mapping[str, float] = SLICE_WEIGHT
     return exact.withColumn("tokens", (F.col("base") + (place <= rest).cast("long")).cast("long")).select("name", "tokens")
 
 
-def greedy_pack(items: DataFrame, bucket: str, order: list[Column], budget: int) -> DataFrame:
+def greedy_pack(items: DataFrame, bucket: str, order: list[Column], budget: int | str) -> DataFrame:
     """items(bucket, id, cost) -> the packed ones: in order, an item that fits is taken, one that overflows is skipped, later ones may still fit.
 
     Of items of one cost c only the first budget / c of a bucket can ever be taken, so a bucket is cut to about
     budget * ln(budget) candidates, whatever its size, before they are gathered for the fold. Items without cost are all
-    taken; null and negative costs count as 0."""
+    taken; null and negative costs count as 0. A budget given by name is a column with one value a bucket."""
+    most = F.col(budget) if isinstance(budget, str) else F.lit(budget)
     costed = items.withColumn("cost", F.greatest(F.coalesce(F.col("cost").cast("long"), F.lit(0).cast("long")), F.lit(0).cast("long")))
     free = costed.filter("cost = 0").select(bucket, "id", "cost")
     place = F.row_number().over(Window.partitionBy(bucket, "cost").orderBy(*order))
-    able = costed.filter((F.col("cost") > 0) & (F.col("cost") <= budget)).withColumn("place_", place).filter(F.col("place_") * F.col("cost") <= budget)
+    able = costed.filter((F.col("cost") > 0) & (F.col("cost") <= most)).withColumn("place_", place).filter(F.col("place_") * F.col("cost") <= most)
     entry = F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)), F.col("id"), F.col("cost"))
-    listed = able.groupBy(bucket).agg(F.array_sort(F.collect_list(entry)).alias("listed"))
+    listed = able.groupBy(bucket).agg(F.array_sort(F.collect_list(entry)).alias("listed"), F.max(most).alias("most_"))
     kind = items.schema["id"].dataType.simpleString()
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<struct<id:{kind},cost:bigint>>").alias("out"))
 
     def take(acc: Column, x: Column) -> Column:
-        fits = acc["used"] + x["cost"] <= budget
+        fits = acc["used"] + x["cost"] <= F.col("most_")
         row = F.array(F.struct(x["id"].alias("id"), x["cost"].alias("cost")))
         return F.when(fits, F.struct((acc["used"] + x["cost"]).alias("used"), F.concat(acc["out"], row).alias("out"))).otherwise(acc)
 
@@ -46,6 +47,12 @@ def greedy_pack(items: DataFrame, bucket: str, order: list[Column], budget: int)
     return packed.select(bucket, "x.id", "x.cost").unionByName(free)
 
 
+def pack_with_omissions(items: DataFrame, bucket: str, order: list[Column], budget: int | str) -> DataFrame:
+    """items with `omitted`: false for the packed ones, true for those that the token budget leaves out. (bucket, id) is a key."""
+    packed = greedy_pack(items, bucket, order, budget).select(bucket, "id", F.lit(False).alias("omitted"))
+    return items.join(packed, [bucket, "id"], "left").withColumn("omitted", F.coalesce("omitted", F.lit(True)))
+
+
 def best_per_key(df: DataFrame, key: str, *order: Column) -> DataFrame:
     """The first row of each key in ascending order of the given columns; pre-aggregated, so a hot key is no hot task."""
     rest = [c for c in df.columns if c != key]

@@ -5,54 +5,85 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.functions.text import content_hash
-
-from tracewell.functions.text import estimate_tokens
-from tracewell.operators import budget, graph, search
+from tracewell.functions.candidates import workflow_score
+from tracewell.functions.text import content_hash, estimate_tokens
+from tracewell.operators import budget, graph
 
 BODY_CHARS = 1500
-# Scores of graph seeds and neighbours.
-SEED_SCORE, NEIGHBOUR_SCORE = 1000.0, 100.0
-
-
-def context_package(docs: DataFrame, edges: DataFrame, query: str, total: int = 4000, hops: int = 1, limit: int = 20) -> DataFrame:
-    """docs(doc_id, title, body, tokens, title_tokens; see search_documents) and edges(src, dst, type) over the same ids ->
-    bucket, item, score, cost, selected.
-
-    Source items are the hits' bodies (cut at BODY_CHARS), graph items the nodes within the hops; each bucket gets its share
-    of the budget and packs greedily by score, then id. What does not fit is listed as not selected."""
-    shares = budget.budget_slices(docs.sparkSession, total)
-    hits = search.lexical_search(docs, query, limit)
-    source = hits.join(docs.select("doc_id", "body"), "doc_id").select(
-        F.lit("source").alias("bucket"), F.col("doc_id").alias("id"), "score", estimate_tokens(F.substring("body", 1, BODY_CHARS)).alias("cost")
-    )
-    nodes, _ = graph.neighbourhood(edges, hits.select(F.col("doc_id").alias("node")), hops)
-    near = nodes.select(
-        F.lit("graph").alias("bucket"), F.col("node").alias("id"), F.when(F.col("depth") == 0, SEED_SCORE).otherwise(NEIGHBOUR_SCORE).alias("score"), estimate_tokens(F.col("node").cast("string")).alias("cost")
-    )
-    items = source.unionByName(near)
-    out = None
-    for name in ("source", "graph"):
-        share = shares.filter(F.col("name") == name).first()["tokens"]
-        mine = items.filter(F.col("bucket") == name)
-        taken = budget.greedy_pack(mine, "bucket", [-F.col("score"), F.col("id")], share).select("id", F.lit(True).alias("selected"))
-        part = mine.join(taken, "id", "left").select("bucket", "id", "score", "cost", F.coalesce("selected", F.lit(False)).alias("selected"))
-        out = part if out is None else out.unionByName(part)
-    return out
+# Scores of the summary, of graph seeds and neighbours, and of evidence that the graph leads to.
+SUMMARY_SCORE, SEED_SCORE, NEIGHBOUR_SCORE, EVIDENCE_SCORE = 1e9, 1000.0, 100.0, 50.0
+_ITEM = ("bucket", "id", "kind", "title", "body", "text", "score", "reason")
+
+
+def seed_ids(hits: DataFrame) -> DataFrame:
+    """hits(id, ...) -> node: ids of the symbols that the hits stand for (doc:symbol:X is X, sym:... itself; others lead nowhere)."""
+    own = F.when(F.col("id").startswith("doc:symbol:"), F.expr("substring(id, 12)")).when(F.col("id").startswith("sym:"), F.col("id"))
+    return hits.select(own.alias("node")).filter("node is not null").distinct()
+
+
+def _item(bucket: str, id_, kind, title, text, score, body=None, reason=None):
+    null = F.lit(None).cast("string")
+    return [F.lit(bucket).alias("bucket"), id_.alias("id"), kind.alias("kind"), title.alias("title"), (null if body is None else body).alias("body"), text.alias("text"), score.cast("double").alias("score"), (null if reason is None else reason).alias("reason")]
+
+
+def context_package(
+    hits: DataFrame, symbols: DataFrame, relationships: DataFrame, evidence: DataFrame, contents: DataFrame, query: str,
+    total: int = 4000, hops: int = 1, project: str = "project", snapshot: str = "current", diagnostics: DataFrame | None = None,
+) -> DataFrame:
+    """Five buckets (summary, graph, source, diagnostics, unresolved), each packed greedily by score, then id, under its share of the budget.
+
+    hits(id, kind, title, score, path, hash), symbols(id, name, kind, unit), relationships(src, dst, type), evidence(id, unit, path,
+    hash), contents(path, content), diagnostics(id, title, text, score) -> bucket, id, kind, score, cost, status.
+
+    Seeds and their neighbours within the hops are graph items, unresolved symbols among them also unresolved items. Source items are
+    the hits and the evidence of the neighbourhood's units, one an id (the best score); a hash that the content does not have is
+    STALE, a content that is not there MISSING, and neither is packed. The cost is that of the item as JSON, verified bodies (cut
+    at BODY_CHARS) included. status: SELECTED, TOKEN_BUDGET, STALE or MISSING."""
+    c, seeds = F.col, seed_ids(hits)
+    nodes, _ = graph.neighbourhood(relationships, seeds, hops)
+    near = nodes.join(symbols.select(c("id").alias("node"), c("name").alias("s_name"), c("kind").alias("s_kind"), "unit"), "node", "left")
+    named = F.when(c("s_name").isNotNull(), F.concat("s_kind", F.lit(" "), "s_name", F.lit(" ("), "node", F.lit(")"))).otherwise(F.concat(F.lit("symbol "), "node"))
+    worth = F.when(c("depth") == 0, SEED_SCORE).otherwise(NEIGHBOUR_SCORE)
+    title = F.coalesce("s_name", "node")
+    graph_items = near.select(*_item("graph", c("node"), F.lit("symbol"), title, named, worth))
+    unresolved = near.filter("s_kind = 'UNRESOLVED_SYMBOL'").select(*_item("unresolved", c("node"), F.lit("unresolved"), title, named, worth))
+
+    n_seeds, n_nodes = seeds.agg(F.count(F.lit(1)).alias("n_seeds")), nodes.agg(F.count(F.lit(1)).alias("n_nodes"))
+    told = F.concat(F.lit(f"Project {project} snapshot {snapshot}. Query: {query}. Seeds: "), "n_seeds", F.lit(". Neighborhood: "), "n_nodes", F.lit("."))
+    summary = n_seeds.crossJoin(n_nodes).select(*_item("summary", F.lit(f"summary:{project}:{snapshot}"), F.lit("summary"), F.lit("project-snapshot"), told, F.lit(SUMMARY_SCORE)))  # one row each
+
+    linked = near.filter("unit is not null").select("unit").join(evidence.select(c("id").alias("e_id"), "unit", "path", "hash"), "unit")
+    found = linked.select(F.concat(F.lit("doc:evidence:"), "e_id").alias("id"), F.lit("evidence").alias("kind"), F.coalesce("path", "e_id").alias("title"), F.lit(EVIDENCE_SCORE).alias("score"), "path", "hash")
+    asked = hits.select("id", F.coalesce("kind", F.lit("source-unit")).alias("kind"), F.coalesce("title", "id").alias("title"), F.coalesce(c("score"), F.lit(0.0)).alias("score"), "path", "hash")
+    best = budget.best_per_key(asked.unionByName(found), "id", -c("score"), c("kind"), c("title"), c("path"), c("hash"))
+    claims = best.filter("hash is not null").select("id", "path", "hash")
+    checked = verified_sources(contents, claims).select("id", c("status").alias("reason"), "body")
+    sources = best.join(checked, "id", "left").select(*_item("source", c("id"), c("kind"), c("title"), F.coalesce("body", "title"), c("score"), c("body"), F.when(c("reason") != "OK", c("reason"))))
+
+    items = summary.unionByName(graph_items).unionByName(sources).unionByName(unresolved)
+    if diagnostics is not None:
+        items = items.unionByName(diagnostics.select(*_item("diagnostics", c("id"), F.lit("diagnostic"), c("title"), c("text"), c("score"))))
+    shares = budget.budget_slices(items.sparkSession, total).select(c("name").alias("bucket"), "tokens")  # five rows
+    payload = F.to_json(F.struct("id", "kind", "title", "body", "text"))
+    costed = items.withColumn("cost", estimate_tokens(payload)).join(F.broadcast(shares), "bucket")
+    packed = budget.pack_with_omissions(costed.filter("reason is null"), "bucket", [-c("score"), c("id")], "tokens")
+    left_out = costed.filter("reason is not null").withColumn("omitted", F.lit(True))
+    status = F.coalesce("reason", F.when(c("omitted"), "TOKEN_BUDGET"), F.lit("SELECTED"))
+    return packed.unionByName(left_out).select("bucket", "id", "kind", "score", "cost", status.alias("status"))
 
 
 def verified_sources(units: DataFrame, claims: DataFrame) -> DataFrame:
-    """claims(path, hash) against units(path, content): path, status (OK, MISSING, STALE), body cut at BODY_CHARS where OK."""
+    """claims(path, hash, ...) against units(path, content): path, the claims' other columns, status (OK, MISSING, STALE), body cut at BODY_CHARS where OK."""
     have = units.select("path", content_hash(F.col("content")).alias("now"), "content")
     both = claims.join(have, "path", "left")
     status = F.when(F.col("now").isNull(), "MISSING").when(F.col("now") != F.col("hash"), "STALE").otherwise("OK")
-    return both.select("path", status.alias("status"), F.when(status == "OK", F.substring("content", 1, BODY_CHARS)).alias("body"))
+    kept = [c for c in claims.columns if c not in ("path", "hash")]
+    return both.select("path", *kept, status.alias("status"), F.when(status == "OK", F.substring("content", 1, BODY_CHARS)).alias("body"))
 
 
-def workflow_selection(items: DataFrame, multipliers: dict[str, float], total: int, cap: int) -> DataFrame:
-    """items(id, category, score, cost): scores weighed by category, the best of every category first, at most cap a category, packed
+def workflow_selection(items: DataFrame, workflow: str, total: int, cap: int) -> DataFrame:
+    """items(id, category, score, cost): scores weighed for the workflow, the best of every category first, at most cap a category, packed
     under max(120, total - 220) tokens."""
-    weight = F.create_map(*(F.lit(x) for kv in multipliers.items() for x in kv))
-    weighed = items.withColumn("weighed", F.round(F.col("score") * F.coalesce(F.element_at(weight, F.col("category")), F.lit(1.0)), 6))
+    weighed = items.withColumn("weighed", workflow_score(F.col("category"), F.col("score"), workflow))
     ranked = budget.category_first(weighed, "category", "weighed", "id", cap)
     return budget.greedy_pack(ranked.withColumn("all_", F.lit(1)).select("all_", "id", "cost", "rank"), "all_", [F.col("rank")], max(120, total - 220)).select("id", "cost")

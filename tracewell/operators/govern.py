@@ -7,6 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.functions import nested
+from tracewell.functions.text import privacy_codes
+
 
 def masked(df: DataFrame, masks: Mapping[str, str]) -> DataFrame:
     """Values of the named columns replaced where not null; other columns stay. Column names match whatever their case."""
@@ -96,3 +99,34 @@ def first_column(df: DataFrame, candidates: Sequence[str]) -> str | None:
 def sampled(df: DataFrame, keys: Sequence[str], limit: int = 50, masks: Mapping[str, str] | None = None) -> DataFrame:
     """The first rows by key, masked: the row sample of an export."""
     return masked(df.orderBy(*keys).limit(limit), masks or {})
+
+
+#: What is refused before its values are looked at, by the kind of envelope.
+REFUSED = {"raw-evidence": "RAW_EVIDENCE_NOT_ALLOWED", "sanitized": "SANITIZED_NOT_FINAL"}
+
+
+def privacy_gate(candidates: DataFrame) -> DataFrame:
+    """candidates(id, envelope, document as JSON) -> id, passed, reasons (array<struct<code, path>>, sorted).
+
+    Raw and sanitized envelopes are refused as such, a document that is no JSON object is MALFORMED_FINAL_CATALOG, and every privacy
+    signal of a top-level value (nested ones as their JSON text) is a reason with the value's path. A null document is malformed."""
+    fields = nested.flattened(F.col("document"))
+    signals = F.flatten(F.transform(fields, lambda e: F.transform(privacy_codes(F.coalesce(e["value"], F.lit(""))), lambda code: F.struct(code.alias("code"), e["path"].alias("path")))))
+    one = lambda code: F.array(F.struct(F.lit(code).alias("code"), F.lit("$").alias("path")))
+    whole = F.coalesce(F.trim("document").startswith("{") & fields.isNotNull(), F.lit(False))
+    reasons = F.when(F.lit(False), one(""))
+    for envelope, code in REFUSED.items():
+        reasons = reasons.when(F.col("envelope") == envelope, one(code))
+    found = F.array_sort(reasons.when(~whole, one("MALFORMED_FINAL_CATALOG")).otherwise(signals))
+    return candidates.select("id", found.alias("reasons")).select("id", (F.size("reasons") == 0).alias("passed"), "reasons")
+
+
+def safe_fields(fields: Column) -> Column:
+    """map<string, string> without values that look like absolute paths (a slash, a drive, two backslashes) and without nulls."""
+    return F.map_filter(fields, lambda _, v: v.isNotNull() & ~v.rlike(r"^(?:/|[A-Za-z]:[\\/]|\\\\)"))
+
+
+def merged_focus(events: DataFrame, key: str, order: str, lists: Sequence[str]) -> DataFrame:
+    """The focus of each session: the union of the names that its events list, column by column, sorted; and its last activity."""
+    sets = [F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in lists]
+    return events.groupBy(key).agg(F.max(order).alias("last_active"), *sets).orderBy(F.desc("last_active"), key)

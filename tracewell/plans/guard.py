@@ -6,9 +6,11 @@ import base64
 import json
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULT_ROWS, MAX_ROWS = 50, 200
+DEFAULT_LIMIT, MAX_LIMIT = 20, 200
 IDENTIFIER = re.compile(r"[A-Z][A-Z0-9_#$@]*\Z")
 #: Logical plans that only read; commands are refused by what they parse to, without running them.
 _WRITES = ("Insert", "Delete", "Update", "Merge", "Create", "Drop", "Alter", "Truncate", "Replace", "Command", "SetNamespace", "Load", "Repair", "Cache", "Uncache", "Refresh", "AddPartitions", "Rename")
@@ -156,3 +158,21 @@ def page(df: DataFrame, order: list[str], tool: str, token: str | None = None, l
     """One page by a total order, and the token of the next."""
     offset = page_offset(token, tool) if token else 0
     return df.orderBy(*order).offset(offset).limit(limit), page_token(tool, offset + limit)
+
+
+def counted_page(df: DataFrame, order: list[Column | str], limit: int | None = None, offset: int | None = None) -> DataFrame:
+    """One page by a total order, with total (rows of df) and omitted (whether rows follow it). Bad limits and offsets fail."""
+    size, start = DEFAULT_LIMIT if limit is None else limit, 0 if offset is None else offset
+    if not isinstance(size, int) or not 1 <= size <= MAX_LIMIT or not isinstance(start, int) or start < 0:
+        raise ValueError(f"limit must be 1 to {MAX_LIMIT}, offset not negative")
+    total = df.agg(F.count(F.lit(1)).alias("total"))
+    return df.orderBy(*order).offset(start).limit(size).crossJoin(total).withColumn("omitted", F.col("total") > start + size)  # one row
+
+
+def key_select(schema: str, table: str, keys: dict[str, object], columns: list[str] | None = None) -> str:
+    """A SELECT of rows by key equality; identifiers are checked, values quoted unless they are numbers."""
+    if not keys:
+        raise ValueError("a key is needed")
+    shown = ", ".join(map(identifier, columns)) if columns else "*"
+    tests = [f"{identifier(c)} = {v}" if isinstance(v, (int, float)) and not isinstance(v, bool) else f"{identifier(c)} = {quoted(str(v))}" for c, v in keys.items()]
+    return f"SELECT {shown} FROM {identifier(schema)}.{identifier(table)} WHERE {' AND '.join(tests)}"

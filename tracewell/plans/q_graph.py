@@ -187,4 +187,6 @@ SELECT *, 'removed' AS side FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION
     "line_diff": """WITH l AS (SELECT doc_id, generate_subscripts(x, 1) AS line, unnest(x) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
 a AS (SELECT doc_id // 2 AS pair, line, text AS before FROM l WHERE doc_id % 2 = 0), b AS (SELECT (doc_id - 1) // 2 AS pair, line, text AS after FROM l WHERE doc_id % 2 = 1)
 SELECT pair, CASE WHEN before IS NULL THEN '+' WHEN after IS NULL THEN '-' WHEN before = after THEN ' ' ELSE '~' END AS marker, count(*) AS n_lines FROM a FULL JOIN b USING (pair, line) GROUP BY 1, 2""",
+    "group_fingerprint": "WITH h AS (SELECT n_regionkey, sha256(concat_ws(chr(0), n_nationkey::VARCHAR, n_name)) AS h FROM nation), s AS (SELECT n_regionkey, count(*) AS n_rows, "
+    + ", ".join(f"sum(('0x' || substring(h, {1 + 12 * k}, 12))::BIGINT)::VARCHAR AS s{k}" for k in range(5)) + " FROM h GROUP BY 1) SELECT n_regionkey, n_rows, sha256(concat_ws('|', n_rows::VARCHAR, s0, s1, s2, s3, s4)) AS fingerprint FROM s",
 }

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewell.functions import source_lines as L
+from tracewell.functions import text as X
 from tracewell.operators import context, search
 from tracewell.sources import files
 from tracewell.streaming import incremental
-from tracewell.session import table
+from tracewell.plans import q_text
+from tracewell.session import cut, table
 
 #: A small program of each customer; the same text builds the corpus in both engines.
 _PROGRAM = """concat('**FREE', chr(10), 'ctl-opt nomain bnddir(''BND', CAST(c_nationkey AS VARCHAR(9)), ''');', chr(10), 'dcl-f FILE', CAST(c_custkey % 7 AS VARCHAR(9)), ' disk usage(*update) keyed;', chr(10),
@@ -53,9 +55,17 @@ def member_summary(spark, d):
 
 
 def context_package(spark, d):
-    docs = search.search_documents(table(spark, d, "documents"), "doc_id", "source", "text")
-    edges = table(spark, d, "documents").select(F.col("doc_id").alias("src"), (F.col("doc_id") + 1).alias("dst"), F.lit("NEXT").alias("type"))
-    return context.context_package(docs, edges, "the license of", 1200)
+    """Symbols, evidence and contents of every document; a quarter of the hashes is stale, a fifth of the contents is gone."""
+    docs, k = table(spark, d, "documents"), F.col("doc_id")
+    found = search.lexical_search(search.search_documents(docs, "doc_id", "source", "text"), "the license of")
+    # twenty rows at most; they are met several times
+    hits = cut(found.select(F.concat(F.lit("doc:symbol:"), "doc_id").alias("id"), F.lit("symbol").alias("kind"), F.concat(F.lit("Hit "), "doc_id").alias("title"), "score", F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("hash")))
+    symbols = docs.select(k.cast("string").alias("id"), F.concat(F.lit("P"), k).alias("name"), F.when(k % 3 == 0, "UNRESOLVED_SYMBOL").otherwise("PROGRAM").alias("kind"), k.cast("string").alias("unit"))
+    links = docs.select(k.cast("string").alias("src"), (k + 1).cast("string").alias("dst"), F.lit("NEXT").alias("type"))
+    path, hash_ = F.concat(F.lit("d/"), k), F.when(k % 4 == 0, F.lit("old")).otherwise(X.content_hash(F.col("text")))
+    evidence = docs.select(F.concat(F.lit("e"), k).alias("id"), k.cast("string").alias("unit"), path.alias("path"), hash_.alias("hash"))
+    contents = docs.filter("doc_id % 5 <> 2").select(path.alias("path"), F.col("text").alias("content"))
+    return context.context_package(hits, symbols, links, evidence, contents, "the license of", 3000)
 
 
 def event_windows(spark, d):
@@ -63,8 +73,9 @@ def event_windows(spark, d):
 
 
 def workflow_selection(spark, d):
-    items = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("category"), F.col("p_size").cast("double").alias("score"), (F.col("p_partkey") % 40 + 5).alias("cost"))
-    return context.workflow_selection(items, {"Brand#1": 1.5, "Brand#2": 0.5}, 600, 2)
+    category = F.element_at(F.array(*map(F.lit, ("sql", "calls", "fileUsage", "conditionals", "errorPaths", "other"))), (F.col("p_partkey") % 6 + 1).cast("int"))
+    items = table(spark, d, "part").select(F.col("p_partkey").alias("id"), category.alias("category"), F.col("p_size").cast("double").alias("score"), (F.col("p_partkey") % 40 + 5).alias("cost"))
+    return context.workflow_selection(items, "errorAnalysis", 600, 4)
 
 
 QUERIES = {f.__name__: f for f in (source_facts, native_file_usage, procedure_calls, embedded_sql, source_types, source_inventory, member_summary, context_package, event_windows, workflow_selection)}
@@ -82,4 +93,27 @@ SELECT fact, name, count(*) AS n, count(DISTINCT k) AS files, min(line)::BIGINT
     "source_inventory": "SELECT 'docs' AS root, 'd/' || doc_id || '.txt' AS path, sha256(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS hash, n_chars AS size, len(string_split(text, chr(10)))::BIGINT AS n_lines, CASE WHEN contains(text, chr(10)) THEN 'LF' ELSE 'NONE' END AS newlines, false AS has_bom, 'txt' AS language FROM documents",
     "member_summary": "SELECT sum(n)::BIGINT AS n_files, count(*) AS n_members, count(*) FILTER (n > 1) AS n_ambiguous FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey % 500)",
     "event_windows": "SELECT event_type, time_bucket(INTERVAL 5 MINUTE, ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
+    "context_package": f"""
+WITH RECURSIVE s AS ({q_text.ORACLES["lexical_search"].strip()}),
+n AS (SELECT node, min(depth) AS depth FROM (SELECT doc_id AS node, 0 AS depth FROM s UNION ALL SELECT doc_id + 1, 1 FROM s UNION ALL SELECT doc_id, 1 FROM documents WHERE doc_id + 1 IN (SELECT doc_id FROM s)) GROUP BY node),
+g AS (SELECT n.node, depth, d.doc_id IS NOT NULL AS known, text FROM n LEFT JOIN documents d ON d.doc_id = n.node),
+graph AS (SELECT 'graph' AS bucket, node::VARCHAR AS id, 'symbol' AS kind, CASE WHEN known THEN 'P' || node ELSE node::VARCHAR END AS title, NULL::VARCHAR AS body,
+  CASE WHEN NOT known THEN 'symbol ' || node WHEN node % 3 = 0 THEN 'UNRESOLVED_SYMBOL P' || node || ' (' || node || ')' ELSE 'PROGRAM P' || node || ' (' || node || ')' END AS text, CASE WHEN depth = 0 THEN 1000.0 ELSE 100.0 END::DOUBLE AS score, NULL::VARCHAR AS reason FROM g),
+i AS (
+  SELECT 'summary' AS bucket, 'summary:project:current' AS id, 'summary' AS kind, 'project-snapshot' AS title, NULL::VARCHAR AS body, 'Project project snapshot current. Query: the license of. Seeds: ' || (SELECT count(*) FROM s) || '. Neighborhood: ' || (SELECT count(*) FROM n) || '.' AS text, 1e9::DOUBLE AS score, NULL::VARCHAR AS reason
+  UNION ALL SELECT * FROM graph UNION ALL SELECT 'unresolved', id, 'unresolved', title, body, text, score, reason FROM graph WHERE starts_with(text, 'UNRESOLVED')
+  UNION ALL SELECT 'source', 'doc:symbol:' || doc_id, 'symbol', 'Hit ' || doc_id, NULL, 'Hit ' || doc_id, score, NULL FROM s
+  UNION ALL SELECT 'source', 'doc:evidence:e' || node, 'evidence', 'd/' || node, CASE WHEN node % 5 <> 2 AND node % 4 <> 0 THEN substring(text, 1, 1500) END, CASE WHEN node % 5 <> 2 AND node % 4 <> 0 THEN substring(text, 1, 1500) ELSE 'd/' || node END, 50, CASE WHEN node % 5 = 2 THEN 'MISSING' WHEN node % 4 = 0 THEN 'STALE' END FROM g WHERE known),
+c AS (SELECT *, ceil(length(CASE WHEN body IS NULL THEN to_json({{'id': id, 'kind': kind, 'title': title, 'text': text}}) ELSE to_json({{'id': id, 'kind': kind, 'title': title, 'body': body, 'text': text}}) END::VARCHAR) / 4.0)::BIGINT AS cost FROM i),
+o AS (SELECT *, map {{'summary': 300, 'graph': 750, 'source': 1350, 'unresolved': 300}}[bucket] AS most, row_number() OVER (PARTITION BY bucket ORDER BY score DESC, id) AS k FROM c WHERE reason IS NULL),
+f(bucket, k, used, fits) AS (SELECT bucket, k, CASE WHEN cost <= most THEN cost ELSE 0 END, cost <= most FROM o WHERE k = 1
+  UNION ALL SELECT o.bucket, o.k, f.used + CASE WHEN f.used + o.cost <= o.most THEN o.cost ELSE 0 END, f.used + o.cost <= o.most FROM f JOIN o ON o.bucket = f.bucket AND o.k = f.k + 1)
+SELECT c.bucket, c.id, c.kind, c.score, c.cost, CASE WHEN reason IS NOT NULL THEN reason WHEN f.fits THEN 'SELECTED' ELSE 'TOKEN_BUDGET' END AS status
+FROM c LEFT JOIN (SELECT o.bucket, o.id, f.fits FROM o JOIN f USING (bucket, k)) f ON f.bucket = c.bucket AND f.id = c.id""",
+    "workflow_selection": """
+WITH RECURSIVE w AS (SELECT p_partkey AS id, p_partkey % 6 AS m, floor(p_size * ([1.45, 1.35, 1.25, 1.05, 1.7, 1.0]::DOUBLE[])[p_partkey % 6 + 1] + 0.5)::BIGINT AS score, p_partkey % 40 + 5 AS cost FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY score DESC, id) AS place FROM w),
+o AS (SELECT id, cost, row_number() OVER (ORDER BY CASE WHEN place > 1 THEN 1 ELSE 0 END, score DESC, id) AS k FROM r WHERE place <= 4),
+f(k, used, fits) AS (SELECT k, cost, cost <= 380 FROM o WHERE k = 1 UNION ALL SELECT o.k, f.used + CASE WHEN f.used + o.cost <= 380 THEN o.cost ELSE 0 END, f.used + o.cost <= 380 FROM f JOIN o ON o.k = f.k + 1)
+SELECT id, cost FROM o JOIN f USING (k) WHERE fits""",
 }

@@ -158,4 +158,14 @@ SELECT source, id, cost FROM f WHERE selected""",
 WITH r AS (SELECT p_partkey, p_brand, p_retailprice, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS in_category FROM part)
 SELECT p_partkey, p_brand, in_category, row_number() OVER (ORDER BY CASE WHEN in_category > 1 THEN 1 ELSE 0 END, p_retailprice DESC, p_partkey) AS rank FROM r WHERE in_category <= 3""",
     "decay_scores": "SELECT n_name, greatest(1, 101 - row_number() OVER (ORDER BY n_name))::BIGINT AS score FROM nation",
+    "text_scalars": rf"""
+SELECT doc_id, coalesce(ceil(length(text) / 4.0), 0)::BIGINT AS tokens, CASE WHEN text IS NULL THEN NULL WHEN contains(text, chr(13)) THEN 'CR' WHEN contains(text, chr(10)) THEN 'LF' ELSE 'NONE' END AS newlines,
+  sha256(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS content_hash, len({_TOK.format("text")})::BIGINT AS n_terms, CASE WHEN length(text) > 40 THEN substring(text, 1, 39) || chr(8230) ELSE text END AS head,
+  CASE WHEN length(text) > 0 THEN floor((length(text) - length(trim(text, ' '))) * 100.0 / length(text) + 0.5) ELSE 0 END::BIGINT AS saved,
+  printf('%x', abs(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END)) AS rolling
+FROM (SELECT doc_id, text, list_reduce(flatten([[0::BIGINT], flatten(list_transform(regexp_extract_all(text, '(?s).'), lambda c: CASE WHEN unicode(c) < 65536 THEN [unicode(c)::BIGINT] ELSE [55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024] END))]), lambda h, u: (h * 31 + u) % 4294967296) AS h FROM documents)""",
+    "embed_bytes": """
+WITH b AS (SELECT r_regionkey, generate_subscripts(l, 1) - 1 AS i, unnest(l) AS v FROM (SELECT r_regionkey, list_transform(regexp_extract_all(r_name, '(?s).'), lambda c: ascii(c)) AS l FROM region)),
+s AS (SELECT r_regionkey, coalesce(sum(v) FILTER (i % 4 = 0), 0)::DOUBLE AS a, coalesce(sum(v) FILTER (i % 4 = 1), 0)::DOUBLE AS b, coalesce(sum(v) FILTER (i % 4 = 2), 0)::DOUBLE AS c, coalesce(sum(v) FILTER (i % 4 = 3), 0)::DOUBLE AS d FROM b GROUP BY 1)
+SELECT r_regionkey, round(a / sqrt(a*a + b*b + c*c + d*d), 9) AS v0, round(b / sqrt(a*a + b*b + c*c + d*d), 9) AS v1, round(c / sqrt(a*a + b*b + c*c + d*d), 9) AS v2, round(d / sqrt(a*a + b*b + c*c + d*d), 9) AS v3 FROM s""",
 }
