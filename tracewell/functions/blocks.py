@@ -71,7 +71,8 @@ def source_blocks(files: DataFrame) -> DataFrame:
     """files(path, content) -> path, kind, name, start, end, exported, external, imported, n_parameters.
 
     external is the name in EXTPROC or EXTPGM; a prototype is imported where it has one or its file declares no procedure of that
-    name. Parameters are counted from the first dcl-pi of a procedure on (dcl-parm lines, and names followed by a type). Comments
+    name. Parameters are counted from the first dcl-pi of a procedure on (dcl-parm lines, and names followed by a type, the name and
+    return type of the dcl-pi line itself included). Comments
     are skipped; null contents give no block."""
     raw = F.split("content", "\r?\n", -1)
     numbered = F.transform(raw, lambda t, i: F.struct((i + 1).cast("long").alias("line"), t.alias("raw")))

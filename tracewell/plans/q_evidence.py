@@ -249,7 +249,7 @@ o AS (SELECT 'PROGRAM:P' || src AS id, count(*) AS n FROM f WHERE dst IN (SELECT
 SELECT n.*, coalesce(o.n, 0) AS n_edges FROM n LEFT JOIN o USING (id)""",
     "source_blocks": """WITH s AS (SELECT 'P' || s_suppkey || '.rpgle' AS path, s_suppkey AS k, s_nationkey AS n, CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE 0 END AS b FROM supplier)
 SELECT path, 'PROTOTYPE' AS kind, 'POST' || k AS name, 2::BIGINT AS start, 2::BIGINT AS "end", false AS exported, 'POST' AS external, true AS imported, 0::BIGINT AS n_parameters FROM s
-UNION ALL SELECT path, 'PROTOTYPE', 'LOCAL', 3, 5, false, NULL, false, 0 FROM s UNION ALL SELECT path, 'PROCEDURE', 'LOCAL', 7, 13 + b, true, NULL, false, 2 + b FROM s
+UNION ALL SELECT path, 'PROTOTYPE', 'LOCAL', 3, 5, false, NULL, false, 0 FROM s UNION ALL SELECT path, 'PROCEDURE', 'LOCAL', 7, 13 + b, true, NULL, false, 3 + b FROM s
 UNION ALL SELECT path, 'SUBROUTINE', 'WORK', 14 + b, 16 + b, false, NULL, false, 0 FROM s UNION ALL SELECT path, 'PROCEDURE', 'OPEN' || n, 17 + b, 18 + b, false, NULL, false, 0 FROM s""",
     "privacy_gate": """SELECT event_id AS id, event_id % 11 > 4 AS passed, CASE event_id % 11 WHEN 0 THEN 'RAW_EVIDENCE_NOT_ALLOWED@$' WHEN 1 THEN 'SANITIZED_NOT_FINAL@$' WHEN 2 THEN 'MALFORMED_FINAL_CATALOG@$' WHEN 3 THEN 'EMAIL@$.a,URL_OR_HOST@$.a' WHEN 4 THEN 'MALFORMED_FINAL_CATALOG@$' ELSE '' END AS reasons FROM events""",
     "safe_fields": "SELECT s_suppkey, CASE WHEN s_suppkey % 6 = 4 THEN 'name,path' ELSE 'name' END AS kept FROM supplier",
