@@ -191,11 +191,13 @@ def test_many_and_rare_languages(spark, monkeypatch):
 # ---------------------------------------------------------------- 4 Jaccard join
 
 
+def brute_set(text):
+    w = BLANK.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
 def brute_components(rows):
-    sets = []
-    for doc_id, text in rows:
-        w = BLANK.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-        sets.append((doc_id, {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()))
+    sets = [(doc_id, brute_set(text)) for doc_id, text in rows]
     label = {d: d for d, _ in sets}
 
     def find(x):
@@ -231,6 +233,22 @@ def test_jaccard_components_agree_with_brute_force(spark, monkeypatch):
         assert got == wanted
 
 
+def test_jaccard_link_counts_agree_with_brute_force(spark, odd, empty):
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(50)]
+    near = [(k, " ".join(w if rng.random() > 0.03 * (k % 4) / 3 else f"n{k}" for w in base)) for k in range(2000, 2120)]
+    rows = [(r[0], r[1]) for r in corpus(200)] + near + [(3000 + k, near[0][1]) for k in range(7)] + [(4000, None), (4001, "a b"), (4002, "A b")]
+    sets = {d: brute_set(t) for d, t in rows}
+    wanted = {d: sum(1 for e, t in sets.items() if e != d and s and t and 100 * len(s & t) >= 75 * len(s | t)) for d, s in sets.items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for chunk, tree in ((2_000_000, 2048), (300, 8)):
+        assert {r["doc_id"]: r["n_links"] for r in jaccard_join.link_counts(docs, chunk, tree).collect()} == wanted
+    assert max(wanted.values()) > 20
+    assert jaccard_join.link_counts(odd).count() == len(ODD) and jaccard_join.link_counts(empty).count() == 0
+    nulls = jaccard_join.link_counts(spark.createDataFrame([(None, "a b"), (1, "a b"), (None, "c")], "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["n_links"]) for r in nulls), key=repr) == [(1, 0), (None, 0), (None, 1)]
+
+
 def test_jaccard_rows_of_one_id_are_one_document(spark):
     a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
     rows = [(3, a), (5, a), (5, b), (6, b), (5, None), (None, a), (None, c), (8, c), (9, c + " more")]

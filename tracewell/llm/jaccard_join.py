@@ -26,7 +26,7 @@ from tracewell.llm._shared import discard, small_batches, stage, tidied
 from tracewell.llm.graph_components import components
 from tracewell.llm.id_filter import id_filter
 from tracewell.llm.shingles import fingerprints, shingle_sets
-from tracewell.llm.signature_tree import PERCENT, SignatureTree, bitmap, least_overlap, may_reach, merging_pairs, tree_links
+from tracewell.llm.signature_tree import PERCENT, SignatureTree, bitmap, least_overlap, linked_weights, may_reach, merging_pairs, tree_links
 from tracewell.llm.words import mix64, slices
 
 #: Neighbours of a set among those of one token: so many places on in size order, and the first.
@@ -297,38 +297,59 @@ def chunked(members: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     return members.join(totals, F.col("part") == F.col("t_part")).select("rep", "one", "two", "n", "part", "sets", "chunks", own.alias("own"))
 
 
-def cluster_links(docs: DataFrame, dealt: DataFrame) -> DataFrame:
-    """dealt(rep, one, two, label, tree) -> links (a, b: least doc_ids of classes) that join labels within the trees, stored.
+def _cluster_trees(docs: DataFrame, dealt: DataFrame, columns: tuple[str, ...], walk, schema: str) -> DataFrame:
+    """dealt(rep, one, two, tree, columns) -> the rows (of longs) that walk(rep, one, two, columns, sets) gives for the members of each `tree`.
 
-    Each row's text is fetched once; the signature tree of a `tree` is built in one task over whole sets."""
+    Each row's text is fetched once a tree; whole sets of a tree are in one task."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
-        for columns, begin, end in _runs(batches, ("tree", "rep", "one", "two", "label", "text")):
-            rep, one, two, label = (np.asarray(c) for c in columns[1:5])
-            out: list[tuple[int, int]] = []
+        for held, begin, end in _runs(batches, ("tree", "rep", "one", "two", *columns, "text")):
+            fixed = [np.asarray(c) for c in held[1:-1]]
+            out: list[np.ndarray] = []
             for x, y in zip(begin.tolist(), end.tolist(), strict=True):
                 known: dict[tuple[int, int], tuple[int, np.ndarray]] = {}
                 # rows of one id may hold several texts, of which one is this class
-                for k, s in enumerate(shingle_sets(columns[5].slice(x, y - x)), x):
-                    if (mark := fingerprints(s)) == (int(one[k]), int(two[k])):
+                for k, s in enumerate(shingle_sets(held[-1].slice(x, y - x)), x):
+                    if (mark := fingerprints(s)) == (int(fixed[1][k]), int(fixed[2][k])):
                         known.setdefault(mark, (k, s))
                 if len(known) > 1:
                     at = np.asarray([k for k, _ in known.values()])
-                    sets = [s for _, s in known.values()]
-                    links = tree_links(np.asarray(list(map(len, sets)), np.int64), label[at], sets, STRIDES)
-                    out += [(rep[at[i]], rep[at[j]]) for i, j in links]
-            if out:
-                a, b = np.asarray(out, np.int64).T
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                    out.append(walk(*(c[at] for c in fixed), [s for _, s in known.values()]))
+            if any(map(len, out)):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out).T], names)
 
     narrow = _narrow(docs).filter("doc_id is not null")
     texts = narrow.filter(id_filter(dealt.select(F.col("rep").alias("id")))("doc_id"))
-    full = texts.join(dealt, F.col("doc_id") == F.col("rep")).select("tree", "rep", "one", "two", "label", "text")
-    return stage(full.repartition("tree").sortWithinPartitions("tree").mapInArrow(tidied(run), "a long, b long").distinct(), "cluster-links")
+    full = texts.join(dealt, F.col("doc_id") == F.col("rep")).select("tree", "rep", "one", "two", *columns, "text")
+    return full.repartition("tree").sortWithinPartitions("tree").mapInArrow(tidied(run), schema)
 
 
-def similarity_links(docs: DataFrame, rows: DataFrame, members: DataFrame, chunk_tokens: int = CHUNK_TOKENS, tree_sets: int = TREE_SETS) -> DataFrame:
-    """Links (a, b: least doc_ids of classes) that join components as all links would. rows: describe(docs); members: its classes."""
+def cluster_links(docs: DataFrame, dealt: DataFrame) -> DataFrame:
+    """dealt(rep, one, two, label, tree) -> links (a, b: least doc_ids of classes) that join labels within the trees, stored."""
+
+    def walk(rep, one, two, label, sets):
+        links = tree_links(np.asarray(list(map(len, sets)), np.int64), label, sets, STRIDES)
+        return rep[np.asarray(links, np.int64).reshape(-1, 2)]
+
+    return stage(_cluster_trees(docs, dealt, ("label",), walk, "a long, b long").distinct(), "cluster-links")
+
+
+def cluster_weights(docs: DataFrame, dealt: DataFrame) -> DataFrame:
+    """dealt(rep, one, two, label, weight, tree) -> one, two, linked: the weight of all that a set links with in a tree, across its two labels
+    or, where the label is -1, among all members; stored."""
+
+    def walk(rep, one, two, label, weight, sets):
+        parts = np.arange(len(sets)) if label[0] == -1 else label
+        total = linked_weights(np.asarray(list(map(len, sets)), np.int64), parts, sets, weight)
+        some = total > 0
+        return np.stack((one[some], two[some], total[some]), axis=1)
+
+    return stage(_cluster_trees(docs, dealt, ("label", "weight"), walk, "one long, two long, linked long"), "cluster-weights")
+
+
+def dealt_clusters(docs: DataFrame, rows: DataFrame, members: DataFrame, chunk_tokens: int = CHUNK_TOKENS, tree_sets: int = TREE_SETS) -> DataFrame:
+    """members in clusters that no link leaves, cut into chunks (see chunked), stored. rows: describe(docs)."""
     classes = members.select("key", "n", "bits")
     found = neighbours(postings(docs, *frequent_tokens(docs)))
     near = hopeful_pairs(found.filter("token is null").select("a", "b").distinct(), classes)
@@ -339,7 +360,12 @@ def similarity_links(docs: DataFrame, rows: DataFrame, members: DataFrame, chunk
         clusters = stage(components(clusters.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "clusters")
     discard(found, near, more)
     placed = members.join(clusters, F.col("key") == F.col("node")).select("rep", "one", "two", "n", F.col("component").alias("part"))
-    dealt = stage(chunked(placed, chunk_tokens), "chunks")
+    return stage(chunked(placed, chunk_tokens), "chunks")
+
+
+def similarity_links(docs: DataFrame, rows: DataFrame, members: DataFrame, chunk_tokens: int = CHUNK_TOKENS, tree_sets: int = TREE_SETS) -> DataFrame:
+    """Links (a, b: least doc_ids of classes) that join components as all links would. rows: describe(docs); members: its classes."""
+    dealt = dealt_clusters(docs, rows, members, chunk_tokens, tree_sets)
     # sets of a large cluster that every chunk holds, so that chunks of one component are joined by them
     anchor = F.pmod(F.xxhash64("two", "one"), F.lit(1_000_000)) < F.lit(1_000_000 * ANCHORS) / F.col("sets")
     chunk = F.when(anchor, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("own"))
@@ -357,6 +383,12 @@ def similarity_links(docs: DataFrame, rows: DataFrame, members: DataFrame, chunk
     return links.unionByName(cluster_links(docs, stage(rest.select("rep", "one", "two", "label", tree.alias("tree")), "rest")))
 
 
+def set_classes(rows: DataFrame) -> DataFrame:
+    """one, two, n, rep (least doc_id), copies (rows with an id), bits, key of the sets that are not empty, stored. rows: describe(docs)."""
+    found = rows.filter("n > 0").groupBy("one", "two", "n").agg(F.min("doc_id").alias("rep"), F.count("doc_id").alias("copies"), F.first("bits").alias("bits"))
+    return stage(found.withColumn("key", _short(F.col("one"))), "classes")
+
+
 def similarity_components(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, tree_sets: int = TREE_SETS) -> DataFrame:
     """documents(doc_id, text) -> doc_id, n_shingles, component_id for every row.
 
@@ -364,10 +396,7 @@ def similarity_components(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, tre
     nothing else. Rows that repeat an id are one document: what any of its texts links with is in its component. Copies
     share one class, so groups of any size cost one row in every join but the last."""
     rows = describe(docs)
-    classes = stage(
-        rows.filter("n > 0").groupBy("one", "two", "n").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits")).withColumn("key", _short(F.col("one"))), "classes"
-    )
-    members = classes.filter("rep is not null")
+    members = set_classes(rows).filter("rep is not null")
     links = similarity_links(docs, rows, members, chunk_tokens, tree_sets)
     mark = F.struct("one", "two", "n")
     several = rows.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).filter("lo <> hi").select("doc_id")
@@ -379,6 +408,25 @@ def similarity_components(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, tre
     return placed.join(joined, F.col("home") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "home").alias("component_id"))
 
 
+def link_counts(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, tree_sets: int = TREE_SETS) -> DataFrame:
+    """documents(doc_id, text) -> doc_id, n_links for every row: how many other rows with an id link with it, equal texts too.
+
+    Exact: the signature tree of each chunk, and of each two chunks of one cluster, is traversed without leaving out known components.
+    A cluster of m sets takes up to m * m / 2 comparisons, and its texts go to as many trees as it has chunks; only sums leave a tree. Empty
+    sets have no link. A row with a null id is nobody's partner and, where it equals no row with an id, has none itself (0)."""
+    rows = describe(docs)
+    members = set_classes(rows).filter("rep is not null")
+    dealt = dealt_clusters(docs, rows, members, chunk_tokens, tree_sets)
+    ways = F.sequence(F.lit(0), F.col("chunks") - 1)
+    pairs = dealt.join(members.select("one", "two", "n", "copies"), ["one", "two", "n"]).select("rep", "one", "two", "copies", "part", "own", F.explode(ways).alias("other"))
+    tree = F.xxhash64("part", F.least("own", "other"), F.greatest("own", "other"))
+    trees = stage(pairs.select("rep", "one", "two", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).cast("long").alias("label"), F.col("copies").alias("weight"), tree.alias("tree")), "link-trees")
+    far = cluster_weights(docs, trees).groupBy("one", "two").agg(F.sum("linked").alias("linked"))
+    counted = members.join(far, ["one", "two"], "left").select("one", "two", "n", (F.col("copies") + F.coalesce("linked", F.lit(0))).alias("reach"))
+    own = F.when(F.col("reach").isNull(), 0).otherwise(F.col("reach") - F.col("doc_id").isNotNull().cast("long"))
+    return rows.select("doc_id", "one", "two", "n").join(counted, ["one", "two", "n"], "left").select("doc_id", own.cast("long").alias("n_links"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -180,6 +180,21 @@ def tree_links(sizes: np.ndarray, parts: np.ndarray, sets: list[np.ndarray], str
     return out
 
 
+def linked_weights(sizes: np.ndarray, parts: np.ndarray, sets: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
+    """For each member the weights of all members of other parts that it links with, added up."""
+    rows = shared_bitmaps(sets)
+    total = np.zeros(len(sets), np.int64)
+    bitmaps = list(rows) if rows is not None else [bitmap(s) for s in sets]
+    for i, j in SignatureTree(sizes, sizes * 0, parts, bitmaps, exact=rows is not None).pairs():
+        if rows is None:
+            both = np.asarray([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist(), strict=True)])
+            ok = both >= least_overlap(sizes[i], sizes[j])
+            i, j = i[ok], j[ok]
+        np.add.at(total, i, weights[j])
+        np.add.at(total, j, weights[i])
+    return total
+
+
 def may_reach(a: bytes, b: bytes, size_a: int, size_b: int) -> bool:
     """The bound of a leaf for one pair."""
     x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
