@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracewell.functions.candidates import workflow_score
 from tracewell.functions.text import content_hash, estimate_tokens
 from tracewell.operators import budget, graph
+from tracewell.session import cut
 
 BODY_CHARS = 1500
 # Scores of the summary, of graph seeds and neighbours, and of evidence that the graph leads to.
@@ -41,7 +42,7 @@ def context_package(
     at BODY_CHARS) included. status: SELECTED, TOKEN_BUDGET, STALE or MISSING."""
     c, seeds = F.col, seed_ids(hits)
     nodes, _ = graph.neighbourhood(relationships, seeds, hops)
-    near = nodes.join(symbols.select(c("id").alias("node"), c("name").alias("s_name"), c("kind").alias("s_kind"), "unit"), "node", "left")
+    near = cut(nodes.join(symbols.select(c("id").alias("node"), c("name").alias("s_name"), c("kind").alias("s_kind"), "unit"), "node", "left"))  # met three times
     named = F.when(c("s_name").isNotNull(), F.concat("s_kind", F.lit(" "), "s_name", F.lit(" ("), "node", F.lit(")"))).otherwise(F.concat(F.lit("symbol "), "node"))
     worth = F.when(c("depth") == 0, SEED_SCORE).otherwise(NEIGHBOUR_SCORE)
     title = F.coalesce("s_name", "node")
@@ -74,8 +75,8 @@ def context_package(
 
 def verified_sources(units: DataFrame, claims: DataFrame) -> DataFrame:
     """claims(path, hash, ...) against units(path, content): path, the claims' other columns, status (OK, MISSING, STALE), body cut at BODY_CHARS where OK."""
-    have = units.select("path", content_hash(F.col("content")).alias("now"), "content")
-    both = claims.join(have, "path", "left")
+    # joined first, so that only claimed contents are hashed
+    both = claims.join(units.select("path", "content"), "path", "left").withColumn("now", content_hash(F.col("content")))
     status = F.when(F.col("now").isNull(), "MISSING").when(F.col("now") != F.col("hash"), "STALE").otherwise("OK")
     kept = [c for c in claims.columns if c not in ("path", "hash")]
     return both.select("path", *kept, status.alias("status"), F.when(status == "OK", F.substring("content", 1, BODY_CHARS)).alias("body"))
