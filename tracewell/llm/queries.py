@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewell.llm import decontamination, jaccard_join, language_id, mixing, pieces, preference, quality_classifier, quality_rules, surrogates, token_files, warc
+from tracewell.llm import collocations, decontamination, jaccard_join, language_id, mixing, pieces, preference, quality_classifier, quality_rules, surrogates, token_files, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_quality_classifier": quality_classifier.query,
         "op9_decontamination": decontamination.query,
         "op10_quality_rules": quality_rules.query,
+        "op11_collocations": collocations.query,
         "op13_sentencepiece": pieces.query,
     }
 
@@ -28,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_jaccard_join": jaccard_join.ORACLE,
         "op7_source_mixing": mixing.ORACLE,
         "op9_decontamination": decontamination.ORACLE,
+        "op11_collocations": collocations.ORACLE,
     }
