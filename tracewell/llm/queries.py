@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewell.llm import collocations, decontamination, jaccard_join, language_id, mixing, pieces, preference, quality_classifier, quality_rules, surrogates, token_files, warc
+from tracewell.llm import collocations, decontamination, jaccard_join, language_id, mixing, pieces, preference, quality_classifier, quality_rules, source_audit, surrogates, token_files, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_decontamination": decontamination.query,
         "op10_quality_rules": quality_rules.query,
         "op11_collocations": collocations.query,
+        "op12_source_audit": source_audit.query,
         "op13_sentencepiece": pieces.query,
     }
 
@@ -30,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_source_mixing": mixing.ORACLE,
         "op9_decontamination": decontamination.ORACLE,
         "op11_collocations": collocations.ORACLE,
+        "op12_source_audit": source_audit.ORACLE,
     }
