@@ -51,8 +51,8 @@ _CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 2
 _CLASS[[*range(0x21, 0x27), *range(0x28, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = 3
 #: Texts of about so many bytes are encoded together; a longer one goes to the library whole.
 _SLICE_BYTES, _LONG_BYTES = 1_000_000, 4_000_000
-#: Slots of the table of remembered chunks.
-_SLOTS = 1 << 21
+#: Slots of the table of remembered chunks; chunks of more bytes than _HELD_BYTES are encoded each time.
+_SLOTS, _HELD_BYTES = 1 << 21, 128
 _tokenizers: dict[str, TextEncoder] = {}
 
 
@@ -86,17 +86,21 @@ def chunk_starts(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 class ChunkTable:
-    """Open-addressed table from 64-bit hashes of chunks to their ids, all in arrays, which costs about 40 bytes a chunk. Chunks are
-    told apart by these hashes alone."""
+    """Open-addressed table from chunks to their ids, all in arrays, which costs about 50 bytes a chunk.
 
-    BASE = 0x9E3779B97F4A7C15
+    Chunks are told apart by two independent 64-bit hashes, polynomials of different bases over different codes of bytes. Patterns of letters that
+    bring two polynomials of one base together need hundreds of letters, so longer chunks than _HELD_BYTES are never looked up."""
+
+    BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+    CODES = (BYTE_CODES, mix64(BYTE_CODES ^ np.uint64(0x5851F42D4C957F2D)))
 
     def __init__(self, kind: np.dtype, slots: int):
         self.kind, self.slots = kind, slots
         self.clear()
 
     def clear(self) -> None:
-        self.powers = self.inverse = np.ones(1, np.uint64)
+        self.powers = [np.ones(1, np.uint64)] * 4
+        self.checks = np.zeros(self.slots, np.uint64)
         self.keys, self.entry = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int32)
         self.start, self.length, self.entries = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), 0
         self.flat, self.used = np.zeros(1 << 18, self.kind), 0
@@ -104,51 +108,62 @@ class ChunkTable:
     def full(self) -> bool:
         return self.entries > self.slots // 2 or self.used > 8 * self.slots
 
-    def hashes(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        if len(self.powers) <= len(data):
-            base, back = np.full(len(data) + 1, self.BASE, np.uint64), np.full(len(data) + 1, pow(self.BASE, -1, 1 << 64), np.uint64)
-            base[0] = back[0] = 1
-            self.powers, self.inverse = np.cumprod(base, dtype=np.uint64), np.cumprod(back, dtype=np.uint64)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTE_CODES[data] * self.powers[: len(data)], out=total[1:])
-        key = mix64((total[end] - total[begin]) * self.inverse[begin] + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        return np.where(key == 0, np.uint64(1), key)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Entry of each key, -1 where there is none."""
+    def hashes(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.powers[0]) <= len(data):
+            self.powers = []
+            for base in self.BASES:
+                for factor in (base, pow(base, -1, 1 << 64)):
+                    grown = np.full(len(data) + 1, factor, np.uint64)
+                    grown[0] = 1
+                    self.powers.append(np.cumprod(grown, dtype=np.uint64))
+        out = []
+        for codes, powers, inverse in zip(self.CODES, self.powers[::2], self.powers[1::2], strict=True):
+            total = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(codes[data] * powers[: len(data)], out=total[1:])
+            out.append(mix64((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+        return np.where(out[0] == 0, np.uint64(1), out[0]), out[1]
+
+    def find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """Entry of each chunk, -1 where there is none."""
         out = np.full(len(keys), -1, np.int64)
         left = np.arange(len(keys))
         slot = (keys & np.uint64(self.slots - 1)).astype(np.int64)
         while len(left):
             there = self.keys[slot]
-            hit = there == keys[left]
+            hit = (there == keys[left]) & (self.checks[slot] == checks[left])
             out[left[hit]] = self.entry[slot[hit]]
             on = ~hit & (there != 0)
             left, slot = left[on], (slot[on] + 1) % self.slots
         return out
 
-    def add(self, keys: np.ndarray, ids: list[bytes]) -> None:
-        """Distinct new keys with their ids."""
+    def append(self, ids: list[bytes]) -> np.ndarray:
+        """New entries that are not looked up."""
         raw = np.frombuffer(b"".join(ids), self.kind)
         lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
-        more = self.entries + len(keys)
+        more = self.entries + len(ids)
         while more > len(self.start):
             self.start, self.length = np.concatenate((self.start, self.start)), np.concatenate((self.length, self.length))
         while self.used + len(raw) > len(self.flat):
             self.flat = np.concatenate((self.flat, self.flat))
         self.flat[self.used : self.used + len(raw)] = raw
         self.start[self.entries : more], self.length[self.entries : more] = self.used + np.cumsum(lengths) - lengths, lengths
+        new = np.arange(self.entries, more)
+        self.entries, self.used = more, self.used + len(raw)
+        return new
+
+    def add(self, keys: np.ndarray, checks: np.ndarray, ids: list[bytes]) -> None:
+        """Distinct new chunks with their ids."""
+        new = self.append(ids)
         left, slot = np.arange(len(keys)), (keys & np.uint64(self.slots - 1)).astype(np.int64)
         while len(left):
             free = np.flatnonzero(self.keys[slot] == 0)
             _, first = np.unique(slot[free], return_index=True)
             take = free[first]
-            self.keys[slot[take]], self.entry[slot[take]] = keys[left[take]], self.entries + left[take]
+            self.keys[slot[take]], self.checks[slot[take]], self.entry[slot[take]] = keys[left[take]], checks[left[take]], new[left[take]]
             on = np.ones(len(left), bool)
             on[take] = False
             left, slot = left[on], slot[on]
             slot = np.where(self.keys[slot] != 0, (slot + 1) % self.slots, slot)
-        self.entries, self.used = more, self.used + len(raw)
 
 
 class TextEncoder:
@@ -200,20 +215,24 @@ class TextEncoder:
         table = self.table
         if table.full() or not table.entries:
             table.clear()
-            table.add(np.asarray([2], np.uint64), [self.end])  # entry 0
+            table.append([self.end])  # entry 0
         some = rows[:-1][np.diff(rows) > 0]
         begin = chunk_starts(data, some) if len(data) else np.empty(0, np.int64)
         end = np.append(begin[1:], len(data)) if len(begin) else begin
-        keys = table.hashes(data, begin, end)
-        entry = table.find(keys)
+        keys, checks = table.hashes(data, begin, end)
+        entry = table.find(keys, checks)
+        long = np.flatnonzero(end - begin > _HELD_BYTES)
+        entry[long] = -1
         missing = np.flatnonzero(entry < 0)
         if len(missing):
-            new, first = np.unique(keys[missing], return_index=True)
             raw = data.tobytes()
-            at = missing[first]
-            words = [raw[x:y].decode() for x, y in zip(begin[at].tolist(), end[at].tolist(), strict=True)]
-            table.add(new, [x for k in range(0, len(words), 4000) for x in self._whole(words[k : k + 4000])])
-            entry[missing] = table.find(keys[missing])
+            encode = lambda at: [x for k in range(0, len(at), 4000) for x in self._whole([raw[begin[j] : end[j]].decode() for j in at[k : k + 4000].tolist()])]
+            missing = np.setdiff1d(missing, long, assume_unique=True)
+            order = missing[np.lexsort((checks[missing], keys[missing]))]
+            at = order[np.concatenate(([True], (keys[order[1:]] != keys[order[:-1]]) | (checks[order[1:]] != checks[order[:-1]])))] if len(order) else order
+            table.add(keys[at], checks[at], encode(at))
+            entry[missing] = table.find(keys[missing], checks[missing])
+            entry[long] = table.append(encode(long))
         entry = np.insert(entry, np.searchsorted(begin, rows[1:], "left"), 0)
         lengths = table.length[entry].astype(np.int64)
         stops = np.cumsum(lengths)

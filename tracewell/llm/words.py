@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-#: A word's hash is a polynomial over mixed bytes; words are compared by these 64 bits.
+#: A word's hash sums its mixed bytes, each times a pseudo-random odd number of its place, and mixes the sum. Words are compared by these 64 bits: no
+#: pattern of letters makes two words collide (powers of one base would have such patterns, of 1024 letters and more), chance does once in 2**64 pairs.
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 #: Bytes hashed at a time, which bounds the memory of the temporaries.
@@ -21,6 +22,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def place_factors(n: int) -> np.ndarray:
+    """A pseudo-random odd number of each place."""
+    return mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
+
+
 BYTE_CODES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 
 
@@ -91,13 +97,11 @@ class WordSplitter:
         if lower:
             codes[0x41:0x5B] = codes[0x61:0x7B]
         self.codes = codes
-        self.powers = np.ones(1, np.uint64)
+        self.powers = place_factors(64)
 
-    def _power(self, n: int) -> np.ndarray:
+    def _factors(self, n: int) -> np.ndarray:
         if len(self.powers) < n:
-            grown = np.full(max(n, 64), _BASE, np.uint64)
-            grown[0] = 1
-            self.powers = np.cumprod(grown, dtype=np.uint64)
+            self.powers = place_factors(max(n, 64))
         return self.powers
 
     def _hash(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +120,7 @@ class WordSplitter:
         lengths = end - begin
         starts = np.cumsum(lengths) - lengths
         place = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(starts, lengths)
-        values = self.codes[data[np.repeat(begin, lengths) + place]] * self._power(int(lengths.max()))[place]
+        values = self.codes[data[np.repeat(begin, lengths) + place]] * self._factors(int(lengths.max()))[place]
         return mix64(np.add.reduceat(values, starts) + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
