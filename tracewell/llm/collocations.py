@@ -256,13 +256,13 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST) -> DataFra
         state, (stored, found, answers) = count_pairs(state, answers, length < WORDS, least)
         levels.append(found)
         kept += [state, stored]
-    ranked = stage(_ranked(words, levels, totals, top), "collocations")
-    discard(*kept)
+    phrases = _looked_up(words, *levels)
+    ranked = stage(_ranked(*phrases, totals, top), "collocations")
+    discard(*kept, *phrases)
     return ranked
 
 
-def _ranked(words: DataFrame, levels: list[DataFrame], totals: DataFrame, top: int) -> DataFrame:
-    two, three, four = _looked_up(words, *levels)
+def _ranked(two: DataFrame, three: DataFrame, four: DataFrame, totals: DataFrame, top: int) -> DataFrame:
     inner = lambda df, *ids: df.select(F.explode(F.array(*map(F.col, ids))).alias("id"), F.col("a").alias("longer")).groupBy("id").agg(F.max("longer").alias("longer"))
     longer2 = inner(three, "left_id", "right_id").unionByName(inner(four, "first2", "middle2", "last2")).groupBy("id").agg(F.max("longer").alias("longer"))
     longer3 = inner(four, "left_id", "right_id")
@@ -281,7 +281,7 @@ def _ranked(words: DataFrame, levels: list[DataFrame], totals: DataFrame, top: i
 
 
 def _looked_up(words: DataFrame, pairs: DataFrame, triples: DataFrame, fours: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Frequent phrases with their text and the counts of their parts, found by the parts' numbers."""
+    """Frequent phrases with their text and the counts of their parts, found by the parts' numbers; stored, for several steps read each."""
 
     def parts(df: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
         sides = [side.select(*(F.col(c).alias(f"{mark}_{c}") for c in side.columns)) for mark, side in (("x", left), ("y", right))]
@@ -289,12 +289,12 @@ def _looked_up(words: DataFrame, pairs: DataFrame, triples: DataFrame, fours: Da
 
     text = lambda y: F.concat_ws(" ", "x_phrase", y).alias("phrase")
     single = words.select("id", "lang", F.col("word").alias("phrase"), F.col("f").alias("a"))
-    two = parts(pairs, single, single).select("id", "left_id", "right_id", F.col("x_lang").alias("lang"), text("y_phrase"), F.col("f").alias("a"), F.col("y_phrase").alias("tail"), F.col("x_a").alias("f_first"), F.col("y_a").alias("f_last"))
+    two = stage(parts(pairs, single, single).select("id", "left_id", "right_id", F.col("x_lang").alias("lang"), text("y_phrase"), F.col("f").alias("a"), F.col("y_phrase").alias("tail"), F.col("x_a").alias("f_first"), F.col("y_a").alias("f_last")), "pairs")
     ends = [F.col("id"), F.col("left_id"), F.col("right_id"), F.col("x_lang").alias("lang"), text("y_tail"), F.col("f").alias("a"), F.col("y_tail").alias("tail"), F.col("x_f_first").alias("f_first"), F.col("y_f_last").alias("f_last"), F.col("x_a").alias("a_left"), F.col("y_a").alias("a_right")]
-    three = parts(triples, two, two).select(*ends)
-    four = parts(fours, three, three).select(
+    three = stage(parts(triples, two, two).select(*ends), "triples")
+    four = stage(parts(fours, three, three).select(
         *ends, F.col("x_a_left").alias("a_first2"), F.col("y_a_right").alias("a_last2"), F.col("x_left_id").alias("first2"), F.col("x_right_id").alias("middle2"), F.col("y_right_id").alias("last2")
-    )
+    ), "fours")
     return two, three, four
 
 
