@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import nested
-from tracewell.functions.text import privacy_codes
+from tracewell.operators import documents
 
 
 def masked(df: DataFrame, masks: Mapping[str, str]) -> DataFrame:
@@ -108,17 +108,19 @@ REFUSED = {"raw-evidence": "RAW_EVIDENCE_NOT_ALLOWED", "sanitized": "SANITIZED_N
 def privacy_gate(candidates: DataFrame) -> DataFrame:
     """candidates(id, envelope, document as JSON) -> id, passed, reasons (array<struct<code, path>>, sorted).
 
-    Raw and sanitized envelopes are refused as such, a document that is no JSON object is MALFORMED_FINAL_CATALOG, and every privacy
-    signal of a top-level value (nested ones as their JSON text) is a reason with the value's path. A null document is malformed."""
-    fields = nested.flattened(F.col("document"))
-    signals = F.flatten(F.transform(fields, lambda e: F.transform(privacy_codes(F.coalesce(e["value"], F.lit(""))), lambda code: F.struct(code.alias("code"), e["path"].alias("path")))))
+    Raw and sanitized envelopes are refused as such, a document that is no JSON object is MALFORMED_FINAL_CATALOG, and every privacy signal of a string at
+    any depth is a reason with its path. A null document is malformed; candidates of one id share their reasons."""
     one = lambda code: F.array(F.struct(F.lit(code).alias("code"), F.lit("$").alias("path")))
-    whole = F.coalesce(F.trim("document").startswith("{") & fields.isNotNull(), F.lit(False))
-    reasons = F.when(F.lit(False), one(""))
+    whole = nested.members(nested.parsed(F.col("document"))).isNotNull()
+    refused = F.when(F.lit(False), one(""))
     for envelope, code in REFUSED.items():
-        reasons = reasons.when(F.col("envelope") == envelope, one(code))
-    found = F.array_sort(reasons.when(~whole, one("MALFORMED_FINAL_CATALOG")).otherwise(signals))
-    return candidates.select("id", found.alias("reasons")).select("id", (F.size("reasons") == 0).alias("passed"), "reasons")
+        refused = refused.when(F.col("envelope") == envelope, one(code))
+    judged = candidates.select("id", "document", refused.when(~whole, one("MALFORMED_FINAL_CATALOG")).alias("refused"))
+    # the reasons of one document are bounded by its strings
+    found = documents.privacy_signals(judged.filter("refused is null").select("id", "document")).groupBy("id").agg(F.collect_set(F.struct("code", "path")).alias("found"))
+    none = F.array().cast("array<struct<code:string,path:string>>")
+    reasons = F.array_sort(F.coalesce("refused", "found", none))
+    return judged.join(found, "id", "left").select("id", reasons.alias("reasons")).select("id", (F.size("reasons") == 0).alias("passed"), "reasons")
 
 
 def safe_fields(fields: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.text import content_hash
 from tracewell.operators.delta import inventory_diff
+from tracewell.operators.documents import equality_view
 
 #: Parts a root from a path where units are analysed; neither holds it.
 _PART = "\x00"
@@ -68,6 +69,10 @@ class SnapshotStore:
         fresh = self._analysed(units.join(new, ["root", "path"], "left_semi"), analyse)
         return self._publish(units, kept.unionByName(fresh), base + 1)
 
+    def equality(self, snapshot: int) -> DataFrame:
+        """name, n_rows, fingerprint of a snapshot's units and facts: equal for snapshots that say the same, however they came about."""
+        return equality_view(units=self.units(snapshot).select("root", "path", "hash"), facts=self.facts(snapshot))
+
     def verify(self, snapshot: int) -> DataFrame:
         """root, path of units whose canonical content no longer has its hash."""
         return self.units(snapshot).filter(content_hash(F.col("content")) != F.col("hash")).select("root", "path")

@@ -162,7 +162,7 @@ def privacy_gate(spark, d):
     e = table(spark, d, "events")
     k = F.col("event_id")
     envelope = F.when(k % 11 == 0, "raw-evidence").when(k % 11 == 1, "sanitized").otherwise("catalog")
-    document = F.when(k % 11 == 2, "no json").when(k % 11 == 3, F.concat(F.lit('{"a":"mail x@example.com now","b":"'), "event_type", F.lit('"}'))).when(k % 11 == 4, F.lit(None)).otherwise(F.concat(F.lit('{"c":"'), "event_type", F.lit('"}')))
+    document = F.when(k % 11 == 2, "no json").when(k % 11 == 3, F.concat(F.lit('{"a":"mail x@example.com now","b":"'), "event_type", F.lit('"}'))).when(k % 11 == 4, F.lit(None)).when(k % 11 == 5, F.concat(F.lit('{"a":{"b":["x","mail y@example.com"]},"n":1,"c":"'), "event_type", F.lit('"}'))).otherwise(F.concat(F.lit('{"c":"'), "event_type", F.lit('"}')))
     found = govern.privacy_gate(e.select(k.alias("id"), envelope.alias("envelope"), document.alias("document")))
     return found.select("id", "passed", F.array_join(F.transform("reasons", lambda r: F.concat(r["code"], F.lit("@"), r["path"])), ",").alias("reasons"))
 
@@ -251,7 +251,7 @@ SELECT n.*, coalesce(o.n, 0) AS n_edges FROM n LEFT JOIN o USING (id)""",
 SELECT path, 'PROTOTYPE' AS kind, 'POST' || k AS name, 2::BIGINT AS start, 2::BIGINT AS "end", false AS exported, 'POST' AS external, true AS imported, 0::BIGINT AS n_parameters FROM s
 UNION ALL SELECT path, 'PROTOTYPE', 'LOCAL', 3, 5, false, NULL, false, 0 FROM s UNION ALL SELECT path, 'PROCEDURE', 'LOCAL', 7, 13 + b, true, NULL, false, 3 + b FROM s
 UNION ALL SELECT path, 'SUBROUTINE', 'WORK', 14 + b, 16 + b, false, NULL, false, 0 FROM s UNION ALL SELECT path, 'PROCEDURE', 'OPEN' || n, 17 + b, 18 + b, false, NULL, false, 0 FROM s""",
-    "privacy_gate": """SELECT event_id AS id, event_id % 11 > 4 AS passed, CASE event_id % 11 WHEN 0 THEN 'RAW_EVIDENCE_NOT_ALLOWED@$' WHEN 1 THEN 'SANITIZED_NOT_FINAL@$' WHEN 2 THEN 'MALFORMED_FINAL_CATALOG@$' WHEN 3 THEN 'EMAIL@$.a,URL_OR_HOST@$.a' WHEN 4 THEN 'MALFORMED_FINAL_CATALOG@$' ELSE '' END AS reasons FROM events""",
+    "privacy_gate": """SELECT event_id AS id, event_id % 11 > 5 AS passed, CASE event_id % 11 WHEN 0 THEN 'RAW_EVIDENCE_NOT_ALLOWED@$' WHEN 1 THEN 'SANITIZED_NOT_FINAL@$' WHEN 2 THEN 'MALFORMED_FINAL_CATALOG@$' WHEN 3 THEN 'EMAIL@$.a,URL_OR_HOST@$.a' WHEN 4 THEN 'MALFORMED_FINAL_CATALOG@$' WHEN 5 THEN 'EMAIL@$.a.b[1],URL_OR_HOST@$.a.b[1]' ELSE '' END AS reasons FROM events""",
     "safe_fields": "SELECT s_suppkey, CASE WHEN s_suppkey % 6 = 4 THEN 'name,path' ELSE 'name' END AS kept FROM supplier",
     "focus": """SELECT o_custkey % 20 AS session, max(o_orderkey) AS last_active, array_to_string(list_sort(list_distinct(list(o_orderstatus))), ',') AS programs,
 array_to_string(list_sort(list_distinct(list_concat(list(o_orderpriority), list(o_orderstatus)))), ',') AS tables FROM orders GROUP BY 1""",
