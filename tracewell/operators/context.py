@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.candidates import workflow_score
@@ -82,9 +84,41 @@ def verified_sources(units: DataFrame, claims: DataFrame) -> DataFrame:
     return both.select("path", *kept, status.alias("status"), F.when(status == "OK", F.substring("content", 1, BODY_CHARS)).alias("body"))
 
 
-def workflow_selection(items: DataFrame, workflow: str, total: int, cap: int) -> DataFrame:
-    """items(id, category, score, cost): scores weighed for the workflow, the best of every category first, at most cap a category, packed
-    under max(120, total - 220) tokens."""
-    weighed = items.withColumn("weighed", workflow_score(F.col("category"), F.col("score"), workflow))
-    ranked = budget.category_first(weighed, "category", "weighed", "id", cap)
-    return budget.greedy_pack(ranked.withColumn("all_", F.lit(1)).select("all_", "id", "cost", "rank"), "all_", [F.col("rank")], max(120, total - 220)).select("id", "cost")
+#: The order in which categories give their first item.
+CATEGORY_ORDER = {"errorAnalysis": ("errorPaths", "sql", "calls", "fileUsage", "conditionals")}
+OTHER_ORDER = ("sql", "fileUsage", "calls", "conditionals", "errorPaths")
+
+
+def workflow_selection(items: DataFrame, workflow: str, total: int, caps: Mapping[str, int]) -> DataFrame:
+    """items(id, category, score, cost) -> id, cost, place of what a workflow takes under max(120, total - 220) tokens.
+
+    First the best item by score of every category, in the workflow's order of categories, then all others by the score weighed for the workflow.
+    The first item of all is taken whatever it costs; a later one if it fits what is left and its category has taken fewer than its cap; only what is
+    taken counts. Ties go to the lesser id; categories without a cap give nothing; null scores and costs count as 0.
+
+    Of a category's items of one cost only the first `cap` can be taken: where one is refused, so are those after it. The fold sees no others, so its
+    size follows budget and caps, not the table."""
+    budget_, order = max(120, total - 220), CATEGORY_ORDER.get(workflow, OTHER_ORDER)
+    number = F.element_at(F.create_map(*(x for k, c in enumerate(order) for x in (F.lit(c), F.lit(k)))), F.col("category"))
+    cap = F.element_at(F.create_map(*(x for c in order for x in (F.lit(c), F.lit(int(caps.get(c, 0)))))), F.col("category"))
+    zero = F.lit(0).cast("long")
+    known = items.filter(F.col("category").isin(*order)).select("id", "category", F.coalesce("score", F.lit(0)).alias("score"), F.greatest(F.coalesce(F.col("cost").cast("long"), zero), zero).alias("cost"), number.alias("number"), cap.alias("cap")).filter("cap > 0")
+    heads = known.groupBy("number").agg(F.min_by(F.struct("id", "cost", "number"), F.struct(-F.col("score"), "id")).alias("h")).select("h.*")
+    rest = known.join(heads.select("id"), "id", "left_anti").withColumn("weighed", workflow_score(F.col("category"), F.col("score"), workflow))
+    # taken items are at most the heads and the caps, so a cost beyond the budget can only be a head's
+    place = F.row_number().over(Window.partitionBy("number", "cost").orderBy(F.desc("weighed"), "id"))
+    able = rest.filter(F.col("cost") <= budget_).withColumn("place", place).filter("place <= cap")
+    kind = items.schema["id"].dataType.simpleString()
+    entry = lambda phase, key: F.struct(F.lit(phase).alias("phase"), key.cast("double").alias("key"), F.col("id"), F.col("cost"), F.col("number")).alias("e")
+    every = heads.select(entry(0, F.col("number"))).unionByName(able.select(entry(1, -F.col("weighed"))))
+    listed = every.agg(F.array_sort(F.collect_list("e")).alias("listed"))
+    most = F.array(*(F.lit(int(caps.get(c, 0))) for c in order))
+    start = F.struct(zero.alias("used"), F.array(*(F.lit(0) for _ in order)).alias("counts"), F.array().cast(f"array<struct<id:{kind},cost:bigint>>").alias("out"))
+
+    def take(acc: Column, x: Column) -> Column:
+        fits = (F.get(acc["counts"], x["number"]) < F.get(most, x["number"])) & ((acc["used"] + x["cost"] <= budget_) | (F.size(acc["out"]) == 0))
+        counts = F.transform(acc["counts"], lambda n, i: n + (i == x["number"]).cast("int"))
+        return F.when(fits, F.struct((acc["used"] + x["cost"]).alias("used"), counts.alias("counts"), F.concat(acc["out"], F.array(F.struct(x["id"].alias("id"), x["cost"].alias("cost")))).alias("out"))).otherwise(acc)
+
+    taken = listed.select(F.posexplode(F.aggregate("listed", start, take, lambda acc: acc["out"])).alias("place", "x"))
+    return taken.select("x.id", "x.cost", (F.col("place") + 1).cast("long").alias("place"))

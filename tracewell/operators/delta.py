@@ -97,8 +97,8 @@ def line_diff(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 def fingerprint(rows: DataFrame, columns: list[str], group: str) -> DataFrame:
     """One sha256 a group over its rows' own hashes, independent of order.
 
-    Rows are hashed first and then summed by 16 buckets of their hash, so no group is gathered: the group's hash covers the count and
-    wide sums of each bucket, which equal multisets share."""
+    Rows are hashed first and then summed, in five slices of 48 bits of their hashes, so no group is gathered: the group's hash covers the count and
+    the five wide sums, which equal multisets share. Nulls count as empty texts."""
     row = F.sha2(F.concat_ws(chr(0), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), 256)
     hashed = rows.select(group, row.alias("h"))
     part = lambda k: F.conv(F.substring("h", 1 + 12 * k, 12), 16, 10).cast("decimal(38,0)")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracewell.functions import candidates
 from tracewell.functions import source_lines as L
 from tracewell.functions import text as X
 from tracewell.operators import context, search
@@ -72,10 +73,16 @@ def event_windows(spark, d):
     return incremental.event_counts(table(spark, d, "events")).withColumn("total", F.round("total", 4))
 
 
+_CAPS = {"sql": 4, "calls": 3, "fileUsage": 3, "conditionals": 2, "errorPaths": 5}
+
+
 def workflow_selection(spark, d):
+    """Two workflows: in one the very first item costs more than the budget, the other is bounded by budget and caps."""
     category = F.element_at(F.array(*map(F.lit, ("sql", "calls", "fileUsage", "conditionals", "errorPaths", "other"))), (F.col("p_partkey") % 6 + 1).cast("int"))
-    items = table(spark, d, "part").select(F.col("p_partkey").alias("id"), category.alias("category"), F.col("p_size").cast("double").alias("score"), (F.col("p_partkey") % 40 + 5).alias("cost"))
-    return context.workflow_selection(items, "errorAnalysis", 600, 4)
+    dear = F.when((F.col("p_partkey") % 6 == 4) & (F.col("p_size") > 25), 700).otherwise(F.col("p_partkey") % 40 + 5)
+    items = table(spark, d, "part").select(F.col("p_partkey").alias("id"), category.alias("category"), F.col("p_size").cast("double").alias("score"), dear.alias("cost"))
+    parts = [context.workflow_selection(items, w, 600, _CAPS).withColumn("workflow", F.lit(w)) for w in ("errorAnalysis", "security")]
+    return parts[0].unionByName(parts[1].select(parts[0].columns))
 
 
 QUERIES = {f.__name__: f for f in (source_facts, native_file_usage, procedure_calls, embedded_sql, source_types, source_inventory, member_summary, context_package, event_windows, workflow_selection)}
@@ -110,10 +117,14 @@ f(bucket, k, used, fits) AS (SELECT bucket, k, CASE WHEN cost <= most THEN cost
   UNION ALL SELECT o.bucket, o.k, f.used + CASE WHEN f.used + o.cost <= o.most THEN o.cost ELSE 0 END, f.used + o.cost <= o.most FROM f JOIN o ON o.bucket = f.bucket AND o.k = f.k + 1)
 SELECT c.bucket, c.id, c.kind, c.score, c.cost, CASE WHEN reason IS NOT NULL THEN reason WHEN f.fits THEN 'SELECTED' ELSE 'TOKEN_BUDGET' END AS status
 FROM c LEFT JOIN (SELECT o.bucket, o.id, f.fits FROM o JOIN f USING (bucket, k)) f ON f.bucket = c.bucket AND f.id = c.id""",
-    "workflow_selection": """
-WITH RECURSIVE w AS (SELECT p_partkey AS id, p_partkey % 6 AS m, floor(p_size * ([1.45, 1.35, 1.25, 1.05, 1.7, 1.0]::DOUBLE[])[p_partkey % 6 + 1] + 0.5)::BIGINT AS score, p_partkey % 40 + 5 AS cost FROM part),
-r AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY score DESC, id) AS place FROM w),
-o AS (SELECT id, cost, row_number() OVER (ORDER BY CASE WHEN place > 1 THEN 1 ELSE 0 END, score DESC, id) AS k FROM r WHERE place <= 4),
-f(k, used, fits) AS (SELECT k, cost, cost <= 380 FROM o WHERE k = 1 UNION ALL SELECT o.k, f.used + CASE WHEN f.used + o.cost <= 380 THEN o.cost ELSE 0 END, f.used + o.cost <= 380 FROM f JOIN o ON o.k = f.k + 1)
-SELECT id, cost FROM o JOIN f USING (k) WHERE fits""",
+    "workflow_selection": f"""
+WITH RECURSIVE w(workflow, m, weight, turn, cap) AS (VALUES ('errorAnalysis', 0, 1.45, 1, 4), ('errorAnalysis', 1, 1.35, 2, 3), ('errorAnalysis', 2, 1.25, 3, 3), ('errorAnalysis', 3, 1.05, 4, 2), ('errorAnalysis', 4, 1.7, 0, 5),
+ {', '.join(f"('security', {m}, {candidates.WORKFLOWS['security'][c]}, {context.OTHER_ORDER.index(c)}, {_CAPS[c]})" for m, c in enumerate(('sql', 'calls', 'fileUsage', 'conditionals', 'errorPaths')))}),
+i AS (SELECT workflow, p_partkey AS id, turn, cap, p_size AS score, floor(p_size * weight::DOUBLE + 0.5)::BIGINT AS weighed, CASE WHEN m = 4 AND p_size > 25 THEN 700 ELSE p_partkey % 40 + 5 END AS cost FROM part JOIN w ON m = p_partkey % 6),
+h AS (SELECT *, row_number() OVER (PARTITION BY workflow, turn ORDER BY score DESC, id) = 1 AS head FROM i),
+o AS (SELECT *, row_number() OVER (PARTITION BY workflow ORDER BY NOT head, CASE WHEN head THEN turn ELSE -weighed END, id) AS k FROM h),
+f(workflow, k, used, n, taken, fits) AS (SELECT workflow, k, cost, 1, turn::VARCHAR, true FROM o WHERE k = 1
+  UNION ALL SELECT workflow, k, used + CASE WHEN g THEN cost ELSE 0 END, n + CASE WHEN g THEN 1 ELSE 0 END, CASE WHEN g THEN taken || turn ELSE taken END, g
+  FROM (SELECT o.workflow, o.k, o.cost, o.turn, f.used, f.n, f.taken, f.used + o.cost <= 380 AND length(f.taken) - length(replace(f.taken, o.turn::VARCHAR, '')) < o.cap AS g FROM f JOIN o ON o.workflow = f.workflow AND o.k = f.k + 1))
+SELECT o.workflow, o.id, o.cost::BIGINT AS cost, f.n::BIGINT AS place FROM o JOIN f USING (workflow, k) WHERE fits""",
 }
