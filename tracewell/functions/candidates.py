@@ -24,6 +24,8 @@ WORKFLOWS = {
     "modernization": {"sql": 1.2, "calls": 1.7, "fileUsage": 1.8, "conditionals": 1.0, "errorPaths": 1.0},
 }
 TABLE_CONTEXTS = (("SET", "WRITES", r"UPDATE\s+"), ("INSERT", "WRITES", r"INSERT\s+INTO\s+"), ("DELETE", "WRITES", r"DELETE\s+FROM\s+"), ("FROM", "READS", r"FROM\s+"), ("JOIN", "READS", r"JOIN\s+"), ("CURSOR", "READS", r"FOR\s+"))
+#: Words after which SQL names a table.
+TABLE_PLACES = ("FROM", "INTO", "UPDATE", "JOIN")
 NOT_TABLES = ("FROM", "INTO", "WHERE")
 SQL_LINES = (r"^SELECT\b.*\bFROM\b", r"^INSERT\b.*\bINTO\b", r"^UPDATE\b.*\bSET\b", r"^DELETE\b\s+FROM\b", r"^MERGE\b\s+INTO\b", r"^WITH\b")
 ERROR_STATES = {"SQL0204": "42704", "SQL0206": "42703", "SQL0551": "42501"}
@@ -87,13 +89,13 @@ def table_contexts(line: Column) -> Column:
 
 
 def search_pattern(term: str | None = None, member: str | None = None, table: str | None = None, case: bool = False) -> str | None:
-    """A pattern that finds a member name as a word, a table in a place where SQL names tables, or the term (a pattern itself)."""
+    """A pattern that finds a member's name standing alone, a table after one of TABLE_PLACES, or the term (a pattern itself). Tables are found in any case."""
     if member:
-        name = re.escape(member.upper() if case else member.lower())
-        return ("" if case else "(?i)") + rf"(^|[^A-Z0-9_]){name}([^A-Z0-9_]|$)"
+        alone = rf"(?<![A-Z0-9_]){re.escape(member.upper())}(?![A-Z0-9_])"
+        return alone if case else f"(?i){alone}"
     if table:
-        return rf"(?i)(FROM|INTO|UPDATE|DELETE FROM|JOIN)\s+{re.escape(table.upper())}"
-    return None if not term else term if case else f"(?i){term}"
+        return rf"(?i)(?:{'|'.join(TABLE_PLACES)})\s+{re.escape(table.upper())}"
+    return (term if case else f"(?i){term}") if term else None
 
 
 def is_standalone_sql(line: Column) -> Column:
@@ -103,7 +105,17 @@ def is_standalone_sql(line: Column) -> Column:
 
 
 def error_state(message: Column) -> Column:
-    """The SQL state of an error message: the five characters after SQLSTATE, or the state of a SQLnnnn code (the code itself where it has none); else empty."""
-    hit = F.upper(F.regexp_extract(F.coalesce(message, F.lit("")), "(?i)" + _ascii(r"\b(SQL[0-9]{4}|SQLSTATE\s*[=:]?\s*[0-9A-Z]{5})\b"), 1))
+    """The SQL state of an error message: the word of five after SQLSTATE (an equals sign or a colon may stand between, or nothing at all), or the state of a code SQL and
+    four digits (the code itself where it has none), whichever comes first; else empty."""
+    toks = F.regexp_extract_all(F.upper(F.coalesce(message, F.lit(""))), F.lit(r"[A-Z0-9_]+|[^\sA-Z0-9_]"), F.lit(0))
+    is_code = lambda w: (F.length(w) == 7) & w.startswith("SQL") & F.substring(w, 4, 4).rlike("^[0-9]+$")
+    is_state = lambda w: (F.length(w) == 5) & ~w.contains("_") & w.rlike("^[A-Z0-9]")
     known = F.create_map(*(F.lit(x) for kv in ERROR_STATES.items() for x in kv))
-    return F.when(hit.startswith("SQLSTATE"), F.right(hit, F.lit(5))).otherwise(F.coalesce(F.element_at(known, hit), hit))
+
+    def found(word: Column, place: Column) -> Column:
+        mark = F.coalesce(F.get(toks, place + 1).isin("=", ":"), F.lit(False))
+        after = F.get(toks, place + F.when(mark, 2).otherwise(1))
+        glued = F.when((F.length(word) == 13) & word.startswith("SQLSTATE"), F.right(word, F.lit(5)))
+        return F.when(is_code(word), F.coalesce(F.element_at(known, word), word)).when((word == "SQLSTATE") & is_state(after), after).when(is_state(glued), glued)
+
+    return F.coalesce(F.get(F.array_compact(F.transform(toks, found)), 0), F.lit(""))

@@ -6,6 +6,7 @@ import base64
 import json
 import re
 
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,17 +108,57 @@ def quoted(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
+_PREDICATE = re.compile(r"""'(?:[^']|'')*'|"[^"]*"|[A-Za-z_#$@][\w.#$@]*|\d+(?:\.\d+)?|[<>!]=|<>|\S""")
+#: Words that a condition without columns may hold.
+_CONSTANT_WORDS = {"TRUE", "FALSE", "NULL", "NOT", "AND", "OR", "IS", "IN", "LIKE", "BETWEEN"}
+
+
+def _unwrapped(parts: list[str]) -> list[str]:
+    """Tokens without brackets around all of them."""
+    while len(parts) > 1 and parts[0] == "(" and parts[-1] == ")":
+        depth = 0
+        for k, t in enumerate(parts):
+            depth += (t == "(") - (t == ")")
+            if depth == 0 and k < len(parts) - 1:
+                return parts
+        parts = parts[1:-1]
+    return parts
+
+
+def _alternatives(parts: list[str]) -> list[list[str]]:
+    """The comparisons that stand next to an OR, at any depth, without brackets."""
+    out, joins = [[]], [""]
+    for t in parts:
+        if t.upper() in ("OR", "AND"):
+            joins.append(t.upper())
+            out.append([])
+        elif t not in "()":
+            out[-1].append(t)
+    return [a for a, before, after in zip(out, joins, [*joins[1:], ""], strict=True) if "OR" in (before, after)]
+
+
+def _holds_always(parts: list[str]) -> bool:
+    """Whether a condition names no column and Spark, which folds its constants, finds it true."""
+    if not parts or any(t[0].isalpha() and t.upper() not in _CONSTANT_WORDS or t[0] in "\"_#$@`;" for t in parts):
+        return False
+    spark = SparkSession.active()
+    try:
+        return bool(spark.range(1).select(F.expr(" ".join(parts)).cast("boolean")).first()[0])
+    except (ParseException, AnalysisException):
+        return False
+
+
 def weak_predicate(where: str | None) -> str | None:
     """Why a WHERE clause restricts too little, or None."""
-    text = re.sub(r"'(?:[^']|'')*'", "''", (where or "").strip().rstrip(";").strip())
-    bare = re.sub(r"[\s()]", "", text).upper()
-    if bare in ("", "1=1", "0=0", "TRUE", "1<>0", "0<>1", "1<=1", "1>=1"):
+    parts = _unwrapped(_PREDICATE.findall((where or "").strip().rstrip(";")))
+    if not parts or _holds_always(parts):
         return "ALWAYS_TRUE"
-    if re.search(r"\bOR\s+(1\s*=\s*1|TRUE)\b", text, re.I):
+    if any(_holds_always(a) for a in _alternatives(parts)):
         return "OR_TAUTOLOGY"
-    if re.fullmatch(r'\(*\s*[\w.$#@\[\]"]+\s+IS\s+NOT\s+NULL\s*\)*', text, re.I):
+    name, *rest = parts
+    if name[0] not in "'(" and [t.upper() for t in rest] == ["IS", "NOT", "NULL"]:
         return "ONLY_NOT_NULL"
-    if re.fullmatch(r'\(*\s*[\w.$#@\[\]"]+\s+LIKE\s+\'%+\'\s*\)*', (where or "").strip().rstrip(";"), re.I):
+    if len(rest) == 2 and rest[0].upper() == "LIKE" and rest[1].startswith("'") and not rest[1].strip("'%") and "%" in rest[1]:
         return "LIKE_ANYTHING"
     return None
 
