@@ -1,7 +1,8 @@
 """Blocks of program source: prototypes, procedures with their parameters, and subroutines, from their opening to their closing line.
 
-One block is open at a time; what a block holds opens no other. Only lines that open or close something take part in the fold over
-a file, so a file's state is a handful of rows however long it is.
+A line is cut into words once: quoted texts, words with their dashes, single marks. Which words open and close a block stands in one table; names and bracketed
+arguments are read off their neighbours. One block is open at a time, what it holds opens no other. Only lines that open or close something take part in
+the fold over a file, so a file's state is a handful of rows however long it is.
 """
 
 from __future__ import annotations
@@ -10,61 +11,89 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.source_lines import is_comment
-from tracewell.functions.text import ASCII_EDGE
 
-# Lines that open a block (kind, pattern with its name), the marks that close it, parameter types.
-OPENERS = (("PROTOTYPE", r"(?i)^dcl-pr\s+([A-Z0-9_#$@*]+)"), ("PROCEDURE", r"(?i)^dcl-proc\s+([A-Z0-9_#$@*]+)"), ("SUBROUTINE", r"(?i)^begsr\s+([A-Z0-9_#$@*]+)"), ("SUBROUTINE", r"(?i)^(?:C\s+|C)?([A-Z0-9_#$@*]+)\s+BEGSR(?![A-Za-z0-9_])"))
-CLOSERS = {"PROTOTYPE": "end-pr", "PROCEDURE": "end-proc", "SUBROUTINE": "endsr"}
-PARAMETER_TYPES = "like|char|zoned|packed|int|uns|date|time|timestamp|varchar|ind"
-_BLOCK = "struct<kind:string,name:string,start:bigint,end:bigint,head:string>"
+#: A word of a line: a quoted text, letters, digits, signs of names and dashes, or one mark.
+WORD = r"'[^']*'|\"[^\"]*\"|[A-Za-z0-9_#$@*%-]+|\S"
+#: Kind of block -> the word that opens it (the name follows; BEGSR in fixed form comes after it) and the one that closes it.
+BLOCKS = {"PROTOTYPE": ("DCL-PR", "END-PR"), "PROCEDURE": ("DCL-PROC", "END-PROC"), "SUBROUTINE": ("BEGSR", "ENDSR")}
+# Types of parameters; those that only the line of the interface itself is searched for.
+PARAMETER_TYPES = ("LIKE", "CHAR", "ZONED", "PACKED", "INT", "UNS", "DATE", "TIME", "TIMESTAMP", "VARCHAR", "IND")
+INLINE_TYPES = (*PARAMETER_TYPES, "POINTER", "OBJECT")
+_BLOCK = "struct<kind:string,name:string,start:bigint,end:bigint,head:array<string>>"
 
 
-def _word(w: str) -> str:
-    return f"(?i){ASCII_EDGE}{w}{ASCII_EDGE}"
+def line_words(text: Column) -> Column:
+    return F.regexp_extract_all(F.upper(text), F.lit(WORD), F.lit(0))
 
 
-def _marks(lines: Column) -> Column:
-    """array<struct<line, text, kind, name>> of the lines that open (kind set) or close a block."""
+def _at(words: Column, k: int | Column) -> Column:
+    return F.coalesce(F.get(words, F.lit(k) if isinstance(k, int) else k), F.lit(""))
+
+
+def _named(word: Column) -> Column:
+    return F.when(word.rlike("^[A-Z0-9_#$@*]+$"), word)
+
+
+def _opening(words: Column) -> Column:
+    """struct<kind, name> of what a line opens, null for other lines."""
+    first, out = _at(words, 0), F.lit(None).cast("struct<kind:string,name:string>")
+    pair = lambda kind, name: F.struct(F.lit(kind).alias("kind"), name.alias("name"))
+    # fixed form: C, name, BEGSR; the C may touch the name
+    touched = F.when((F.length(first) > 1) & first.startswith("C"), F.substring(first, 2, 1 << 10)).otherwise(first)
+    fixed = F.when((first == "C") & (_at(words, 2) == "BEGSR"), _named(_at(words, 1))).when(_at(words, 1) == "BEGSR", _named(touched))
+    for kind, (opens, _) in reversed(BLOCKS.items()):
+        name = _named(_at(words, 1))
+        out = F.when((first == opens) & name.isNotNull(), pair(kind, name)).otherwise(out)
+    return F.coalesce(out, F.when(fixed.isNotNull(), pair("SUBROUTINE", fixed)))
+
 
-    def one(x: Column) -> Column:
-        names = [F.upper(F.regexp_extract(x["text"], p, 1)) for _, p in OPENERS]
-        kind, name = F.lit(None).cast("string"), F.lit(None).cast("string")
-        for (k, _), n in reversed(list(zip(OPENERS, names, strict=True))):
-            kind, name = F.when(n != "", k).otherwise(kind), F.when(n != "", n).otherwise(name)
-        return F.struct(x["line"].alias("line"), x["text"].alias("text"), kind.alias("kind"), name.alias("name"))
+def _closes(kind: Column, words: Column) -> Column:
+    test = F.lit(False)
+    for k, (_, closing) in BLOCKS.items():
+        test = test | ((kind == k) & F.array_contains(words, closing))
+    return F.coalesce(test, F.lit(False))
 
-    closes = _word("(?:" + "|".join(CLOSERS.values()) + ")")
-    return F.filter(F.transform(lines, one), lambda m: m["kind"].isNotNull() | m["text"].rlike(closes))
+
+def _marks(lines: Column) -> Column:
+    """array<struct<line, words, open>> of the lines that open or close a block."""
+    marked = F.transform(lines, lambda x: F.struct(x["line"].alias("line"), x["words"].alias("words"), _opening(x["words"]).alias("open")))
+    ends = F.array(*(F.lit(closing) for _, closing in BLOCKS.values()))
+    return F.filter(marked, lambda m: m["open"].isNotNull() | F.arrays_overlap(m["words"], ends))
 
 
 def _folded(marks: Column, last: Column) -> Column:
     """array of blocks; one that nothing closes ends with the file."""
     none = F.lit(None).cast(_BLOCK)
 
-    def closed(kind: Column, text: Column) -> Column:
-        test = F.lit(False)
-        for k, w in CLOSERS.items():
-            test = test | ((kind == k) & text.rlike(_word(w)))
-        return test
-
-    def block(kind, name, start, end, head) -> Column:
+    def block(kind: Column, name: Column, start: Column, end: Column, head: Column) -> Column:
         return F.struct(kind.alias("kind"), name.alias("name"), start.alias("start"), end.alias("end"), head.alias("head")).cast(_BLOCK)
 
+    def until(b: Column, end: Column) -> Column:
+        return block(b["kind"], b["name"], b["start"], end, b["head"])
+
+    def state(open_: Column, out: Column) -> Column:
+        return F.struct(open_.alias("open"), out.alias("out"))
+
     def step(s: Column, m: Column) -> Column:
-        o = s["open"]
-        ended = F.struct(none.alias("open"), F.concat(s["out"], F.array(block(o["kind"], o["name"], o["start"], m["line"], o["head"]))).alias("out"))
-        fresh = block(m["kind"], m["name"], m["line"], m["line"], m["text"])
-        at_once = (m["kind"] != "SUBROUTINE") & closed(m["kind"], m["text"])
-        opened = F.when(at_once, F.struct(none.alias("open"), F.concat(s["out"], F.array(fresh)).alias("out"))).otherwise(F.struct(fresh.alias("open"), s["out"].alias("out")))
-        inside = F.when(closed(o["kind"], m["text"]), ended).otherwise(s)
-        return F.when(o.isNotNull(), inside).when(m["kind"].isNotNull(), opened).otherwise(s)
+        held = s["open"]
+        fresh = block(m["open"]["kind"], m["open"]["name"], m["line"], m["line"], m["words"])
+        on_one_line = (m["open"]["kind"] != "SUBROUTINE") & _closes(m["open"]["kind"], m["words"])
+        return (
+            F.when(held.isNotNull() & _closes(held["kind"], m["words"]), state(none, F.concat(s["out"], F.array(until(held, m["line"])))))
+            .when(held.isNotNull() | m["open"].isNull(), s)
+            .when(on_one_line, state(none, F.concat(s["out"], F.array(fresh))))
+            .otherwise(state(fresh, s["out"]))
+        )
+
+    start = state(none, F.array().cast(f"array<{_BLOCK}>"))
+    return F.aggregate(marks, start, step, lambda s: F.when(s["open"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(until(s["open"], last)))))
 
-    def end(s: Column) -> Column:
-        o = s["open"]
-        return F.when(o.isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(block(o["kind"], o["name"], o["start"], last, o["head"]))))
 
-    start = F.struct(none.alias("open"), F.array().cast(f"array<{_BLOCK}>").alias("out"))
-    return F.aggregate(marks, start, step, end)
+def _argument(words: Column, *keywords: str) -> Column:
+    """The one name, quoted or not, in the brackets after the first of the keywords that has such."""
+    places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0))), lambda k: F.get(words, k).isin(*keywords) & (_at(words, k + 1) == "(") & (_at(words, k + 3) == ")"))
+    inner = F.transform(places, lambda k: F.regexp_replace(_at(words, k + 2), "^['\"]\\s*|['\"]$", ""))
+    return F.get(F.filter(inner, lambda w: w.rlike("^[A-Z0-9_#$@]+$")), 0)
 
 
 def source_blocks(files: DataFrame) -> DataFrame:
@@ -72,24 +101,24 @@ def source_blocks(files: DataFrame) -> DataFrame:
 
     external is the name in EXTPROC or EXTPGM; a prototype is imported where it has one or its file declares no procedure of that
     name. Parameters are counted from the first dcl-pi of a procedure on (dcl-parm lines, and names followed by a type, the name and
-    return type of the dcl-pi line itself included). Comments
-    are skipped; null contents give no block."""
+    return type of the dcl-pi line itself included). Comments are skipped; null contents give no block."""
     raw = F.split("content", "\r?\n", -1)
     numbered = F.transform(raw, lambda t, i: F.struct((i + 1).cast("long").alias("line"), t.alias("raw")))
-    live = F.transform(F.filter(numbered, lambda x: ~is_comment(x["raw"])), lambda x: F.struct(x["line"].alias("line"), F.trim(x["raw"]).alias("text")))
+    live = F.transform(F.filter(numbered, lambda x: ~is_comment(x["raw"])), lambda x: F.struct(x["line"].alias("line"), line_words(x["raw"]).alias("words")))
     lined = files.filter("content is not null").select("path", live.alias("lines"), F.size(raw).cast("long").alias("last"))
     found = lined.select("path", "lines", _folded(_marks(F.col("lines")), F.col("last")).alias("blocks"))
     each = found.select("path", "lines", F.col("blocks"), F.explode("blocks").alias("b"))
     within = F.filter("lines", lambda x: (x["line"] > F.col("b.start")) & (x["line"] < F.col("b.end")))
-    pi = F.array_min(F.transform(F.filter(within, lambda x: x["text"].rlike(r"(?i)^dcl-pi(?![A-Za-z0-9_])")), lambda x: x["line"]))
-    named = rf"(?i)^(?:dcl-parm\s|[A-Z0-9_#$@]+\s+(?:{PARAMETER_TYPES}){ASCII_EDGE})"
-    inline = F.regexp_extract_all(F.array_join(F.transform(F.filter("lines", lambda x: x["line"] == F.col("pi")), lambda x: x["text"]), ""), F.lit(rf"(?i){ASCII_EDGE}[A-Z0-9_#$@]+\s+(?:{PARAMETER_TYPES}|pointer|object){ASCII_EDGE}"), F.lit(0))
-    after = F.filter("lines", lambda x: (x["line"] > F.col("pi")) & (x["line"] < F.col("b.end")) & x["text"].rlike(named) & ~x["text"].rlike(_word("end-pi")))
+    pi = F.array_min(F.transform(F.filter(within, lambda x: _at(x["words"], 0) == "DCL-PI"), lambda x: x["line"]))
+    own = F.flatten(F.transform(F.filter("lines", lambda x: x["line"] == F.col("pi")), lambda x: x["words"]))
+    inline = F.filter(F.transform(own, lambda w, k: w.rlike("[A-Z0-9_#$@]$") & _at(own, k + 1).isin(*INLINE_TYPES)), lambda hit: hit)
+    parameter = lambda w: (_at(w, 0) == "DCL-PARM") & (F.size(w) > 1) | (_at(w, 0).rlike("^[A-Z0-9_#$@]+$") & _at(w, 1).isin(*PARAMETER_TYPES))
+    after = F.filter("lines", lambda x: (x["line"] > F.col("pi")) & (x["line"] < F.col("b.end")) & parameter(x["words"]) & ~F.array_contains(x["words"], "END-PI"))
     counted = F.when((F.col("b.kind") == "PROCEDURE") & F.col("pi").isNotNull(), F.size(inline) + F.size(after)).otherwise(0).cast("long")
-    external = F.upper(F.regexp_extract("b.head", r"(?i)(?<![A-Za-z0-9_])ext(?:proc|pgm)\s*\(\s*['\"]?([A-Z0-9_#$@]+)['\"]?\s*\)", 1))
     local = F.transform(F.filter("blocks", lambda x: x["kind"] == "PROCEDURE"), lambda x: x["name"])
     prototype = F.col("b.kind") == "PROTOTYPE"
+    external = F.when(prototype, _argument(F.col("b.head"), "EXTPROC", "EXTPGM"))
     return each.withColumn("pi", pi).select(
-        "path", "b.kind", "b.name", "b.start", "b.end", ((F.col("b.kind") != "SUBROUTINE") & F.col("b.head").rlike(_word("export"))).alias("exported"),
-        F.when(prototype & (external != ""), external).alias("external"), (prototype & ((external != "") | ~F.array_contains(local, F.col("b.name")))).alias("imported"), counted.alias("n_parameters"),
+        "path", "b.kind", "b.name", "b.start", "b.end", ((F.col("b.kind") != "SUBROUTINE") & F.array_contains("b.head", "EXPORT")).alias("exported"),
+        external.alias("external"), (prototype & (external.isNotNull() | ~F.array_contains(local, F.col("b.name")))).alias("imported"), counted.alias("n_parameters"),
     )
