@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tracewell.plans import q_canonical, q_documents, q_evidence, q_graph, q_model, q_sharing, q_source, q_sql, q_symbols, q_text, q_validation
+from tracewell.plans import q_bytes, q_canonical, q_documents, q_evidence, q_graph, q_model, q_sharing, q_source, q_sql, q_symbols, q_text, q_validation
 
 FLAGSHIP = "lexical_search"
-_PARTS = (q_text, q_graph, q_sql, q_source, q_model, q_evidence, q_canonical, q_documents, q_symbols, q_validation, q_sharing)
+_PARTS = (q_text, q_graph, q_sql, q_source, q_model, q_evidence, q_canonical, q_documents, q_symbols, q_validation, q_sharing, q_bytes)
 
 
 def queries() -> dict:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.functions.nested import canonical
+
 
 def write_csv(df: DataFrame, path: str) -> None:
     """Semicolons, all values quoted, one header per part."""
@@ -27,8 +29,8 @@ def ascii_table(df: DataFrame, most: int = 50, width: int = 40) -> str:
 
 
 def fingerprinted_json(df: DataFrame) -> DataFrame:
-    """json (keys sorted) and sha256 of each row."""
-    return df.select(F.to_json(F.struct(*sorted(df.columns))).alias("json")).withColumn("sha256", F.sha2("json", 256))
+    """json (keys sorted at every depth, nulls left out) and sha256 of each row."""
+    return df.select(canonical(F.to_json(F.struct(*sorted(df.columns)))).alias("json")).withColumn("sha256", F.sha2("json", 256))
 
 
 def export_snapshot(units: DataFrame, path: str) -> DataFrame:
