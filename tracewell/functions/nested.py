@@ -38,8 +38,7 @@ def shown(value: Column) -> Column:
 
 def value_at(document: Column, dotted: str) -> Column:
     """The value at a dotted path as text; null where there is none, and for a JSON null."""
-    found = at(parsed(document), dotted)
-    return F.when(~F.is_variant_null(found), shown(found))
+    return let(at(parsed(document), dotted), lambda found: F.when(~F.is_variant_null(found), shown(found)))
 
 
 def holds(value: Column, where: Mapping[str, Any]) -> Column:
@@ -81,7 +80,7 @@ def variant(value: Any) -> Column:
     return value if isinstance(value, Column) else F.parse_json(F.lit(json.dumps(value)))
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with value written once in the expression."""
     return F.get(F.transform(F.array(value), use), 0)
 
@@ -102,16 +101,20 @@ def with_value(value: Column, dotted: str, new: Column) -> Column:
     def edit(v: Column) -> Column:
         inner = lambda old: with_value(old, rest, new) if rest else new
         none = F.create_map().cast("map<string,variant>")
-        some = F.coalesce(members(v), none)
-        keyed = F.to_variant_object(F.map_concat(F.map_filter(some, lambda k, _: k != head), F.create_map(F.lit(head), inner(F.try_element_at(some, F.lit(head))))))
+        set_ = lambda some: F.to_variant_object(F.map_concat(F.map_filter(some, lambda k, _: k != head), F.create_map(F.lit(head), inner(F.try_element_at(some, F.lit(head))))))
+        keyed = let(F.coalesce(members(v), none), set_)
         if not head.isdigit():
             return keyed
-        place, listed = int(head), elements(v)
-        places = F.sequence(F.lit(0), F.greatest(F.size(listed) - 1, F.lit(place)))
-        filled = F.transform(places, lambda i: F.when(i == place, inner(F.get(listed, F.lit(place)))).otherwise(F.coalesce(F.get(listed, i), variant(None))))
-        return F.when(listed.isNotNull(), F.to_variant_object(filled)).otherwise(keyed)
+        place = int(head)
 
-    return _let(value, edit)
+        def placed(listed: Column) -> Column:
+            places = F.sequence(F.lit(0), F.greatest(F.size(listed) - 1, F.lit(place)))
+            filled = F.transform(places, lambda i: F.when(i == place, inner(F.get(listed, F.lit(place)))).otherwise(F.coalesce(F.get(listed, i), variant(None))))
+            return F.when(listed.isNotNull(), F.to_variant_object(filled)).otherwise(keyed)
+
+        return let(elements(v), placed)
+
+    return let(value, edit)
 
 
 def without_value(value: Column, dotted: str) -> Column:
@@ -132,18 +135,18 @@ def without_value(value: Column, dotted: str) -> Column:
             out = out.when(F.coalesce(F.size(listed) > place, F.lit(False)), F.to_variant_object(F.transform(listed, lambda x, i: F.when(i == place, inner(x)).otherwise(x))))
         return out.otherwise(v)
 
-    return _let(value, edit)
+    return let(value, edit)
 
 
 def with_field(document: Column, field: str, value: Column) -> Column:
     """The document with a top-level field set to a text; other fields keep their types."""
     set_ = F.when(value.isNotNull(), value.cast("string").cast("variant")).otherwise(variant(None))
     own = lambda v: F.to_variant_object(F.map_concat(F.map_filter(members(v), lambda k, _: k != field), F.create_map(F.lit(field), set_)))
-    return F.to_json(_let(parsed(document), own))
+    return F.to_json(let(parsed(document), own))
 
 
 def without_field(document: Column, field: str) -> Column:
-    return F.to_json(_let(parsed(document), lambda v: F.to_variant_object(F.map_filter(members(v), lambda k, _: k != field))))
+    return F.to_json(let(parsed(document), lambda v: F.to_variant_object(F.map_filter(members(v), lambda k, _: k != field))))
 
 
 def flattened(document: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import nested
 from tracewell.operators import documents
-from tracewell.session import table
+from tracewell.session import once, spread, table
 
 #: A document of each event, and the same with its keys in another order; both engines build them from one text.
 _DOC = """concat('{"k": ', CAST(event_id % 7 AS STRING), ', "flag": true, "price": 1.50, "none": null, "o": {"z": "', event_type, '", "a": [1, {"b": "', event_type, '", "a": 2}, [3]]}}')"""
@@ -22,7 +22,8 @@ def typed_edit(spark, d):
     v = nested.parsed(F.col("doc"))
     new = nested.with_value(nested.with_value(v, "o.a.1.b", nested.variant(9)), "o.new.0", F.col("event_type").cast("variant"))
     new = nested.without_value(nested.without_value(nested.with_value(new, "o.a.4", nested.variant({"x": False})), "price"), "o.a.0")
-    return _events(spark, d, f"{_DOC} AS doc").select("event_id", F.to_json(new).alias("doc"), nested.value_at(F.to_json(new), "o.a.1.b").alias("inner"))
+    edited = once(spread(_events(spark, d, f"{_DOC} AS doc"), "doc"), new=F.to_json(new))
+    return edited.select("event_id", F.col("new").alias("doc"), nested.value_at(F.col("new"), "o.a.1.b").alias("inner"))
 
 
 def document_predicates(spark, d):
