@@ -46,7 +46,7 @@ def statement_facts(spark, d):
 def statement_relations(spark, d):
     r = F.col("relations")
     joins = F.array_join(F.transform(r["joins"], lambda j: F.concat_ws(" ", j["join_type"], j["table"], j["alias"], j["condition"])), "; ")
-    return _facts(spark, d).filter("relations is not null").select("id", r["driver"].alias("driver"), joins.alias("joins"), F.array_join(r["filters"], "; ").alias("filters"), r["confidence"].alias("confidence"), F.array_join(r["uncertainty"], ",").alias("marks"))
+    return _facts(spark, d).filter(S.has_relations(F.col("kind"), F.col("dynamic"))).select("id", r["driver"].alias("driver"), joins.alias("joins"), F.array_join(r["filters"], "; ").alias("filters"), r["confidence"].alias("confidence"), F.array_join(r["uncertainty"], ",").alias("marks"))
 
 
 def statement_summary(spark, d):
