@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.session import spread
+
 NAME = r"[A-Z0-9_#$@]+"
 
 # Source types by extension, their families, native opcodes (access kind, keyed, interactive, changing), CL keywords.
@@ -124,7 +126,7 @@ def binder_facts(raw: Column) -> Column:
 def source_facts(files: DataFrame) -> DataFrame:
     """files(path, content) -> path, line, type, fact, name, detail of all lines that are no comments."""
     kind = source_type(F.col("path"))
-    lines = files.select("path", kind.alias("type"), F.posexplode(F.split("content", "\r\n|\r|\n", -1)).alias("pos", "raw"))
+    lines = spread(files.select("path", "content"), "content").select("path", kind.alias("type"), F.posexplode(F.split("content", "\r\n|\r|\n", -1)).alias("pos", "raw"))
     raw = F.col("raw")
     family = F.when(F.col("type").isin("BND", "BINDER", "BNDSRC"), "BINDER").otherwise(source_family(F.col("type")))
     facts = F.when(family == "CL", cl_facts(raw)).when(family == "DDS", dds_facts(raw)).when(family == "BINDER", binder_facts(raw)).otherwise(rpg_facts(raw))
@@ -166,7 +168,7 @@ def file_usage(facts: DataFrame) -> DataFrame:
 
 def embedded_statements(files: DataFrame) -> DataFrame:
     """path, start, end, text of EXEC SQL statements: from their line to the one with a semicolon, the next start, or the end."""
-    lines = files.select("path", F.posexplode(F.split("content", "\r\n|\r|\n", -1)).alias("pos", "raw")).withColumn("line", (F.col("pos") + 1).cast("long"))
+    lines = spread(files.select("path", "content"), "content").select("path", F.posexplode(F.split("content", "\r\n|\r|\n", -1)).alias("pos", "raw")).withColumn("line", (F.col("pos") + 1).cast("long"))
     w = Window.partitionBy("path").orderBy("line")
     begins = F.col("raw").rlike(r"(?i)\bEXEC\s+SQL\b")
     numbered = lines.withColumn("number", F.sum(begins.cast("long")).over(w)).filter("number > 0")

@@ -12,16 +12,21 @@ FILE_KINDS = ("FILE", "DISK", "PRINTER", "WORKSTN")
 def entities(facts: DataFrame) -> DataFrame:
     """facts(path, line, fact, name) -> id, type, name, n_evidence, files, first (path and line of the first mention).
 
-    Counts are aggregated before the shuffle; evidence itself stays in the facts."""
-    first = F.min(F.struct("path", "line"))
-    out = facts.filter("name is not null and name <> ''").groupBy(F.col("fact").alias("type"), "name").agg(F.countDistinct("path", "line").alias("n_evidence"), F.countDistinct("path").alias("files"), first.alias("first"))
+    Mentions are counted a file first, so that no task holds all files of a name that is everywhere; evidence itself stays in the facts."""
+    named = facts.filter("name is not null and name <> ''").select(F.col("fact").alias("type"), "name", "path", "line")
+    each = named.groupBy("type", "name", "path").agg(F.countDistinct("line").alias("lines"), F.min("line").alias("line"))
+    # as countDistinct(path, line) does, places without a path don't count
+    placed = F.col("path").isNotNull()
+    out = each.groupBy("type", "name").agg(F.coalesce(F.sum(F.when(placed, F.col("lines"))), F.lit(0)).alias("n_evidence"), F.count("path").alias("files"), F.min(F.struct("path", "line")).alias("first"))
     return out.withColumn("id", F.concat_ws(":", "type", "name"))
 
 
 def model_summary(facts: DataFrame, types: tuple[str, ...]) -> DataFrame:
-    """One row: number of distinct names of each type, and of files."""
-    count = lambda t: F.countDistinct(F.when(F.col("fact") == t, F.col("name"))).alias(t.lower())
-    return facts.agg(*(count(t) for t in types), F.countDistinct("path").alias("files"))
+    """One row: number of distinct names of each type, and of files. Names and files are made distinct in one step, two rows a fact."""
+    both = F.array(F.struct(F.col("fact").alias("kind"), F.col("name").alias("value")), F.struct(F.lit("").alias("kind"), F.col("path").alias("value")))
+    marks = facts.select(F.inline(both)).filter(F.col("kind").isin("", *types) & F.col("value").isNotNull()).distinct()
+    count = lambda t: F.count_if(F.col("kind") == t)
+    return marks.agg(*(count(t).alias(t.lower()) for t in types), count("").alias("files"))
 
 
 def strongest_kind(df: DataFrame, key: str, kind: str) -> DataFrame:
