@@ -22,12 +22,11 @@ def line_candidates(spark, d):
 
 def workflow_scores(spark, d):
     """Candidate lines of every document under each workflow, by category."""
-    found = C.line_candidates(table(spark, d, "documents"), "doc_id", "text")
-    each = [found.select(F.lit(w).alias("workflow"), "category", C.workflow_score(F.col("category"), F.col("score"), w).alias("score")) for w in C.WORKFLOWS]
-    out = each[0]
-    for part in each[1:]:
-        out = out.unionByName(part)
-    return out.groupBy("workflow", "category").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("total"), F.max("score").alias("most"))
+    # lines of one category and score weigh the same, so they are read and counted once for all workflows
+    found = C.line_candidates(table(spark, d, "documents"), "doc_id", "text").groupBy("category", "score").agg(F.count(F.lit(1)).alias("n"))
+    weighed = F.array(*(F.struct(F.lit(w).alias("workflow"), C.workflow_score(F.col("category"), F.col("score"), w).alias("weighed")) for w in C.WORKFLOWS))
+    each = found.select("category", "n", F.inline(weighed))
+    return each.groupBy("workflow", "category").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("weighed")).alias("total"), F.max("weighed").alias("most"))
 
 
 def call_scores(spark, d):
