@@ -32,6 +32,8 @@ LEAST, WORDS, TOP = 30, 4, 2000
 #: A candidate within a longer one of at least so many percent of its occurrences is dropped.
 COVERED_PERCENT = 80
 UNIT_CHARS = 8_000_000
+#: Rows whose texts are cut into pieces together.
+CUT_ROWS = 256
 #: Requests that a bucket counts, on average, and the occurrences of a left part beyond which it has more than one bucket.
 BUCKET_REQUESTS, LEFT_OCCURRENCES = 4_000_000, 1 << 20
 #: Memory of a bucket's tables beyond which duckdb spills to Spark's own scratch folder of the executor.
@@ -40,13 +42,30 @@ BUCKET_MEMORY = "400MB"
 RANK_PARTS = 64
 
 
+#: Bytes in the form in which pieces are compared; none of them is part of a longer UTF-8 sequence.
+_FORM = bytes.maketrans(f"{CAPITALS}.,;:!?\v\f\r\t".encode(), f"{SMALL}{chr(10) * 9} ".encode())
+
+
+def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, text -> lang, piece, m: the pieces of some rows, each once."""
+    for rows in (batch.slice(k, CUT_ROWS) for batch in batches for k in range(0, batch.num_rows, CUT_ROWS)):
+        sizes = pc.binary_length(rows.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)
+        data = _raw(rows.column("text").cast(pa.binary()), "u1").tobytes().translate(_FORM)
+        text = pa.Array.from_buffers(pa.large_string(), len(rows), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(sizes)))), pa.py_buffer(data)])
+        while pc.any(pc.match_substring(text, "  ")).as_py():
+            text = pc.replace_substring(text, "  ", " ")
+        lists = pc.split_pattern(text, "\n")
+        pieces = pa.table({"lang": rows.column("lang").take(pc.list_parent_indices(lists)), "piece": pc.ascii_trim(lists.flatten(), " ")})
+        found = pieces.filter(pc.not_equal(pieces["piece"], "")).group_by(["lang", "piece"], use_threads=False).aggregate([([], "count_all")])
+        out = found.select(["lang", "piece", "count_all"]).rename_columns(["lang", "piece", "m"]).cast(pa.schema([("lang", pa.string()), ("piece", pa.string()), ("m", pa.int64())]))
+        yield from out.combine_chunks().to_batches()
+
+
 def distinct_pieces(docs: DataFrame) -> DataFrame:
-    """text, lang -> lang, piece (words joined by one space), m: equal pieces counted, before the shuffle and after."""
-    text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), CAPITALS, SMALL)
+    """text, lang -> lang, piece (words joined by one space), m: equal pieces counted, in a batch, before the shuffle and after."""
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(UNDETERMINED))
-    cut = docs.select(lang.alias("lang"), F.explode(F.split(text, "[.,;:!?\\x0A-\\x0D]")).alias("piece"))
-    words = cut.select("lang", F.trim(F.regexp_replace("piece", "[ \\t]+", " ")).alias("piece")).filter("piece <> ''")
-    return words.groupBy("lang", "piece").agg(F.count(F.lit(1)).alias("m"))
+    texts = docs.select(lang.alias("lang"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    return texts.mapInArrow(tidied(_cut), "lang string, piece string, m long").groupBy("lang", "piece").agg(F.sum("m").alias("m"))
 
 
 def _units(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,7 +81,7 @@ def _units(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
             coded = lists.flatten().dictionary_encode()
             codes, m = coded.indices.to_numpy(zero_copy_only=False), part["m"].to_numpy()
-            _, weights = _sums(codes, np.repeat(m, lengths))
+            _, weights, _ = _sums(codes, np.repeat(m, lengths))
             long = lengths > 1
             body = codes[np.repeat(long, lengths)]
             stops = np.cumsum(lengths[long])
@@ -90,14 +109,16 @@ def _row(**values) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist([values], schema=_UNIT)
 
 
-def _sums(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct keys, sum of the weights of each), exact."""
+def _sums(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys, sum of the weights of each, place of each key among the distinct ones), exact."""
     if not len(keys):
-        return keys, np.empty(0, np.int64)
-    order = np.argsort(keys, kind="stable")
+        return keys, np.empty(0, np.int64), np.empty(0, np.int64)
+    order = np.argsort(keys)
     ranked = keys[order]
-    first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-    return ranked[first], np.add.reduceat(weights[order].astype(np.int64), first)
+    new = np.concatenate(([True], ranked[1:] != ranked[:-1]))
+    first, places = np.flatnonzero(new), np.empty(len(keys), np.int64)
+    places[order] = np.cumsum(new) - 1
+    return ranked[first], np.add.reduceat(weights[order].astype(np.int64), first), places
 
 
 # ---------------------------------------------------------------- buckets
@@ -189,14 +210,13 @@ def _pairs(key: tuple, state: pa.Table, answers: pa.Table) -> pa.Table:
         return schema.empty_table()
     weights = m[np.cumsum(codes < 0)[at]]
     keys = codes[at].astype(np.int64) * size + codes[at + 1]
-    distinct, sums = _sums(keys, weights)
+    distinct, sums, numbered = _sums(keys, weights)
     lefts, rights = distinct // size, distinct % size
     # runs of two pairs or more are searched for longer phrases
     begin = np.flatnonzero(np.concatenate(([True], np.diff(at) != 1)))
     lengths = np.diff(np.append(begin, len(at)))
     inside = np.repeat(lengths > 1, lengths)
-    numbers = np.searchsorted(distinct, keys[inside])
-    left = np.insert(numbers, np.cumsum(lengths[lengths > 1]), -1).astype(np.int32)
+    left = np.insert(numbered[inside], np.cumsum(lengths[lengths > 1]), -1).astype(np.int32)
     row = {
         "unit": key[0].as_py(), "codes": left.tobytes(), "m": weights[begin[lengths > 1]].tobytes(), "n_pairs": len(distinct), "lefts": ids[lefts].tobytes(),
         "rights": ids[rights].tobytes(), "sums": sums.tobytes(), "left_counts": counts[lefts].tobytes(),
