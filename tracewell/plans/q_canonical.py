@@ -45,17 +45,17 @@ def _scan(spark, d) -> canonical.Scan:
 
 
 def canonical_relations(spark, d):
-    r = canonical.canonical_model(_scan(spark, d)).relations
+    r = canonical.relations(_scan(spark, d))
     shown = F.array_join(F.array_sort(F.transform(F.map_entries("attributes"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
     return r.select("program", "id", "type", "src", "dst", shown.alias("attributes"), "n_evidence", "file", "line")
 
 
 def canonical_entities(spark, d):
-    return canonical.canonical_model(_scan(spark, d)).entities
+    return canonical.entities(_scan(spark, d))
 
 
 def canonical_evidence(spark, d):
-    return canonical.canonical_model(_scan(spark, d)).evidence.groupBy("program", "id").agg(F.count(F.lit(1)).alias("n"), F.max("place").cast("long").alias("last"), F.max_by(F.concat_ws(":", "file", "line"), "place").alias("at"))
+    return canonical.evidence(_scan(spark, d)).groupBy("program", "id").agg(F.count(F.lit(1)).alias("n"), F.max("place").cast("long").alias("last"), F.max_by(F.concat_ws(":", "file", "line"), "place").alias("at"))
 
 
 def canonical_summary(spark, d):
