@@ -5,7 +5,7 @@ import re
 import pytest
 
 import __spark_entry__
-from tracewell.operators import model
+from tracewell.operators import graph, model
 from tracewell.plans import catalogue
 
 STATEMENTS = ("statement_relations", "filter_changes", "cursor_sets", "table_usage")
@@ -33,3 +33,13 @@ def test_names_and_files_are_counted_without_a_copy_of_the_facts_for_each_count(
 
 def test_lines_are_read_once_for_all_workflows(spark):
     assert _plan(spark, "workflow_scores").count("Relation [") + _plan(spark, "workflow_scores").count("Relation[") == 1
+
+
+def test_more_edges_make_more_parts_and_counts_make_no_copies(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PART_ROWS", 10)
+    rows = spark.range(100).selectExpr("id % 40 AS a", "CASE WHEN id % 40 > 0 THEN id % 4 END AS b")
+    edges = graph.relations({"R": (rows, "a", "A", "b", "B"), "S": (rows, "b", "B", "b", "B")})
+    assert re.search(r"RepartitionByExpression .*, 20\b", edges._jdf.queryExecution().optimizedPlan().toString())
+    summary = graph.graph_summary(edges)
+    assert "Expand" not in summary._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, summary.select("type", "n_edges", "n_sources", "n_targets").collect())) == [("R", 39, 39, 4), ("S", 4, 4, 4)]
