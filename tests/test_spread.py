@@ -43,3 +43,12 @@ def test_more_edges_make_more_parts_and_counts_make_no_copies(spark, monkeypatch
     summary = graph.graph_summary(edges)
     assert "Expand" not in summary._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, summary.select("type", "n_edges", "n_sources", "n_targets").collect())) == [("R", 39, 39, 4), ("S", 4, 4, 4)]
+
+
+def test_hops_send_nothing_to_the_driver(spark, monkeypatch):
+    plans, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4)], "src long, dst long")
+    reached = graph.closure(edges, spark.createDataFrame([(1,)], "node long"))
+    assert sorted(map(tuple, reached.collect())) == [(1, 0), (2, 1), (3, 2), (4, 3)]
+    assert not any("Broadcast" in p for p in plans)
