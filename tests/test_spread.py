@@ -5,7 +5,7 @@ import re
 import pytest
 
 import __spark_entry__
-from tracewell.operators import graph, model
+from tracewell.operators import delta, graph, model
 from tracewell.plans import catalogue
 
 STATEMENTS = ("statement_relations", "filter_changes", "cursor_sets", "table_usage")
@@ -52,3 +52,10 @@ def test_hops_send_nothing_to_the_driver(spark, monkeypatch):
     reached = graph.closure(edges, spark.createDataFrame([(1,)], "node long"))
     assert sorted(map(tuple, reached.collect())) == [(1, 0), (2, 1), (3, 2), (4, 3)]
     assert not any("Broadcast" in p for p in plans)
+
+
+def test_sides_are_grouped_in_one_step(spark):
+    old, new = (spark.createDataFrame(rows, "a long, b long") for rows in ([(1, 1), (1, 1), (2, None), (3, 3)], [(2, None), (3, 3), (4, None), (4, None)]))
+    found = delta.added_and_removed(old, new, ["a", "b"])
+    assert sorted(map(tuple, found.collect())) == [(1, 1, "removed"), (4, None, "added")]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()

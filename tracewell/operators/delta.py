@@ -80,10 +80,10 @@ def keep_valid_facts(facts: DataFrame, links: DataFrame, kept_units: DataFrame)
 
 
 def added_and_removed(before: DataFrame, after: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows (over columns) that only one side has, with side 'removed' or 'added'."""
-    b, a = before.select(*columns).distinct(), after.select(*columns).distinct()
-    gone = b.join(a, columns, "left_anti").withColumn("side", F.lit("removed"))
-    return gone.unionByName(a.join(b, columns, "left_anti").withColumn("side", F.lit("added")))
+    """Rows (over columns) that only one side has, with side 'removed' or 'added'; nulls equal each other. Both sides are grouped in one step."""
+    both = before.select(*columns, F.lit(True).alias("__old")).unionByName(after.select(*columns, F.lit(False).alias("__old")))
+    sides = both.groupBy(*columns).agg(F.bool_or("__old").alias("__old"), F.bool_or(~F.col("__old")).alias("__new"))
+    return sides.filter("__old <> __new").select(*columns, F.when(F.col("__old"), "removed").otherwise("added").alias("side"))
 
 
 def line_diff(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
